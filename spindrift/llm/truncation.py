@@ -23,7 +23,10 @@ from spindrift.session import cut
 FDR, NEIGHBOURS, LEAST, BAND = 0.01, 30, 4, 16
 #: An ending is whole if at least this share of its occurrences end there; the stricter share holds at
 #: significant lengths. SUPPORT: occurrences a context needs besides the text's own.
-SHARE, SHARE_AT_LIMIT, SUPPORT = 0.25, 0.5, 4
+SHARE, SHARE_AT_LIMIT, SUPPORT = 0.25, 0.35, 4
+#: A closing formula may also open longer sentences; it counts as one where it ends a text this many
+#: times more often than texts end without a sign after any word.
+OVER_CHANCE = 20.0
 
 _W = r"(?:\p{N}[\p{N}.,:/ ]*\p{N}|[\p{L}\p{M}\p{N}'’\-]*[\p{L}\p{M}\p{N}])"
 _MARK = r"[.!?…)\]»”\"]"
@@ -32,14 +35,15 @@ _MARK = r"[.!?…)\]»”\"]"
 def _events(col: Column) -> Column:
     """Words of a text as (w1, w2, w3, end): w3 with the two words before it inside its sentence
     ('^' at the start), and how it ends: T sentence sign or bracket, D dots, U line or text ends
-    without a sign, C it goes on."""
+    without a sign, C it goes on. A full stop after a very short word may be an abbreviation: it ends
+    (A, counted as T) but does not part the words."""
     els = F.regexp_extract_all(F.lower(col), F.lit(rf"{_W}(?:(?!{_W}).)*"), F.lit(0))
 
     def one(e: Column) -> Column:
         tail = F.regexp_replace(e, rf"^{_W}", "")
         word = F.regexp_replace(F.regexp_extract(e, rf"^{_W}", 0), r"^\p{N}[\p{N}.,:/ ]*$", "#")
         end = (
-            F.when(tail.rlike(r"…|\.\s*\."), "D").when(tail.rlike(rf"{_MARK}|[(\[]"), "T").when(tail.rlike(r"[\r\n]"), "U").otherwise("C")
+            F.when(tail.rlike(r"…|\.\s*\."), "D").when((tail == ". ") & (F.length(word) <= 4), "A").when(tail.rlike(rf"{_MARK}|[(\[]"), "T").when(tail.rlike(r"[\r\n]"), "U").otherwise("C")
         )
         return F.struct(word.alias("w"), end.alias("end"))
 
@@ -50,9 +54,10 @@ def _events(col: Column) -> Column:
 
         def gram(x: Column, i: Column) -> Column:
             p1, p2 = F.get(ws, i - 1), F.get(ws, i - 2)
-            w2 = F.when((i == 0) | (p1["end"] != "C"), "^").otherwise(p1["w"])
-            w1 = F.when((w2 == "^") | (i == 1) | (p2["end"] != "C"), "^").otherwise(p2["w"])
-            return F.struct(w1.alias("w1"), w2.alias("w2"), x["w"].alias("w3"), F.when((x["end"] == "C") & (i == n - 1), "U").otherwise(x["end"]).alias("end"))
+            w2 = F.when((i == 0) | ~p1["end"].isin("C", "A"), "^").otherwise(p1["w"])
+            w1 = F.when((w2 == "^") | (i == 1) | ~p2["end"].isin("C", "A"), "^").otherwise(p2["w"])
+            end = F.when((x["end"] == "C") & (i == n - 1), "U").when(x["end"] == "A", "T").otherwise(x["end"])
+            return F.struct(w1.alias("w1"), w2.alias("w2"), x["w"].alias("w3"), end.alias("end"))
 
         return F.transform(ws, gram)
 
@@ -144,6 +149,12 @@ def find_truncated(df: DataFrame, id_col: str, text_col: str, source_col: str) -
     length is significant in its source. Rows repeating an id are judged each on its own text; a
     null source is a source of its own; an empty table gives no rows. Very long texts are read whole.
     """
+    out = judged_endings(df, id_col, text_col, source_col)
+    return out.select(F.col("doc").alias(id_col), F.col("src").alias("source"), "kind", "at_limit", "truncated")
+
+
+def judged_endings(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """find_truncated with the evidence of each text."""
     q = lambda c: F.col(f"`{c}`")
     base = df.select(q(id_col).alias("doc"), q(source_col).cast("string").alias("src"), q(text_col).cast("string").alias("raw"))
     base = base.withColumn("t", strip(F.col("raw"))).filter("t <> ''")
@@ -171,19 +182,22 @@ def find_truncated(df: DataFrame, id_col: str, text_col: str, source_col: str) -
     dotted = F.coalesce(*(_share("nd", k) for k in (3, 2)))
     finished = F.coalesce(*((F.col(f"nt{k}") + F.col(f"nd{k}") + F.col(f"nu{k}") - 1) / (F.col(f"all{k}") + F.col(f"x{k}")) for k in (2,)))
     placed = F.when(F.col("allb") > SUPPORT, (F.col("nub") - 1) / (F.col("allb") - 1))
-    ev = ev.select("row", ended.alias("ended"), dotted.alias("dotted"), finished.alias("finished"), placed.alias("placed"))
+    ev = ev.select("*", ended.alias("ended"), dotted.alias("dotted"), finished.alias("finished"), placed.alias("placed"))
+    ev = ev.drop("w1", "w2", "w3", "doc", "src", "kind", "chars", "octets", "upper")
     out = docs.join(at.withColumn("at_limit", F.lit(True)), "row", "left").join(ev, "row", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
+    chance = (cand.filter("kind = 'bare'").count() + 1) / (counts.agg(F.sum(sum((F.col(c) for c in _SUMS), F.lit(0)))).first()[0] or 1)
+    formula = (F.col("nu3") - 1 >= SUPPORT) & ((F.col("nu3") - 1) / (F.col("all3") + F.col("x3")) >= OVER_CHANCE * chance)
     need = F.when(F.col("at_limit"), SHARE_AT_LIMIT).otherwise(SHARE)
     # an ending nowhere else seen: a name (capital) or a number ends a heading, another word is cut
     bare_whole = F.coalesce(F.greatest(F.col("ended"), F.coalesce("placed", F.lit(0.0))) >= need, F.col("upper") | (F.col("w3") == "#"))
     dots_whole = F.coalesce(F.col("dotted") >= need, F.lit(False)) | (~F.col("at_limit") & F.coalesce(F.col("finished") >= 0.2, F.lit(False)))
     truncated = (
         F.when(F.col("kind").isin("open", "broken"), True)
-        .when(F.col("kind") == "bare", F.col("w3").isNotNull() & ~bare_whole)
+        .when(F.col("kind") == "bare", F.col("w3").isNotNull() & ~bare_whole & ~F.coalesce(formula, F.lit(False)))
         .when(F.col("kind") == "dots", F.col("w3").isNotNull() & ~dots_whole)
         .otherwise(False)
     )
-    return out.select(F.col("doc").alias(id_col), F.col("src").alias("source"), "kind", "at_limit", truncated.alias("truncated"))
+    return out.withColumn("truncated", truncated)
 
 
 def truncation_rates(found: DataFrame) -> DataFrame:
