@@ -181,7 +181,7 @@ def judged_endings(df: DataFrame, id_col: str, text_col: str, source_col: str) -
     ended = F.coalesce(*(_share("nu", k) for k in (3, 2, 1)))
     dotted = F.coalesce(*(_share("nd", k) for k in (3, 2)))
     finished = F.coalesce(*((F.col(f"nt{k}") + F.col(f"nd{k}") + F.col(f"nu{k}") - 1) / (F.col(f"all{k}") + F.col(f"x{k}")) for k in (2,)))
-    placed = F.when(F.col("allb") > SUPPORT, (F.col("nub") - 1) / (F.col("allb") - 1))
+    placed = F.when(F.col("allb") > 1, (F.col("nub") - 1) / (F.col("allb") - 1))
     ev = ev.select("*", ended.alias("ended"), dotted.alias("dotted"), finished.alias("finished"), placed.alias("placed"))
     ev = ev.drop("w1", "w2", "w3", "doc", "src", "kind", "chars", "octets", "upper")
     out = docs.join(at.withColumn("at_limit", F.lit(True)), "row", "left").join(ev, "row", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
