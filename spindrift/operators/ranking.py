@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.session import cut
@@ -26,3 +26,31 @@ def global_index(df: DataFrame, order: list[str | Column], out: str) -> DataFram
     return (
         sorted_.withColumn("__p", pid).join(table, "__p").withColumn(out, F.col("__o") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__o", "__m")
     )
+
+
+def position_in_group(df: DataFrame, group: str, order: list[str | Column], out: str) -> DataFrame:
+    """df with out = 0, 1, 2, ... inside each group (null is a group). The sort is range-partitioned over
+    group and order together, so a hot group is spread over several tasks."""
+    at = global_index(df, [F.col(f"`{group}`"), *order], "__at")
+    first = at.groupBy(F.col(f"`{group}`").alias("__g")).agg(F.min("__at").alias("__lo"))
+    return at.join(first, F.col(f"`{group}`").eqNullSafe(F.col("__g"))).withColumn(out, F.col("__at") - F.col("__lo")).drop("__g", "__lo", "__at")
+
+
+def competition_rank(df: DataFrame, value: str, row_id: str, out: str) -> DataFrame:
+    """Descending rank, equal values share the smallest rank."""
+    at = global_index(df, [F.desc(value), row_id], "__at")
+    first = at.groupBy(F.col(value).alias("__v")).agg(F.min("__at").alias("__lo"))
+    return at.join(first, F.col(value).eqNullSafe(F.col("__v"))).withColumn(out, F.col("__lo") + 1).drop("__v", "__lo", "__at")
+
+
+def top_k(df: DataFrame, group: str, order: list[Column], k: int, out: str = "Rank") -> DataFrame:
+    """First k rows of each group. Spark cuts each partition to k rows a group before the shuffle."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col(out) <= k)
+
+
+def largest_by_count(counts: DataFrame, count: str, tie: list[str], least: int, fallback: int = 5) -> DataFrame:
+    """Rows with at least `least`; if there are none, the `fallback` largest (first on ties)."""
+    enough = counts.filter(F.col(count) >= least)
+    any_enough = enough.limit(1).agg((F.count(F.lit(1)) > 0).alias("__any"))  # one row
+    largest = counts.orderBy(F.desc(count), *tie).limit(fallback).crossJoin(F.broadcast(any_enough)).filter("not __any").drop("__any")
+    return enough.unionByName(largest)
