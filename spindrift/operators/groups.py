@@ -59,13 +59,16 @@ def resolve_collisions(df: DataFrame, keys: Sequence[str], target: str, row_id:
     ks = [f"__k{i}" for i in range(len(keys))]
     cond = reduce(lambda x, y: x & y, (_q(k).eqNullSafe(F.col(n)) for k, n in zip(keys, ks)))
     members = df.join(g, cond)
-    merged = members.filter("not __clash and __n > 1").groupBy("__first").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(_q(row_id))), lambda x: x.cast("string")), ";").alias("Original_Row_IDs")
-    )
-    first = members.filter(~F.col("__clash") & (_q(row_id) == F.col("__first"))).join(merged.withColumnRenamed("__first", "__mf"), F.col("__first") == F.col("__mf"), "left")
-    kept = first.select(
-        *(F.when(F.col("__n") > 1, F.col("__median")).otherwise(_q(c)).alias(c) if c == target else _q(c) for c in df.columns),
-        F.col("__n").alias("Replicate_Count"), F.when(F.col("__n") > 1, F.col("__range")).otherwise(0.0).alias("Replicate_Target_Range"), "Original_Row_IDs",
+    row = F.struct(*(_q(c) for c in df.columns))
+    ids = F.array_sort(F.collect_list(F.when(F.col("__n") > 1, _q(row_id))))
+    one = members.filter("not __clash").groupBy(*ks).agg(
+        F.min_by(row, _q(row_id)).alias("__row"), *(F.max(c).alias(c) for c in ("__n", "__range", "__median")), ids.alias("__ids")
+    )
+    many = F.col("__n") > 1
+    kept = one.select(
+        *(F.when(many, F.col("__median")).otherwise(F.col(f"__row.`{c}`")).alias(c) if c == target else F.col(f"__row.`{c}`").alias(c) for c in df.columns),
+        F.col("__n").alias("Replicate_Count"), F.when(many, F.col("__range")).otherwise(0.0).alias("Replicate_Target_Range"),
+        F.when(many, F.array_join(F.transform("__ids", lambda x: x.cast("string")), ";")).alias("Original_Row_IDs"),
     )
     audit = members.filter("__clash").select(
         *(_q(c) for c in df.columns), F.col("__range").alias("Collision_Target_Range"), F.lit("same_recorded_conditions_target_range_above_limit").alias("Collision_Reason")
