@@ -1,7 +1,273 @@
-"""Queries of the whole flows; filled by the plans."""
+"""Queries of the whole flows: curation, model evidence, attribution, search, projection.
+
+The numbers of trees, draws and iterations are turned down here (the plans default to the locked ones);
+rows are never left out: fits use their documented bounded sample, everything else all rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift import domain as D
+from spindrift.models import lane
+from spindrift.models import matrix as M
+from spindrift.operators import stats
+from spindrift.operators.encode import FeatureEncoder
+from spindrift.operators.splitting import draw_grid
+from spindrift.plans import curate as C
+from spindrift.plans import explain, project, search
+from spindrift.plans import train as T
+from spindrift.sources import records
+from spindrift.tables import load
+
+Q = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, Q] = {}
+
+_KNOBS = T.Knobs(trees=30, draws=3, fit_rows=1000, seeds=(42, 43, 44))
+_GB = ("Gradient Boosting", D.LOCKED_PARAMS["Gradient Boosting"])
+
+
+def flow(f: Q) -> Q:
+    _ALL[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Q]:
+    return dict(_ALL)
+
+
+def _curated(spark: SparkSession, d: str) -> C.Curated:
+    return C.curate(load(spark, d, "dataset_all"))
+
+
+def _primary(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "ni_model_primary")
+
+
+@flow
+def curate_primary(spark: SparkSession, d: str) -> DataFrame:
+    return _curated(spark, d).primary
+
+
+@flow
+def curate_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return _curated(spark, d).comparison
+
+
+@flow
+def curate_exclusions(spark: SparkSession, d: str) -> DataFrame:
+    return _curated(spark, d).exclusions
+
+
+@flow
+def curate_accounting(spark: SparkSession, d: str) -> DataFrame:
+    """Raw records by where they ended up; the counts add up to the raw table."""
+    c = _curated(spark, d)
+    parts = [c.exclusions.groupBy(F.col("Reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n")), c.comparison.agg(F.lit("comparison").alias("outcome"), F.count(F.lit(1)).alias("n")), c.primary.agg(F.lit("primary").alias("outcome"), F.coalesce(F.sum("Replicate_Count"), F.lit(0)).alias("n"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@flow
+def curate_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return C.manifest(load(spark, d, "dataset_all"), _curated(spark, d))
+
+
+@flow
+def table_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for t in ("lineitem", "orders", "dataset_all", "documents"):
+        one = records.table_hash(load(spark, d, t)).withColumn("table_name", F.lit(t))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@flow
+def file_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return records.file_hash(spark, f"{d}/promoter_dim.parquet").select("sha256")
+
+
+@flow
+def random_box(spark: SparkSession, d: str) -> DataFrame:
+    """2,500 seeded points in the box of the adaptive bounds."""
+    b = stats.adaptive_bounds(_primary(spark, d), {c: D.VALID_RANGES[c] for c in D.SEARCH_COLUMNS}).collect()  # one row a column
+    return records.random_box(spark, 2500, {r.Parameter: (r.Lower, r.Upper) for r in b})
+
+
+@flow
+def grid_draws(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty points of each search grid, drawn without repetition."""
+    rows = [(f, i, str(sorted(p.items()))) for f, s in D.SEARCH_SPACES.items() for i, p in enumerate(draw_grid(s, 50))]
+    return spark.createDataFrame(rows, "family string, variant int, params string")
+
+
+@flow
+def encoded_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The model matrix, fitted on training rows and applied to all."""
+    p = T.prepare(_primary(spark, d), _KNOBS)
+    enc = FeatureEncoder(D.NUMERIC_FEATURES, D.CATEGORICAL_FEATURES, D.BINARY_FEATURES).fit(p.rows.filter("Set = 'Train'"))
+    return enc.transform(p.rows).select("row_id", "Set", "features")
+
+
+@flow
+def model_cv(spark: SparkSession, d: str) -> DataFrame:
+    return T.cross_validate(T.prepare(_primary(spark, d), _KNOBS))
+
+
+def _compared(spark: SparkSession, d: str):
+    p = T.prepare(_primary(spark, d), _KNOBS)
+    return (p, *T.compare(p, T.cross_validate(p)))
+
+
+@flow
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return _compared(spark, d)[1]
+
+
+def _fitted(spark: SparkSession, d: str):
+    p = T.prepare(_primary(spark, d), _KNOBS)
+    return p, lane.fit_tasks(spark, p.sample, [{"task_id": "gb", "family": _GB[0], "params": T._capped(_GB[1], _KNOBS), "seed": 42}])[0]
+
+
+@flow
+def model_gbt_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Hold-out table: actual, predicted and residual of every row."""
+    return T.holdout(*_fitted(spark, d))
+
+
+@flow
+def model_importances(spark: SparkSession, d: str) -> DataFrame:
+    return T.importances(spark, _fitted(spark, d)[1])
+
+
+@flow
+def model_stability(spark: SparkSession, d: str) -> DataFrame:
+    return T.stability(_primary(spark, d), *_GB, _KNOBS)
+
+
+@flow
+def model_stability_summary(spark: SparkSession, d: str) -> DataFrame:
+    return stats.summary(T.stability(_primary(spark, d), *_GB, _KNOBS), ["Train_R2", "Test_R2", "Test_MAE", "Test_RMSE", "Train_Test_R2_Gap"])
+
+
+@flow
+def model_learning_curve(spark: SparkSession, d: str) -> DataFrame:
+    return T.learning_curve(T.prepare(_primary(spark, d), _KNOBS), *_GB)
+
+
+@flow
+def model_gate(spark: SparkSession, d: str) -> DataFrame:
+    return T.gate(_compared(spark, d)[1], T.stability(_primary(spark, d), *_GB, _KNOBS))
+
+
+@flow
+def model_distributed_boosting(spark: SparkSession, d: str) -> DataFrame:
+    """pyspark.ml boosting on every row of the primary table."""
+    model, ready, _ = T.distributed_boosting(_primary(spark, d), trees=5)
+    return model.transform(ready).select("row_id", F.col("label").alias("Actual"), F.col("prediction").alias("Predicted"))
+
+
+@flow
+def treeshap_additivity(spark: SparkSession, d: str) -> DataFrame:
+    """Shapley sums of every row against its prediction; error stays at rounding size."""
+    p, m = _fitted(spark, d)
+    a = explain.attributions(p.rows, m)
+    total = F.aggregate("shap", F.lit(0.0), lambda x, y: x + y)
+    return a.select("row_id", "prediction", (F.col("base") + total).alias("explained"), (F.abs(F.col("prediction") - F.col("base") - total) < 1e-6).alias("additive"))
+
+
+def _long(spark: SparkSession, d: str):
+    p, m = _fitted(spark, d)
+    return p, explain.long_form(explain.attributions(p.rows, m), M.matrix_names(M.loads(m["encoder"])))
+
+
+@flow
+def shap_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return explain.ranking(_long(spark, d)[1])
+
+
+@flow
+def shap_top_sources(spark: SparkSession, d: str) -> DataFrame:
+    return explain.top_sources(_long(spark, d)[1])
+
+
+@flow
+def shap_dependence(spark: SparkSession, d: str) -> DataFrame:
+    p, long = _long(spark, d)
+    return explain.dependence_sources(long, p.rows)
+
+
+@flow
+def shap_wide(spark: SparkSession, d: str) -> DataFrame:
+    p, m = _fitted(spark, d)
+    return explain.wide_audit(explain.attributions(p.rows, m), M.matrix_names(M.loads(m["encoder"])))
+
+
+@flow
+def ablation_cv(spark: SparkSession, d: str) -> DataFrame:
+    return explain.ablation(T.prepare(_primary(spark, d), T.Knobs(trees=15, folds=3, fit_rows=1000)), *_GB)
+
+
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    p, m = _fitted(spark, d)
+    return search.search(spark, search.build_space(p.rows, 1000), m, iterations=15)
+
+
+@flow
+def eligible_families(spark: SparkSession, d: str) -> DataFrame:
+    return search.eligible_families(_primary(spark, d))
+
+
+@flow
+def operating_assumptions(spark: SparkSession, d: str) -> DataFrame:
+    a = search.assumptions(_primary(spark, d))
+    return spark.createDataFrame([tuple(a.values())], ", ".join(f"{k} {'string' if isinstance(v, str) else 'double'}" for k, v in a.items()))
+
+
+@flow
+def pso_search(spark: SparkSession, d: str) -> DataFrame:
+    """Swarm and random candidates (2,500 for each temperature and track), ranked."""
+    return search.ranked(_searched(spark, d))
+
+
+@flow
+def pso_top(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_candidates(_searched(spark, d))
+
+
+@flow
+def pso_summary(spark: SparkSession, d: str) -> DataFrame:
+    return search.temperature_summary(_searched(spark, d))
+
+
+@flow
+def pso_family_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return search.family_frequency(search.top_candidates(_searched(spark, d)))
+
+
+@flow
+def tsne_2d(spark: SparkSession, d: str) -> DataFrame:
+    """Projection of every embedding: a bounded sample exactly, the rest among its neighbours."""
+    return project.project(load(spark, d, "embeddings"), "vec_id", "embedding", iterations=250, exact_rows=500)
+
+
+@flow
+def tsne_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Projection of the encoded matrix joined one to one with split and predictions."""
+    p, m = _fitted(spark, d)
+    enc = FeatureEncoder(D.NUMERIC_FEATURES, D.CATEGORICAL_FEATURES, D.BINARY_FEATURES).fit(p.rows.filter("Set = 'Train'"))
+    coords = project.project(enc.transform(p.rows), "row_id", "features", iterations=250, exact_rows=500)
+    pred = T.holdout(p, m)
+    return project.projection_table(coords, pred.select("row_id", "Set"), pred.select("row_id", "Actual", "Predicted", "Residual", "Abs_Residual"))
+
+
+@flow
+def pca_2d(spark: SparkSession, d: str) -> DataFrame:
+    """Principal components of every embedding by pyspark.ml."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-def queries() -> dict:
-    return {}
+    e = load(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    return PCA(k=2, inputCol="v", outputCol="p").fit(e).transform(e).select("vec_id", *(F.round(vector_to_array("p")[i], 6).alias(f"pc{i + 1}") for i in range(2)))

@@ -85,8 +85,8 @@ def score(df: DataFrame, models: list[dict], keep: list[str], out: str = "Predic
     return src.mapInPandas(run, f"{schema}, __t string, __p double").toDF(*keep, "task_id", out)
 
 
-def evaluate(df: DataFrame, models: list[dict], group: str, target: str = D.TARGET) -> DataFrame:
-    """(task_id, group, n, R2, MAE, RMSE) of every model on every value of the group column, over all rows.
+def score_sums(df: DataFrame, models: list[dict], group: str, target: str = D.TARGET) -> DataFrame:
+    """(task_id, group, n, sy, syy, sse, sae) of every model on every value of the group column, over all rows.
     Each batch leaves one row of sums for each model and group value."""
     shared = df.sparkSession.sparkContext.broadcast([(m["task_id"], m["model"], m["encoder"]) for m in models])
     cols = [*D.NUMERIC_FEATURES, *D.CATEGORICAL_FEATURES, *D.BINARY_FEATURES]
@@ -105,7 +105,13 @@ def evaluate(df: DataFrame, models: list[dict], group: str, target: str = D.TARG
             yield pd.DataFrame(rows, columns=["task_id", "g", "n", "sy", "syy", "sse", "sae"])
 
     src = df.select(F.col(f"`{target}`").cast("double").alias("__y"), F.col(f"`{group}`").cast("string").alias("__g"), *(F.col(f"`{c}`") for c in cols))
-    sums = src.mapInPandas(run, "task_id string, g string, n bigint, sy double, syy double, sse double, sae double")
-    t = sums.groupBy("task_id", "g").agg(*(F.sum(c).alias(c) for c in ("n", "sy", "syy", "sse", "sae")))
-    tot = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    return t.select("task_id", F.col("g").alias(group), "n", (1 - F.col("sse") / F.nullif(tot, F.lit(0.0))).alias("R2"), (F.col("sae") / F.col("n")).alias("MAE"), F.sqrt(F.col("sse") / F.col("n")).alias("RMSE"))
+    sums = src.filter("__y is not null").mapInPandas(run, "task_id string, g string, n bigint, sy double, syy double, sse double, sae double")
+    return sums.groupBy("task_id", F.col("g").alias(group)).agg(*(F.sum(c).alias(c) for c in ("n", "sy", "syy", "sse", "sae")))
+
+
+def metrics_of(sums: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., n, R2, MAE, RMSE) from added-up sums; R2 is null where the target is constant."""
+    t = sums.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("n", "sy", "syy", "sse", "sae")))
+    total = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    r2 = F.when(total > 1e-9, 1 - F.col("sse") / total)
+    return t.select(*by, "n", r2.alias("R2"), (F.col("sae") / F.col("n")).alias("MAE"), F.sqrt(F.col("sse") / F.col("n")).alias("RMSE"))
