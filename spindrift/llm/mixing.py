@@ -38,7 +38,7 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int]) -> list[int]
             hi = mid
         else:
             lo = mid
-    got = at(hi)
+    got = at(hi * (1 + 1e-9))  # equal quotients at the edge are left to the exact comparison below
     heap = [(-w / (2 * g + 1), i) for i, (w, g, c) in enumerate(zip(weights, got, caps)) if w > 0 and g < c]
     heapq.heapify(heap)
     left = seats - sum(got)
