@@ -29,6 +29,7 @@ SHARE, SHARE_AT_LIMIT, SUPPORT = 0.25, 0.35, 4
 OVER_CHANCE = 20.0
 
 _W = r"(?:\p{N}[\p{N}.,:/ ]*\p{N}|[\p{L}\p{M}\p{N}'’\-]*[\p{L}\p{M}\p{N}])"
+_TAIL = r"[^\p{L}\p{M}\p{N}]*"
 _MARK = r"[.!?…)\]»”\"]"
 
 
@@ -37,15 +38,20 @@ def _events(col: Column) -> Column:
     ('^' at the start), and how it ends: T sentence sign or bracket, D dots, U line or text ends
     without a sign, C it goes on. A full stop after a very short word may be an abbreviation: it ends
     (A, counted as T) but does not part the words."""
-    els = F.regexp_extract_all(F.lower(col), F.lit(rf"{_W}(?:(?!{_W}).)*"), F.lit(0))
+    els = F.regexp_extract_all(F.lower(col), F.lit(rf"{_W}{_TAIL}"), F.lit(0))
 
     def one(e: Column) -> Column:
-        tail = F.regexp_replace(e, rf"^{_W}", "")
-        word = F.regexp_replace(F.regexp_extract(e, rf"^{_W}", 0), r"^\p{N}[\p{N}.,:/ ]*$", "#")
+        tail = F.regexp_extract(e, _TAIL + "$", 0)
+        return F.transform(F.array(F.struct(F.substring(e, F.lit(1), F.length(e) - F.length(tail)).alias("w"), tail.alias("t"))), parts)[0]
+
+    def parts(x: Column) -> Column:
+        word, tail = x["w"], x["t"]
         end = (
-            F.when(tail.rlike(r"…|\.\s*\."), "D").when((tail == ". ") & (F.length(word) <= 4), "A").when(tail.rlike(rf"{_MARK}|[(\[]"), "T").when(tail.rlike(r"[\r\n]"), "U").otherwise("C")
+            F.when(tail == " ", "C").when(tail.rlike(r"…|\.\s*\."), "D").when((tail == ". ") & (F.length(word) <= 4), "A")
+            .when(tail.rlike(rf"{_MARK}|[(\[]"), "T").when(tail.rlike(r"[\r\n]"), "U").otherwise("C")
         )
-        return F.struct(word.alias("w"), end.alias("end"))
+        number = (F.substring(word, F.lit(1), F.lit(1)) <= "9") & word.rlike(r"^\p{N}[\p{N}.,:/ ]*$")
+        return F.struct(F.when(number, "#").otherwise(word).alias("w"), end.alias("end"))
 
     marked = F.transform(els, one)
 
@@ -164,7 +170,7 @@ def judged_endings(df: DataFrame, id_col: str, text_col: str, source_col: str) -
     last = F.element_at(_events(F.substring(body, -400, 400)), -1)  # enough for the last three words
     docs = base.select(
         F.monotonically_increasing_id().alias("row"), "doc", "src", "kind", F.length("raw").alias("chars"), F.octet_length("raw").alias("octets"),
-        F.when(F.col("kind").isin("bare", "dots", "sign"), last).alias("e"), F.col("t").rlike(r"\p{Lu}[^\s]*$").alias("upper"),
+        F.when(F.col("kind").isin("bare", "dots"), last).alias("e"), F.col("t").rlike(r"\p{Lu}[^\s]*$").alias("upper"),
     ).select("row", "doc", "src", "kind", "chars", "octets", "upper", "e.w1", "e.w2", "e.w3")
     docs = cut(docs)
     counts = cut(_corpus_counts(base))
