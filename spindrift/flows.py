@@ -62,6 +62,15 @@ def curate_exclusions(spark: SparkSession, d: str) -> DataFrame:
     return _curated(spark, d).exclusions
 
 
+@flow
+def curate_features(spark: SparkSession, d: str) -> DataFrame:
+    """Keys, model features and replicate columns of the curated table."""
+    p = _curated(spark, d).primary
+    num = [c for c in (*D.NUMERIC_FEATURES, D.TARGET, "Catalyst_Label_Ni_Value", "Replicate_Target_Range") if c != "support_acid_base"]
+    whole = ["row_id", "raw_row_id", *D.CATEGORICAL_FEATURES, "has_promoter", "prom_missing", "support_reducible", "support_acid_base", "Catalyst_Key", "Replicate_Count", "Original_Row_IDs"]
+    return p.select(*whole, *((F.round(F.col(f"`{c}`"), 6) + F.lit(0.0)).alias(c) for c in num))
+
+
 @flow
 def curate_accounting(spark: SparkSession, d: str) -> DataFrame:
     """Raw records by where they ended up; the counts add up to the raw table."""

@@ -133,6 +133,56 @@ def _near(c: str, lo: float, hi: float) -> str:
     return f"coalesce(({c} - {lo}) / {hi - lo} <= 0.02 OR ({hi} - {c}) / {hi - lo} <= 0.02, FALSE)"
 
 
+def _curated() -> str:
+    """CTEs of the curation flow: excl1, reasons, primary_rows, groups."""
+    na = words(D.NA_TOKENS)
+    clean = lambda c: f"CASE WHEN {col(c)} NOT IN {na} THEN {col(c)} END"
+    text = [*D.TEXT_COLUMNS, *D.FLAG_COLUMNS, *D.VALID_RANGES]
+    simple = strip("coalesce(Active_Metal, '')")
+    others = [c for c in D.VALID_RANGES if c != "Reaction_Temp_C"]
+    supports = ", ".join(f"('{a}', '{b}', {x}, {y})" for a, b, x, y in D.SUPPORTS)
+    promoters = ", ".join(f"('{a}', {', '.join(f'{v}::DOUBLE' for v in rest)})" for a, *rest in D.PROMOTERS)
+    tokens = (
+        f"CASE WHEN lower({strip('Promoter_Metal')}) NOT IN {_NO} THEN nullif(array_to_string(list_filter(list_transform(regexp_split_to_array(Promoter_Metal, '[,/;]'), "
+        f"lambda x: {strip('x')}), lambda x: length(x) > 0 AND lower(x) NOT IN {words(D.NOT_A_PROMOTER)}), ','), '') END"
+    )
+    label = f"TRY_CAST(CASE WHEN regexp_matches(Catalyst, '{_P1}', 'i') THEN regexp_extract(Catalyst, '{_P1}', 1, 'i') WHEN regexp_matches(Catalyst, '{_P2}', 'i') THEN regexp_extract(Catalyst, '{_P2}', 1, 'i') END AS DOUBLE)"
+    precursor = f"CASE lower(pre) {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in D.PRECURSOR_NAMES.items())} ELSE lower(pre) END"
+    guarded = ", ".join(f"{guard(col(c), r)} AS {col(c)}" for c, r in D.VALID_RANGES.items() if c != "Promoter_Loading_wt%")
+    return (
+        "WITH raw0 AS (SELECT raw_row_id, " + ", ".join(f"{clean(c)} AS {col(c)}" for c in text) + " FROM dataset_all), "
+        f"flagged AS (SELECT *, regexp_matches(coalesce(Active_Metal, ''), '{_NI}', 'i') AND (regexp_matches({simple}, '^Ni([-/ ].*)?$', 'i') OR regexp_matches(coalesce(Catalyst, ''), '{_NI}', 'i')) AS is_ni FROM raw0), "
+        f"typed AS (SELECT * REPLACE ({', '.join(f'{number(col(c))} AS {col(c)}' for c in D.VALID_RANGES)}, coalesce({parse_bool('is_literature_comparison')}, FALSE) AS is_literature_comparison) FROM flagged WHERE is_ni), "
+        "fine AS (SELECT * REPLACE (coalesce(Reaction_Temp_C, CASE WHEN min(Reaction_Temp_C) OVER w = max(Reaction_Temp_C) OVER w THEN min(Reaction_Temp_C) OVER w END) AS Reaction_Temp_C) FROM typed WINDOW w AS (PARTITION BY Source_File, Canonical_Catalyst_ID)), "
+        "filled AS (SELECT * REPLACE (coalesce(Reaction_Temp_C, CASE WHEN min(Reaction_Temp_C) OVER w = max(Reaction_Temp_C) OVER w THEN min(Reaction_Temp_C) OVER w END) AS Reaction_Temp_C) FROM fine WINDOW w AS (PARTITION BY Source_File)), "
+        f"prom AS (SELECT * REPLACE ({tokens} AS Promoter_Metal), coalesce(Support_Normalized, Support) AS sup, {default_text('Precursor_Family')} AS pre FROM filled), "
+        f"eng AS (SELECT * REPLACE ({guarded}, CASE WHEN Promoter_Metal IS NULL THEN 0.0 ELSE {guard(col('Promoter_Loading_wt%'), D.VALID_RANGES['Promoter_Loading_wt%'])} END AS \"Promoter_Loading_wt%\", "
+        f"{_support('sup')} AS Support, {_method()} AS Metal_Loading_Method, {precursor} AS Precursor_Family, {default_text('Support_Prep_Method')} AS Support_Prep_Method), {label} AS lab, "
+        f"lower({strip('coalesce(Catalyst, Canonical_Catalyst_ID, ' + chr(39) + 'Unknown' + chr(39) + ')')}) AS Catalyst_Key FROM prom), "
+        'reasons AS (SELECT *, CASE WHEN "MeOH_Conversion_%" IS NULL OR Reaction_Temp_C IS NULL THEN \'missing_or_invalid_target_or_reaction_temperature\' WHEN ' + " + ".join(f"({col(c)} IS NULL)::INT" for c in D.CORE_SYNTHESIS) + " > 2 THEN 'more_than_two_core_synthesis_fields_missing' END AS reason FROM eng), "
+        "prim AS (SELECT * FROM reasons WHERE reason IS NULL AND NOT is_literature_comparison), "
+        "grp AS (SELECT " + ", ".join(f"{col(c)} AS k{i}" for i, c in enumerate(D.COLLISION_KEY)) + ', min(raw_row_id) AS first_id, count(*) AS n, max("MeOH_Conversion_%") - min("MeOH_Conversion_%") AS rng, median("MeOH_Conversion_%") AS med, string_agg(raw_row_id::VARCHAR, \';\' ORDER BY raw_row_id) AS ids, count(*) > 1 AND max("MeOH_Conversion_%") - min("MeOH_Conversion_%") > 5 AS clash FROM prim GROUP BY ' + ", ".join(f"k{i}" for i in range(len(D.COLLISION_KEY))) + "), "
+        f"sdim AS (SELECT * FROM (VALUES {supports}) v(name, support_type, acid, red)), pdim AS (SELECT * FROM (VALUES {promoters}) v(symbol, e, r, m, f)), "
+        "excl AS (SELECT raw_row_id, Source_File, Canonical_Catalyst_ID, Catalyst, 'not_row_level_nickel_catalyst' AS \"Reason\" FROM flagged WHERE NOT is_ni UNION ALL SELECT raw_row_id, Source_File, Canonical_Catalyst_ID, Catalyst, reason FROM reasons WHERE reason IS NOT NULL "
+        "UNION ALL SELECT raw_row_id, Source_File, Canonical_Catalyst_ID, Catalyst, 'unresolved_condition_collision' FROM prim JOIN grp ON clash AND " + " AND ".join(f"{col(c)} IS NOT DISTINCT FROM k{i}" for i, c in enumerate(D.COLLISION_KEY)) + ") "
+    )
+
+
+def _curated_features() -> str:
+    num = {c: col(c) for c in D.NUMERIC_FEATURES if c != "support_acid_base"} | {
+        "GHSV_log": "ln(1 + GHSV_mL_g_h)", "WHSV_log": "ln(1 + WHSV_h_inv)", "calc_reduc_temp_diff": "Calcination_Temp_C - Reduction_Temp_C",
+        "total_treatment_time_h": "CASE WHEN coalesce(Calcination_Time_h, Reduction_Time_h, Dry_Time_h) IS NOT NULL THEN coalesce(Calcination_Time_h, 0) + coalesce(Reduction_Time_h, 0) + coalesce(Dry_Time_h, 0) END",
+        "prom_electronegativity": "e", "prom_ionic_radius": "r", "prom_atomic_mass": "m", "prom_first_ionization": "f", D.TARGET: "med",
+        "Catalyst_Label_Ni_Value": "CASE WHEN lab > 0 AND lab <= 80 THEN lab END", "Replicate_Target_Range": "CASE WHEN n > 1 THEN rng ELSE 0.0 END",
+    }
+    return (
+        _curated() + "SELECT row_number() OVER (ORDER BY raw_row_id) - 1 AS row_id, raw_row_id, Support, Promoter_Metal, Metal_Loading_Method, Precursor_Family, Support_Prep_Method, coalesce(s.support_type, 'unknown') AS support_type, "
+        "(Promoter_Metal IS NOT NULL)::INT AS has_promoter, (e IS NULL)::INT AS prom_missing, coalesce(red, 0) AS support_reducible, coalesce(acid, 0) AS support_acid_base, Catalyst_Key, n::INT AS Replicate_Count, CASE WHEN n > 1 THEN ids END AS Original_Row_IDs, "
+        + ", ".join(f"{r6(f'({v})::DOUBLE')} AS {col(c)}" for c, v in num.items())
+        + " FROM grp JOIN prim ON first_id = raw_row_id AND NOT clash LEFT JOIN sdim s ON Support = s.name LEFT JOIN pdim ON string_split(Promoter_Metal, ',')[1] = symbol"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     fam = "SELECT coalesce(Support, 'Unknown') AS Support, coalesce(Promoter_Metal, 'Unknown') AS p, coalesce(Metal_Loading_Method, 'Unknown') AS m, count(*) AS n FROM ni_model_primary GROUP BY ALL"
     onehot = " UNION ALL ".join(
@@ -203,5 +253,10 @@ def oracle_sql() -> dict[str, str]:
         "robust_scale": "SELECT row_id, " + ", ".join(f"{_scaled(c, True)} AS z{i}" for i, c in enumerate(["Reaction_Temp_C", "S_C_Ratio", "TOS_h"])) + " FROM ni_model_primary",
         "onehot_minfreq": onehot,
         "binary_mode_impute": f"SELECT row_id, coalesce(CASE WHEN row_id % 7 <> 0 THEN has_promoter END, {mode_b})::DOUBLE AS b0, coalesce(support_reducible, {mode_r})::DOUBLE AS b1 FROM ni_model_primary",
+        "curate_exclusions": _curated() + "SELECT * FROM excl",
+        "curate_accounting": _curated() + "SELECT \"Reason\" AS outcome, count(*) AS n FROM excl GROUP BY 1 UNION ALL SELECT 'comparison', count(*) FROM reasons WHERE reason IS NULL AND is_literature_comparison UNION ALL SELECT 'primary', coalesce(sum(n), 0)::BIGINT FROM grp WHERE NOT clash",
+        "curate_features": _curated_features(),
+        "eligible_families": f"WITH c AS (SELECT Support, p AS \"Promoter_Key\", m AS Metal_Loading_Method, n AS \"Dataset_Count\", Support || ' | ' || p || ' | ' || m AS \"Family\", CASE WHEN lower(p) = 'unknown' THEN 'unpromoted' ELSE 'promoted' END AS \"Track\" FROM ({fam})), r AS (SELECT *, max(\"Dataset_Count\") OVER (PARTITION BY \"Track\") AS top, row_number() OVER (PARTITION BY \"Track\" ORDER BY \"Dataset_Count\" DESC, \"Family\") AS rn FROM c) SELECT Support, \"Promoter_Key\", Metal_Loading_Method, \"Dataset_Count\", \"Family\", \"Track\" FROM r WHERE \"Dataset_Count\" >= 10 OR (top < 10 AND rn <= 5)",
+        "operating_assumptions": "SELECT " + ", ".join(f"coalesce(median({c}), {v})::DOUBLE AS {c}" for c, v in (("S_C_Ratio", 2.0), ("TOS_h", 10.0), ("Pressure_bar", 1.0), ("GHSV_log", 0.0), ("WHSV_log", 0.0))) + ", " + ", ".join(f"coalesce((SELECT {c} FROM ni_model_primary WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), 'Unknown') AS {c}" for c in ("Precursor_Family", "Support_Prep_Method")) + " FROM ni_model_primary",
         "flagship_slice": f"WITH g AS ({guarded_lines}), v AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY l_suppkey) >= 4 THEN l_suppkey::VARCHAR ELSE 'rare' END AS stratum FROM g WHERE l_quantity IS NOT NULL), k AS (SELECT l_partkey, l_suppkey, min(line_id) AS line_id, any_value(stratum) AS stratum, median(l_quantity) AS l_quantity, count(*)::INT AS Replicate_Count FROM v GROUP BY l_partkey, l_suppkey HAVING count(*) = 1 OR max(l_quantity) - min(l_quantity) <= 5) SELECT stratum, line_id, l_quantity, Replicate_Count, row_number() OVER (PARTITION BY stratum ORDER BY l_quantity DESC, line_id)::INT AS rank FROM k QUALIFY rank <= 10",
     }
