@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Texts that stand for "no value", in any letter case.
 PLACEHOLDERS = ("", "na", "n/a", "none", "nan", "null")
 
+# White space of Unicode, zero-width signs included.
+BLANKS = " \t\n\r\u000b\u000c\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 #: Stands for a decimal point while signs are dropped; a private-use character, removed from data first.
 POINT = "\ue000"
 
