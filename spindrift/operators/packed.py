@@ -44,6 +44,12 @@ def split_packed(c: Column, keep_placeholders: bool = False) -> Column:
     keep_placeholders. Square brackets around the whole list go; quotes around a value go;
     an unclosed quote or bracket is ordinary text.
     """
+    # a cell of letters, digits and hyphens alone is one value; most cells are
+    plain = F.filter(F.array(c), lambda v: (F.length(v) > 0) if keep_placeholders else ~is_placeholder(v))
+    return F.when(c.rlike(r"^[\p{L}\p{N}\-]*\z"), plain).otherwise(_split_full(c, keep_placeholders))
+
+
+def _split_full(c: Column, keep_placeholders: bool) -> Column:
     s = strip(c)
     s = F.regexp_replace(s, r"(?s)^[\s,;]*\[([^\[\]]*)\][\s,;]*$", "$1")
     spans = F.regexp_extract_all(s, F.lit(_SPAN), F.lit(0))
