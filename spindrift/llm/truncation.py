@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import strip
+from spindrift.functions.text import BLANKS
 from spindrift.session import cut
 
 #: False-discovery rate of significant lengths (for each source and unit), the neighbours on each
@@ -29,6 +29,8 @@ SHARE, SHARE_AT_LIMIT, SUPPORT = 0.25, 0.35, 4
 OVER_CHANCE = 20.0
 
 _W = r"(?:\p{N}[\p{N}.,:/ ]*\p{N}|[\p{L}\p{M}\p{N}'’\-]*[\p{L}\p{M}\p{N}])"
+#: Characters of a text's end that its judgement looks at: a bracketed remark and three words fit.
+_LAST = 400
 _TAIL = r"[^\p{L}\p{M}\p{N}]*"
 _MARK = r"[.!?…)\]»”\"]"
 
@@ -163,14 +165,15 @@ def judged_endings(df: DataFrame, id_col: str, text_col: str, source_col: str) -
     """find_truncated with the evidence of each text."""
     q = lambda c: F.col(f"`{c}`")
     base = df.select(q(id_col).alias("doc"), q(source_col).cast("string").alias("src"), q(text_col).cast("string").alias("raw"))
-    base = base.withColumn("t", strip(F.col("raw"))).filter("t <> ''")
-    base = base.withColumn("kind", ending_kind(F.col("t")))
+    # trimmed from the right by a set of characters: no pattern runs over the whole text, endings are judged on its tail
+    base = base.withColumn("t", F.rtrim(F.col("raw"), F.lit(BLANKS))).filter("t <> ''").withColumn("tail", F.substring("t", -_LAST, _LAST))
+    base = base.withColumn("kind", ending_kind(F.col("tail")))
     # dots and white space put after a cut do not belong to the text that was cut
-    body = F.when(F.col("kind").isin("dots", "broken"), F.regexp_replace("t", r"[\s.…�]+[»”\"']*$", "")).otherwise(F.col("t"))
-    last = F.element_at(_events(F.substring(body, -400, 400)), -1)  # enough for the last three words
+    body = F.when(F.col("kind").isin("dots", "broken"), F.regexp_replace("tail", r"[\s.…�]+[»”\"']*$", "")).otherwise(F.col("tail"))
+    last = F.element_at(_events(body), -1)
     docs = base.select(
         F.monotonically_increasing_id().alias("row"), "doc", "src", "kind", F.length("raw").alias("chars"), F.octet_length("raw").alias("octets"),
-        F.when(F.col("kind").isin("bare", "dots"), last).alias("e"), F.col("t").rlike(r"\p{Lu}[^\s]*$").alias("upper"),
+        F.when(F.col("kind").isin("bare", "dots"), last).alias("e"), F.col("tail").rlike(r"\p{Lu}[^\s]*$").alias("upper"),
     ).select("row", "doc", "src", "kind", "chars", "octets", "upper", "e.w1", "e.w2", "e.w3")
     docs = cut(docs)
     counts = cut(_corpus_counts(base))
