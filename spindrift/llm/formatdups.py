@@ -25,11 +25,24 @@ def list_key(c: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(split_packed(c, keep_placeholders=True), bare)), "")
 
 
-def canonical_key(exact: list[str], source: str, label: str, listed: str) -> Column:
-    """The full key as one text: each part is written with its length, null apart from every text."""
+def canonical_keys(df: DataFrame, id_col: str, exact: list[str], source: str, label: str, listed: str) -> DataFrame:
+    """(i, k): id and full key of every record, the key as one text.
+
+    Parts are joined by a separator and null has a mark of its own; a record that holds one of these
+    signs itself has each part written with its length instead, so no two different records ever
+    share a key.
+    """
     q = lambda c: F.col(f"`{c}`").cast("string")
-    parts = [bare(q(source)), bare_decimal(q(label)), list_key(q(listed)), *(q(c) for c in exact)]
-    return F.concat(*(F.when(p.isNull(), F.lit("-")).otherwise(F.concat(F.length(p), F.lit(":"), p)) for p in parts))
+    parts = [f"e{i}" for i in range(len(exact))]
+    wide = df.select(
+        F.col(f"`{id_col}`").cast("bigint").alias("i"), bare(q(source)).alias("c0"), bare_decimal(q(label)).alias("c1"), list_key(q(listed)).alias("c2"),
+        *(q(c).alias(p) for c, p in zip(exact, parts)),
+    )
+    every = ["c0", "c1", "c2", *parts]
+    fast = F.concat_ws("\u001f", F.lit("f"), *(F.coalesce(p, F.lit("\u001e")) for p in every))
+    safe = F.concat(F.lit("s"), *(F.coalesce(F.concat(F.length(p), F.lit(":"), p), F.lit("-")) for p in every))
+    clash = F.concat_ws("", *parts).rlike("[\u001e\u001f]") if parts else F.lit(False)  # the other three are letters and digits
+    return wide.select("i", F.when(clash, safe).otherwise(fast).alias("k"))
 
 
 _OUT = "pid int, edge boolean, head boolean, keep_id bigint, copy_id bigint, first_key binary, last_key binary, whole boolean"
@@ -75,7 +88,7 @@ def format_copies(df: DataFrame, id_col: str, source: str, label: str, listed: s
     must not be null; rows repeating an id are copies of each other. Groups of one give no row.
     """
     exact = [c for c in df.columns if c not in {id_col, source, label, listed, *ignore}]
-    keyed = df.select(canonical_key(exact, source, label, listed).cast("binary").alias("k"), F.col(f"`{id_col}`").cast("bigint").alias("i"))
+    keyed = canonical_keys(df, id_col, exact, source, label, listed).select(F.col("k").cast("binary").alias("k"), "i")
     ordered = keyed.repartitionByRange(F.xxhash64("k"), "k", "i").sortWithinPartitions(F.xxhash64("k"), "k", "i")
     found = cut(ordered.mapInArrow(_scan, _OUT))  # the sampled ranges are drawn once
 

@@ -66,3 +66,8 @@ def test_against_brute_force(spark, small):
 def test_list_key(spark, a, b, same):
     r = spark.createDataFrame([(a, b)], "a string, b string").select(fd.list_key(F.col("a")).eqNullSafe(fd.list_key(F.col("b")))).first()[0]
     assert r is same
+
+
+def test_separators_in_data(spark):
+    rows = [(1, "t", "s", "c", None, "x\u001f", "y"), (2, "t", "s", "c", None, "x", "\u001fy"), (3, "t", "S", "c", None, "x", "\u001fy"), (4, "t", "s", "c", None, None, "y"), (5, "t", "s", "c", None, "\u001e", "y")]
+    assert found(frame(spark, rows)) == [(2, 3)]
