@@ -133,6 +133,26 @@ def _near(c: str, lo: float, hi: float) -> str:
     return f"coalesce(({c} - {lo}) / {hi - lo} <= 0.02 OR ({hi} - {c}) / {hi - lo} <= 0.02, FALSE)"
 
 
+def packed_values(c: str) -> str:
+    """List of the values of a packed cell: a decimal comma and the sign of a charge are set aside as chr(1) and
+    chr(2), values are runs of quoted spans, bracketed spans and characters that are no delimiter."""
+    q = "''"
+    s = f"regexp_replace({strip(c)}, '^[\\s,;]*\\[([^\\[\\]]*)\\][\\s,;]*$', '\\1')"
+    s = f"regexp_replace({s}, '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g')"
+    s = f"regexp_replace({s}, '([A-Za-z][0-9]{{1,2}})\\+([^A-Za-z0-9]|$)', '\\1' || chr(2) || '\\2', 'g')"
+    s = f"regexp_replace({s}, '(^|[^A-Za-z0-9-])and([^A-Za-z0-9-]|$)', '\\1;\\2', 'gi')"
+    s = f"regexp_replace({s}, '(^|[^A-Za-z0-9])([nN])/([aA])([^A-Za-z0-9]|$)', '\\1\\2' || chr(3) || '\\3\\4', 'g')"
+    one = f"(\"[^\"]*\"|{q}[^{q}]*{q}|\\([^()]*\\)|[^;；|、，/&\\t\\n\\r,+\"{q}(])+"
+    back = "replace(replace(replace(x, chr(1), ','), chr(2), '+'), chr(3), '/')"
+    bare = f"regexp_replace({strip(back)}, '^(\"([^\"]*)\"|{q}([^{q}]*){q})$', '\\2\\3')"
+    return f"list_transform(regexp_extract_all({s}, '{one}'), lambda x: {strip(bare)})"
+
+
+_PACKED = (
+    f"SELECT raw_row_id, list_filter({packed_values('Promoter_Metal')}, lambda v: lower(v) NOT IN ('', 'na', 'n/a', 'none', 'nan', 'null')) AS v FROM dataset_all WHERE NOT {not_given('Promoter_Metal')}"
+)
+
+
 def _curated() -> str:
     """CTEs of the curation flow: excl1, reasons, primary_rows, groups."""
     na = words(D.NA_TOKENS)
@@ -193,6 +213,7 @@ def oracle_sql() -> dict[str, str]:
     mode_r = "(SELECT support_reducible FROM ni_model_primary WHERE support_reducible IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
     guarded_lines = f"SELECT l_partkey, l_suppkey, line_id, {guard('l_quantity', (1.0, 48.0))} AS l_quantity FROM ({_LINES})"
     return {
+        "p1_found": f"SELECT raw_row_id, unnest(generate_series(1, len(v)))::INT AS pos, unnest(v) AS promoter FROM ({_PACKED}) WHERE len(v) >= 2",
         "range_flag": "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity NOT BETWEEN 5 AND 45 THEN 1 ELSE 0 END::INT AS quantity_flag, CASE WHEN l_discount NOT BETWEEN 0 AND 0.08::DOUBLE THEN 1 ELSE 0 END::INT AS discount_flag FROM lineitem",
         "range_null": f"SELECT event_id, {guard('value', (10.0, 400.0))} AS value FROM events",
         "lenient_cast": "SELECT raw_row_id, " + ", ".join(f"{r6(col(c))} AS {col(c)}" for c in D.VALID_RANGES) + f" FROM ({_PARSED})",
