@@ -83,7 +83,9 @@ def mix(
     placed = sized.join(table, "source").withColumn("h", F.xxhash64(F.lit(seed), "id"))
     # repeated ids lie together, so the order inside a shard is settled by size
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("shards")).cast("int")).drop("shards")
-    per_shard = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect()
+    per_shard: dict[str, list[tuple[int, int]]] = {}  # at most MAX_SHARDS of each source
+    for r in placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect():
+        per_shard.setdefault(r.source, []).append((r.shard, r.t))
 
     total = total_tokens if total_tokens is not None else sum(held.values())
     caps = [held.get(x.source, 0) * max(0, x.r or 0) // block for x in want]
@@ -91,7 +93,7 @@ def mix(
     repeats = {x.source: max(0, x.r or 0) for x in want}
     quotas = []
     for s, n in seats.items():
-        own = sorted((r.shard, r.t) for r in per_shard if r.source == s)
+        own = sorted(per_shard.get(s, []))
         got = sainte_lague([float(t) for _, t in own], n, [-(-t * repeats[s] // block) for _, t in own])
         for (shard, t), k in zip(own, got):
             tokens = min(k * block, t * repeats[s])

@@ -2,6 +2,54 @@
 
 from __future__ import annotations
 
+from spindrift.oracle import col, packed_values
+
+
+def bare(c: str) -> str:
+    return rf"regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+def bare_decimal(c: str) -> str:
+    s = rf"regexp_replace(lower({c}), '[\s\p{{Z}}\x{{200b}}\x{{feff}}]+', '', 'g')"
+    for _ in range(2):  # 1.2.3: matches cannot overlap
+        s = rf"regexp_replace({s}, '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g')"
+    return rf"regexp_replace({s}, '[^\p{{L}}\p{{N}}\x{{e000}}]+', '', 'g')"
+
+
+_IGNORED = ("raw_row_id", "extra_01", "Source_File", "Catalyst", "Promoter_Metal")
+_KEPT = [c for c in (
+    "Canonical_Catalyst_ID", "Active_Metal", "Support", "Support_Normalized", "Metal_Loading_Method", "Precursor_Family", "Support_Prep_Method",
+    "is_approximate_value", "is_range_like_value", "is_literature_comparison", "Ni_Loading_wt%", "Promoter_Loading_wt%", "Calcination_Temp_C", "Calcination_Time_h",
+    "Reduction_Temp_C", "Reduction_Time_h", "Dry_Temp_C", "Dry_Time_h", "Reaction_Temp_C", "MeOH_Conversion_%", "S_C_Ratio", "TOS_h", "Pressure_bar", "GHSV_mL_g_h", "WHSV_h_inv",
+    *(f"extra_{i:02d}" for i in range(2, 29)),
+) if c not in _IGNORED]
+_LIST_KEY = f"array_to_string(list_sort(list_filter(list_transform({packed_values('Promoter_Metal')}, lambda v: {bare('v')}), lambda v: v <> '')), '')"
+_GROUPS = (
+    f"SELECT raw_row_id, min(raw_row_id) OVER (PARTITION BY s, c, p, {', '.join(col(c) for c in _KEPT)}) AS keep_id FROM "
+    f"(SELECT *, {bare('Source_File')} AS s, {bare_decimal('Catalyst')} AS c, CASE WHEN Promoter_Metal IS NOT NULL THEN {_LIST_KEY} END AS p FROM dataset_all)"
+)
+_WORDS = "regexp_extract_all(lower(Catalyst), '[a-z]+')"
+_ROWS = f"SELECT n.row_id, {bare('n.Source_File')} AS s, {bare_decimal('n.Catalyst')} AS c, {_WORDS.replace('Catalyst', 'n.Catalyst')} AS w, n.Reaction_Temp_C AS t, m.\"Set\" AS split FROM ni_model_primary n JOIN split_manifest m USING (row_id)"
+#: One word of six or more letters differs by one edit, everything else is equal.
+_NEAR = (
+    "damerau_levenshtein(a.c, b.c) = 1 AND regexp_replace(a.c, '[a-z]+', 'x', 'g') = regexp_replace(b.c, '[a-z]+', 'x', 'g') AND len(a.w) = len(b.w) AND "
+    "len(list_filter(generate_series(1, len(a.w)), lambda i: a.w[i] <> b.w[i])) = 1 AND len(list_filter(generate_series(1, len(a.w)), lambda i: a.w[i] <> b.w[i] AND "
+    "greatest(length(a.w[i]), length(b.w[i])) >= 6)) = 1"
+)
+_PAIRS = f"WITH r AS ({_ROWS}) SELECT a.row_id AS x, b.row_id AS y, b.split, b.s FROM r a JOIN r b ON a.s = b.s AND a.split = 'Train' AND b.split <> 'Train' AND abs(a.t - b.t) <= 2 + 1e-9 AND (a.c = b.c OR ({_NEAR}))"
+_LINKS = (
+    f"WITH RECURSIVE n AS (SELECT DISTINCT {bare('Source_File')} AS s, CASE WHEN regexp_matches(Canonical_Catalyst_ID, '[0-9]') THEN {bare('Canonical_Catalyst_ID')} END AS i FROM ni_model_primary), "
+    "l AS (SELECT DISTINCT a.s AS a, b.s AS b FROM n a JOIN n b ON a.i = b.i AND a.s <> b.s AND a.s <> '' AND b.s <> ''), "
+    "reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a) "
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": f"SELECT keep_id, raw_row_id AS copy_id FROM ({_GROUPS}) WHERE raw_row_id <> keep_id",
+        "p2_counts": f"SELECT keep_id AS raw_row_id, count(*) AS n_copies FROM ({_GROUPS}) GROUP BY 1",
+        "p4_found": f"SELECT least(x, y) AS row_id_a, greatest(x, y) AS row_id_b FROM ({_PAIRS})",
+        "p4_report": f"WITH p AS ({_PAIRS}), h AS (SELECT split, s, count(DISTINCT y) AS n_overlapping, count(*) AS n_pairs FROM p GROUP BY ALL), t AS (SELECT split, s, count(*) AS n_records FROM ({_ROWS}) WHERE split <> 'Train' GROUP BY ALL) "
+        "SELECT t.split, t.s AS source, n_records, coalesce(n_overlapping, 0) AS n_overlapping, coalesce(n_pairs, 0) AS n_pairs FROM t LEFT JOIN h ON t.split = h.split AND t.s IS NOT DISTINCT FROM h.s",
+        "p5_found": _LINKS + "SELECT DISTINCT a AS source_a, b AS source_b FROM reach WHERE a < b",
+    }

@@ -112,6 +112,8 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = ["p2_found", "p2_counts", "p3_found", "p3_report", "p4_found", "p4_report", "p5_found", "p5_split", "p5_shares", "p6_ids", "p7_mixture", "p7_shares",
-             "p8_found", "p8_rates", "p8_limits"]
+    names = [
+        "p2_found", "p2_counts", "p3_found", "p3_report", "p4_found", "p4_report", "p5_found", "p5_split", "p5_shares", "p6_ids", "p7_mixture", "p7_shares",
+        "p8_found", "p8_rates", "p8_limits",
+    ]
     return {n: globals()[n] for n in names}
