@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators.quantiles import quantiles
+
 #: Most category columns of one feature.
 MAX_CATEGORIES = 10_000
 
@@ -31,23 +33,25 @@ class FeatureEncoder:
     state: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> "FeatureEncoder":
-        """One aggregate for all numeric and binary features, one for all categories. Nulls are imputed by
+        """A few aggregates, each for all features of a kind. Nulls are imputed by
         the median, the word Unknown, or the mode (0 where a column is all null)."""
-        med = df.agg(F.count(F.lit(1)).alias("rows"), *(F.median(_q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(self.numeric)), *(F.mode(_q(c).cast("double"), deterministic=True).alias(f"b{i}") for i, c in enumerate(self.binary)), *(F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(self.numeric))).first()
-        medians = [med[f"m{i}"] if med[f"m{i}"] is not None else 0.0 for i in range(len(self.numeric))]
-        modes = [med[f"b{i}"] if med[f"b{i}"] is not None else 0.0 for i in range(len(self.binary))]
+        one = df.agg(F.count(F.lit(1)).alias("rows"), *(F.mode(_q(c).cast("double"), deterministic=True).alias(f"b{i}") for i, c in enumerate(self.binary)), *(F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(self.numeric))).first()
+        mids = quantiles(df, {c: _q(c) for c in self.numeric}, [0.5])
+        medians = [mids[c][0] if mids[c][0] is not None else 0.0 for c in self.numeric]
+        modes = [one[f"b{i}"] if one[f"b{i}"] is not None else 0.0 for i in range(len(self.binary))]
         filled = [F.coalesce(_q(c).cast("double"), F.lit(m)) for c, m in zip(self.numeric, medians)]
         center, spread = [0.0] * len(filled), [1.0] * len(filled)
-        if filled and self.scale != "none":
-            parts = []
-            for i, v in enumerate(filled):
-                parts += [F.avg(v).alias(f"a{i}"), F.stddev_pop(v).alias(f"s{i}")] if self.scale == "standard" else [F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")]
-            got = df.agg(*parts).first()
-            for i in range(len(filled)):
-                c, s = (got[f"a{i}"], got[f"s{i}"]) if self.scale == "standard" else ((got[f"q{i}"][1], got[f"q{i}"][2] - got[f"q{i}"][0]) if got[f"q{i}"] else (None, None))
-                center[i] = c if c is not None else 0.0
-                # a spread of rounding size is a constant column
-                spread[i] = s if s is not None and s > 1e-12 * max(1.0, abs(center[i])) else 1.0
+        found: list[tuple] = []
+        if self.scale == "standard" and filled:
+            got = df.agg(*(x for i, v in enumerate(filled) for x in (F.avg(v).alias(f"a{i}"), F.stddev_pop(v).alias(f"s{i}")))).first()
+            found = [(got[f"a{i}"], got[f"s{i}"]) for i in range(len(filled))]
+        elif self.scale == "robust":
+            q = quantiles(df, dict(zip(self.numeric, filled)), [0.25, 0.5, 0.75])
+            found = [(m, None if m is None else hi - lo) for lo, m, hi in (q[c] for c in self.numeric)]
+        for i, (c, s) in enumerate(found):
+            center[i] = c if c is not None else 0.0
+            # a spread of rounding size is a constant column
+            spread[i] = s if s is not None and s > 1e-12 * max(1.0, abs(center[i])) else 1.0
         cats: dict[str, tuple[list[str], bool]] = {}
         if self.categorical:
             long = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.coalesce(_q(c).cast("string"), F.lit("Unknown")).alias("v")) for i, c in enumerate(self.categorical)))).alias("x")).select("x.*")
@@ -60,7 +64,7 @@ class FeatureEncoder:
                 cats[c] = ([], i in rare)
             for r in often.orderBy("i", "v").collect():
                 cats[self.categorical[r.i]][0].append(r.v)
-        missing = [c for i, c in enumerate(self.numeric) if self.indicators and med[f"n{i}"] < med["rows"]]
+        missing = [c for i, c in enumerate(self.numeric) if self.indicators and one[f"n{i}"] < one["rows"]]
         # values below the frequency limit are listed so that unseen ones can be told apart
         self.state = {"median": medians, "center": center, "spread": spread, "mode": modes, "categories": cats, "missing": missing}
         if any(has for _, has in cats.values()):

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators.quantiles import quantiles
+
 
 def _q(c: str) -> Column:
     return F.col(f"`{c}`")
@@ -23,13 +25,14 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
 
 def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(Metric, Mean, SD, Median, Min, Max) of each column: sample SD, exact median."""
+    mid = quantiles(df, {c: _q(c) for c in columns}, [0.5])
     aggs = []
     for i, c in enumerate(columns):
         v = _q(c).cast("double")
-        aggs += [F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"b{i}"), F.median(v).alias(f"c{i}"), F.min(v).alias(f"d{i}"), F.max(v).alias(f"e{i}")]
-    one = df.agg(*aggs)
-    rows = F.array(*(F.struct(F.lit(c).alias("Metric"), *(F.col(f"{k}{i}").alias(n) for k, n in zip("abcde", ("Mean", "SD", "Median", "Min", "Max")))) for i, c in enumerate(columns)))
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+        aggs += [F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"b{i}"), F.min(v).alias(f"d{i}"), F.max(v).alias(f"e{i}")]
+    one = df.agg(*aggs).first()
+    rows = [(c, one[f"a{i}"], one[f"b{i}"], mid[c][0], one[f"d{i}"], one[f"e{i}"]) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "Metric string, Mean double, SD double, Median double, Min double, Max double")
 
 
 def mode_or(c: Column, fallback) -> Column:
@@ -45,22 +48,22 @@ def adaptive_bounds(df: DataFrame, physical: Mapping[str, tuple[float, float]],
     """(Parameter, Lower, Upper, Physical_Lower, Physical_Upper) of each column.
 
     Two or more distinct values: quantiles inside the physical bounds; one: ten percent around it; none:
-    the physical bounds. Bounds that would not be apart are spread. One aggregate over the table.
+    the physical bounds. Bounds that would not be apart are spread.
     """
-    aggs = []
-    for i, c in enumerate(physical):
-        v = _q(c).cast("double")
-        aggs += [F.percentile(v, F.array(F.lit(low), F.lit(high))).alias(f"q{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    one = df.agg(*aggs)
+    got = quantiles(df, {c: _q(c) for c in physical}, [0.0, low, high, 1.0])
     rows = []
-    for i, (c, (pl, ph)) in enumerate(physical.items()):
-        lo, hi, q = F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"q{i}")
-        single = lo == hi
-        lower = F.when(lo.isNull(), F.lit(float(pl))).when(single, F.greatest(F.lit(float(pl)), lo * 0.9)).otherwise(F.greatest(F.lit(float(pl)), q[0]))
-        upper = F.when(lo.isNull(), F.lit(float(ph))).when(single, F.least(F.lit(float(ph)), lo * 1.1 + 1e-6)).otherwise(F.least(F.lit(float(ph)), q[1]))
-        fixed = F.when(upper <= lower, F.least(F.lit(float(ph)), lower + F.greatest(F.lit(1.0), F.abs(lower) * 0.1))).otherwise(upper)
-        rows.append(F.struct(F.lit(c).alias("Parameter"), lower.alias("Lower"), fixed.alias("Upper"), F.lit(float(pl)).alias("Physical_Lower"), F.lit(float(ph)).alias("Physical_Upper")))
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    for c, (pl, ph) in physical.items():
+        least, q_low, q_high, most = got[c]
+        if least is None:
+            lower, upper = pl, ph
+        elif least == most:
+            lower, upper = max(pl, least * 0.9), min(ph, least * 1.1 + 1e-6)
+        else:
+            lower, upper = max(pl, q_low), min(ph, q_high)
+        if upper <= lower:
+            upper = min(ph, lower + max(1.0, abs(lower) * 0.1))
+        rows.append((c, float(lower), float(upper), float(pl), float(ph)))
+    return df.sparkSession.createDataFrame(rows, "Parameter string, Lower double, Upper double, Physical_Lower double, Physical_Upper double")
 
 
 def select_model(comparison: DataFrame, window: float = 0.02) -> DataFrame:

@@ -145,3 +145,17 @@ def test_encoder(spark):
     got = np.array([v.features for v in r.transform(df.withColumn("k", F.lit(4.0))).orderBy("id").collect()])
     assert np.allclose(got[:, 0], (x - q[1]) / (q[2] - q[0])) and (got[:, 1] == 0).all()
     FeatureEncoder(["x"], ["c"], ["b"]).fit(df.limit(0))
+
+
+def test_quantiles_both_ways(spark):
+    from spindrift.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 40, 997).astype(float), rng.normal(size=997)
+    df = spark.createDataFrame([(float(a), float(b) if i % 3 else None, None) for i, (a, b) in enumerate(zip(x, y))], "x double, y double, z double").repartition(6)
+    cols, probs = {c: F.col(c) for c in "xyz"}, [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
+    want = {"x": np.quantile(x, probs), "y": np.quantile(y[np.arange(997) % 3 != 0], probs)}
+    for large in (10**6, 10):
+        got = quantiles(df, cols, probs, large)
+        assert got["z"] == [None] * 6 and all(np.allclose(got[c], want[c]) for c in want)
+    assert quantiles(df.limit(0), cols, probs, 0)["x"] == [None] * 6
