@@ -20,7 +20,7 @@ import regex
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Bounds of the memo tables of one Python worker (entries); a full table is emptied, never trusted less.
-MEMO_PIECES, MEMO_PAIRS, MEMO_LEN = 400_000, 2_000_000, 64
+MEMO_PIECES, MEMO_PAIRS, MEMO_LEN = 200_000, 500_000, 64
 
 
 def default_path(name: str = "byte_bpe_50k.tiktoken") -> str:
