@@ -40,14 +40,9 @@ def _events(col: Column) -> Column:
     ('^' at the start), and how it ends: T sentence sign or bracket, D dots, U line or text ends
     without a sign, C it goes on. A full stop after a very short word may be an abbreviation: it ends
     (A, counted as T) but does not part the words."""
-    els = F.regexp_extract_all(F.lower(col), F.lit(rf"{_W}{_TAIL}"), F.lit(0))
+    each = rf"({_W})({_TAIL})"
 
-    def one(e: Column) -> Column:
-        tail = F.regexp_extract(e, _TAIL + "$", 0)
-        return F.transform(F.array(F.struct(F.substring(e, F.lit(1), F.length(e) - F.length(tail)).alias("w"), tail.alias("t"))), parts)[0]
-
-    def parts(x: Column) -> Column:
-        word, tail = x["w"], x["t"]
+    def parts(word: Column, tail: Column) -> Column:
         end = (
             F.when(tail == " ", "C").when(tail.rlike(r"…|\.\s*\."), "D").when((tail == ". ") & (F.length(word) <= 4), "A")
             .when(tail.rlike(rf"{_MARK}|[(\[]"), "T").when(tail.rlike(r"[\r\n]"), "U").otherwise("C")
@@ -55,7 +50,8 @@ def _events(col: Column) -> Column:
         number = (F.substring(word, F.lit(1), F.lit(1)) <= "9") & word.rlike(r"^\p{N}[\p{N}.,:/ ]*$")
         return F.struct(F.when(number, "#").otherwise(word).alias("w"), end.alias("end"))
 
-    marked = F.transform(els, one)
+    # bound as a lambda variable, so the text is lowered once
+    marked = F.transform(F.array(F.lower(col)), lambda t: F.zip_with(F.regexp_extract_all(t, F.lit(each), F.lit(1)), F.regexp_extract_all(t, F.lit(each), F.lit(2)), parts))[0]
 
     def grams(ws: Column) -> Column:
         n = F.size(ws)
