@@ -178,6 +178,17 @@ def model_distributed_boosting(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(ready).select("row_id", F.col("label").alias("Actual"), F.col("prediction").alias("Predicted"))
 
 
+@flow
+def model_linear(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge and elastic net on every row of the primary table: metrics of both."""
+    out = None
+    for name, share in (("Ridge", 0.0), ("ElasticNet", 0.5)):
+        model, ready, _ = T.linear(_primary(spark, d), 0.5, share)
+        m = stats.regression_metrics(model.transform(ready).withColumn("Model", F.lit(name)), "label", "prediction", ["Model"])
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 @flow
 def treeshap_additivity(spark: SparkSession, d: str) -> DataFrame:
     """Shapley sums of every row against its prediction; error stays at rounding size."""

@@ -187,3 +187,15 @@ def distributed_boosting(df: DataFrame, trees: int = 20, depth: int = 3, seed: i
     ready = enc.transform(df, "__f").withColumn("features", array_to_vector("__f")).drop("__f").withColumn("label", F.col(f"`{D.TARGET}`"))
     ready = cut(ready.select("row_id", "features", "label"))
     return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.75, seed=seed, maxBins=64).fit(ready), ready, enc.names
+
+
+def linear(df: DataFrame, l2: float = 1.0, l1_share: float = 0.0):
+    """Ridge (l1_share 0) or elastic net by pyspark.ml over all rows, on the exact encoding."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    from spindrift.operators.encode import FeatureEncoder
+
+    enc = FeatureEncoder(D.NUMERIC_FEATURES, D.CATEGORICAL_FEATURES, D.BINARY_FEATURES).fit(df)
+    ready = cut(enc.transform(df, "__f").select("row_id", array_to_vector("__f").alias("features"), F.col(f"`{D.TARGET}`").alias("label")).filter("label is not null"))
+    return LinearRegression(regParam=l2, elasticNetParam=l1_share, standardization=False).fit(ready), ready, enc.names

@@ -20,6 +20,7 @@ def get_session(app: str = "spindrift", cpus: int | None = None, **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)

@@ -41,7 +41,7 @@ def test_same_as_duckdb(spark, small, con, name):
     assert rows(df.columns, df.collect()) == rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["curate_accounting", "model_gbt_predict", "model_learning_curve", "treeshap_additivity", "shap_top_sources", "pso_top", "tsne_2d", "grid_draws", "file_hashes"])
+@pytest.mark.parametrize("name", ["curate_accounting", "model_gbt_predict", "model_learning_curve", "model_linear", "treeshap_additivity", "shap_top_sources", "pso_top", "tsne_2d", "grid_draws", "file_hashes"])
 def test_flows_run(spark, small, name):
     assert flow_queries()[name](spark, small).count() > 0
 
