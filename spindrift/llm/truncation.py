@@ -44,7 +44,7 @@ def _events(col: Column) -> Column:
 
     def parts(word: Column, tail: Column) -> Column:
         end = (
-            F.when(tail == " ", "C").when(tail.rlike(r"…|\.\s*\."), "D").when((tail == ". ") & (F.length(word) <= 4), "A")
+            F.when(tail == " ", "C").when(tail.rlike(r"…|\.\s*\."), "D").when((F.length(word) <= 4) & tail.rlike(r"^\.[ \u00a0]+$"), "A")
             .when(tail.rlike(rf"{_MARK}|[(\[]"), "T").when(tail.rlike(r"[\r\n]"), "U").otherwise("C")
         )
         number = (F.substring(word, F.lit(1), F.lit(1)) <= "9") & word.rlike(r"^\p{N}[\p{N}.,:/ ]*$")
