@@ -19,7 +19,7 @@ def test_support(spark, text, want):
 
 
 @pytest.mark.parametrize("value,label,want", [("Co-precipitation", None, "Co-precipitation"), (None, "sol gel Ni", "Sol-gel"), ("wetness", "x", "Impregnation"), ("", "hydrotalcite Ni", "Hydrothermal"),
-    ("ball milled", None, "Other"), ("Ball milling", None, "Ball milling"), ("polyol", None, "Polyol"), (None, None, "Unknown"), ("Unknown", None, "Other"), (" ", None, "Unknown")])
+    ("ball mill", None, "Ball milling"), ("ball pressed", None, "Other"), ("milled in a Ball", None, "Ball milling"), ("polyol", None, "Polyol"), (None, None, "Unknown"), ("Unknown", None, "Other"), (" ", None, "Unknown")])
 def test_method(spark, value, label, want):
     assert one(spark, R.classify_method(F.col("v"), F.col("l"), D.METHOD_RULES), v=value, l=label) == want
 
