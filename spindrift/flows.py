@@ -232,7 +232,7 @@ def ablation_cv(spark: SparkSession, d: str) -> DataFrame:
 
 def _searched(spark: SparkSession, d: str) -> DataFrame:
     p, m = _fitted(spark, d)
-    return search.search(spark, search.build_space(p.rows, 1000), m, iterations=15)
+    return search.search(spark, search.build_space(p.rows), m, iterations=15)
 
 
 @flow

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,29 +14,33 @@ from spindrift import domain as D
 from spindrift.models import estimators as E
 from spindrift.models import lane
 from spindrift.models import matrix as M
-from spindrift.operators import ranking, stats
+from spindrift.operators import neighbours, ranking, stats
+from spindrift.operators.quantiles import quantiles
+from spindrift.session import cut
 from spindrift.sources import records
 
-#: Rows that stand for the measured domain, and most families sent to the search tasks.
-DOMAIN_ROWS, MAX_FAMILIES = 5_000, 100_000
+#: Most domain rows that are sent to the search tasks (beyond, distances are taken from the table, in blocks), most
+#: families sent to them, and rows of one task of the threshold.
+LOCAL_ROWS, MAX_FAMILIES, BLOCK = 250_000, 100_000, 2_048
 _PROPS = ("prom_electronegativity", "prom_ionic_radius", "prom_atomic_mass", "prom_first_ionization")
 
 
 @dataclass
 class Space:
-    """Everything a search task needs, of bounded size."""
+    """Everything a search needs. The domain is all rows: in anchors, or in table where they are too many to send."""
 
     low: np.ndarray
     high: np.ndarray
     fixed: dict
     families: dict[str, pd.DataFrame]
-    anchors: np.ndarray  # scaled domain rows
+    anchors: np.ndarray | None  # scaled domain rows
     center: np.ndarray
     spread: np.ndarray
     medians: np.ndarray
     threshold: float
     promoters: dict
     supports: dict
+    table: DataFrame | None = None  # (id, v): scaled domain rows
 
 
 def assumptions(df: DataFrame) -> dict:
@@ -58,21 +62,38 @@ def eligible_families(df: DataFrame, least: int = 10) -> DataFrame:
     return out
 
 
-def mean_knn(anchors: np.ndarray, x: np.ndarray, k: int, exclude_self: bool = False) -> np.ndarray:
-    out = np.empty(len(x))
-    for at in range(0, len(x), 512):
-        part = x[at : at + 512]
-        d = np.maximum((part * part).sum(1)[:, None] + (anchors * anchors).sum(1)[None, :] - 2 * part @ anchors.T, 0)
-        if exclude_self:
-            d[np.arange(len(part)), at + np.arange(len(part))] = np.inf
-        m = min(k, d.shape[1] - exclude_self)
-        out[at : at + 512] = np.sqrt(np.sort(np.partition(d, m - 1, axis=1)[:, :m], axis=1)).mean(1) if m > 0 else np.inf
+def mean_knn(anchors: np.ndarray, x: np.ndarray, k: int, own_at: int | None = None) -> np.ndarray:
+    """own_at: x are the anchors from there on, none of which is a neighbour of itself."""
+    out, size = np.empty(len(x)), (anchors * anchors).sum(1)
+    step = max(16, min(512, 8_000_000 // max(1, len(anchors))))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        d = np.maximum((part * part).sum(1)[:, None] + size[None, :] - 2 * part @ anchors.T, 0)
+        if own_at is not None:
+            d[np.arange(len(part)), own_at + at + np.arange(len(part))] = np.inf
+        m = min(k, d.shape[1] - (own_at is not None))
+        out[at : at + step] = np.sqrt(np.sort(np.partition(d, m - 1, axis=1)[:, :m], axis=1)).mean(1) if m > 0 else np.inf
     return out
 
 
-def build_space(df: DataFrame, domain_rows: int = DOMAIN_ROWS, seed: int = 42, least: int = 10) -> Space:
-    """Bounds and operating point from all rows; the domain from a bounded sample in drawn order, median
-    imputed and robustly scaled; the threshold is the 95th percentile of its own mean 5-NN distances."""
+def _own_distances(spark, anchors: np.ndarray) -> np.ndarray:
+    """Mean 5-NN distance of every anchor to the others, in blocks spread over the tasks."""
+    shared = spark.sparkContext.broadcast(anchors)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in b["at"]:
+                yield pd.DataFrame({"d": mean_knn(shared.value, shared.value[at : at + BLOCK], 5, own_at=int(at))})
+
+    starts = spark.createDataFrame([(i,) for i in range(0, len(anchors), BLOCK)] or [(0,)], "at int")
+    tasks = min(-(-len(anchors) // BLOCK), 4 * spark.sparkContext.defaultParallelism) or 1
+    return starts.repartition(tasks, "at").mapInPandas(run, "d double").toPandas()["d"].to_numpy(float)
+
+
+def build_space(df: DataFrame, local_rows: int = LOCAL_ROWS, least: int = 10) -> Space:
+    """Bounds, operating point and domain from all rows; the domain is median imputed and robustly scaled, its
+    threshold the 95th percentile of its own mean 5-NN distances. local_rows decides only where distances
+    are computed: in the search tasks or, for a larger table, by operators.neighbours."""
     spark = df.sparkSession
     b = stats.adaptive_bounds(df, {c: D.VALID_RANGES[c] for c in D.SEARCH_COLUMNS}).collect()  # one row a column
     by = {r.Parameter: r for r in b}
@@ -80,22 +101,41 @@ def build_space(df: DataFrame, domain_rows: int = DOMAIN_ROWS, seed: int = 42, l
     if fam.limit(MAX_FAMILIES + 1).count() > MAX_FAMILIES:
         raise ValueError(f"more than {MAX_FAMILIES} eligible families")
     fam = fam.orderBy("Track", F.desc("Dataset_Count"), "Family").toPandas()
-    x = lane.bounded_sample(df, "row_id", D.DOMAIN_COLUMNS, domain_rows, seed)[D.DOMAIN_COLUMNS].to_numpy(float)
-    with np.errstate(all="ignore"):
-        med = np.nan_to_num(np.nanmedian(x, axis=0)) if len(x) else np.zeros(len(D.DOMAIN_COLUMNS))
-    x = np.where(np.isnan(x), med, x)
-    q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75], axis=0) if len(x) else (med, med, med)
+    raw = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in D.DOMAIN_COLUMNS}
+    med = np.array([m or 0.0 for (m,) in quantiles(df, raw, [0.5]).values()])
+    filled = {c: F.coalesce(v, F.lit(float(m))) for (c, v), m in zip(raw.items(), med)}
+    q = [v if v[0] is not None else [0.0] * 3 for v in quantiles(df, filled, [0.25, 0.5, 0.75]).values()]
+    q1, q2, q3 = np.array(q).T
     spread = np.where(q3 - q1 > 1e-12, q3 - q1, 1.0)
-    anchors = (x - q2) / spread
-    own = mean_knn(anchors, anchors, 5, exclude_self=True)
+    scaled = F.array(*((v - F.lit(float(m))) / F.lit(float(w)) for v, m, w in zip(filled.values(), q2, spread)))
+    table = cut(df.select(F.monotonically_increasing_id().alias("id"), scaled.alias("v")))
+    if table.limit(local_rows + 1).count() <= local_rows:
+        anchors = table.select(*(F.col("v")[i].alias(f"v{i}") for i in range(len(med)))).toPandas().to_numpy(float)
+        own = _own_distances(spark, anchors)
+        own = own[np.isfinite(own)]
+        threshold, table = float(np.quantile(own, 0.95)) if len(own) else 0.0, None
+    else:
+        own = cut(neighbours.mean_distance(neighbours.nearest(table, table, "id", "v", 5)))
+        anchors, threshold = None, quantiles(own, {"d": F.col("mean_distance")}, [0.95])["d"][0] or 0.0
     return Space(
         np.array([by[c].Lower for c in D.SEARCH_COLUMNS]), np.array([by[c].Upper for c in D.SEARCH_COLUMNS]), assumptions(df),
-        {t: fam[fam["Track"] == t].reset_index(drop=True) for t in ("promoted", "unpromoted")}, anchors, q2, spread, med,
-        float(np.quantile(own[np.isfinite(own)], 0.95)) if np.isfinite(own).any() else 0.0,
-        {r[0]: r[1:] for r in records.promoters(spark).collect()}, {r[0]: r[1:] for r in records.supports(spark).collect()},
+        {t: fam[fam["Track"] == t].reset_index(drop=True) for t in ("promoted", "unpromoted")}, anchors, q2, spread, med, threshold,
+        {r[0]: r[1:] for r in records.promoters(spark).collect()}, {r[0]: r[1:] for r in records.supports(spark).collect()}, table,
     )
 
 
+def distances(s: Space, x: np.ndarray) -> np.ndarray:
+    """Mean distance of each scaled vector to its five nearest of all domain rows."""
+    if s.table is None:
+        return mean_knn(s.anchors, x, 5)
+    asked = s.table.sparkSession.createDataFrame([(-1 - i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")  # no id of the table
+    got = neighbours.mean_distance(neighbours.nearest(s.table, asked, "id", "v", 5)).collect()  # one row a candidate
+    out = np.full(len(x), np.inf)
+    for r in got:
+        out[-1 - r.query_id] = r.mean_distance
+    return out
+
+
 def build_frame(s: Space, pos: np.ndarray, temp: float, track: str) -> pd.DataFrame:
     """Candidates of positions (continuous columns, then the family's number) at a fixed operating point."""
     fam = s.families[track]
@@ -119,12 +159,14 @@ def build_frame(s: Space, pos: np.ndarray, temp: float, track: str) -> pd.DataFr
     return out
 
 
-def evaluate(s: Space, frame: pd.DataFrame, model: dict, encoder: dict) -> pd.DataFrame:
+def scaled(s: Space, frame: pd.DataFrame) -> np.ndarray:
+    x = frame[D.DOMAIN_COLUMNS].to_numpy(float)
+    return (np.where(np.isnan(x), s.medians, x) - s.center) / s.spread
+
+
+def evaluate(s: Space, frame: pd.DataFrame, model: dict, encoder: dict, dist: np.ndarray) -> pd.DataFrame:
     """The frame with prediction, domain distance, flags and penalised score."""
     raw = E.predict(model, M.apply_matrix(encoder, lane._usable(frame)))
-    x = frame[D.DOMAIN_COLUMNS].to_numpy(float)
-    x = (np.where(np.isnan(x), s.medians, x) - s.center) / s.spread
-    dist = mean_knn(s.anchors, x, 5)
     within, beyond = dist <= s.threshold, (raw < 0) | (raw > 100)
     v, span = frame[D.SEARCH_COLUMNS].to_numpy(float), np.maximum(s.high - s.low, 1e-9)
     near = ((v - s.low) / span <= 0.02).any(1) | ((s.high - v) / span <= 0.02).any(1)
@@ -142,14 +184,18 @@ def box(s: Space, track: str) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
-def swarm(s: Space, model: dict, encoder: dict, temp: float, track: str, particles: int, iterations: int, seed: int) -> tuple[pd.DataFrame, list[float]]:
-    """Best positions of all particles, evaluated, and the best score after each iteration (never falling)."""
+#: A search in steps: yields scaled vectors, is sent their distances, returns the frame and its trace.
+Steps = Generator[np.ndarray, np.ndarray, tuple[pd.DataFrame, list[float]]]
+
+
+def _swarm(s: Space, model: dict, encoder: dict, temp: float, track: str, particles: int, iterations: int, seed: int) -> Steps:
     rng = np.random.default_rng(seed)
     low, high = box(s, track)
     pos = low + (high - low) * rng.random((particles, len(low)))
     vel, best, best_score, trace = np.zeros_like(pos), pos.copy(), np.full(particles, -np.inf), []
     for _ in range(iterations):
-        score = evaluate(s, build_frame(s, pos, temp, track), model, encoder)["Optimization_Score"].to_numpy()
+        frame = build_frame(s, pos, temp, track)
+        score = evaluate(s, frame, model, encoder, (yield scaled(s, frame)))["Optimization_Score"].to_numpy()
         up = score > best_score
         best[up], best_score[up] = pos[up], score[up]
         lead = best[best_score.argmax()]
@@ -157,7 +203,35 @@ def swarm(s: Space, model: dict, encoder: dict, temp: float, track: str, particl
         pull = 1.45 * rng.random(pos.shape) * (best - pos) + 1.45 * rng.random(pos.shape) * (lead - pos)
         vel = 0.72 * vel + pull
         pos = np.clip(pos + vel, low, high)
-    return evaluate(s, build_frame(s, best, temp, track), model, encoder), trace
+    frame = build_frame(s, best, temp, track)
+    return evaluate(s, frame, model, encoder, (yield scaled(s, frame))), trace
+
+
+def _draws(s: Space, model: dict, encoder: dict, temp: float, track: str, n: int, seed: int) -> Steps:
+    low, high = box(s, track)
+    frame = build_frame(s, low + (high - low) * np.random.default_rng(seed).random((n, len(low))), temp, track)
+    return evaluate(s, frame, model, encoder, (yield scaled(s, frame))), []
+
+
+def _run(s: Space, searches: list[Steps]) -> list[tuple[pd.DataFrame, list[float]]]:
+    """Results of searches that go in step: the vectors of one step of all are measured together."""
+    done: list = [None] * len(searches)
+    asked = {i: next(g) for i, g in enumerate(searches)}
+    while asked:
+        got, at, more = distances(s, np.concatenate(list(asked.values()))), 0, {}
+        for i, x in asked.items():
+            try:
+                more[i] = searches[i].send(got[at : at + len(x)])
+            except StopIteration as end:
+                done[i] = end.value
+            at += len(x)
+        asked = more
+    return done
+
+
+def swarm(s: Space, model: dict, encoder: dict, temp: float, track: str, particles: int, iterations: int, seed: int) -> tuple[pd.DataFrame, list[float]]:
+    """Best positions of all particles, evaluated, and the best score after each iteration (never falling)."""
+    return _run(s, [_swarm(s, model, encoder, temp, track, particles, iterations, seed)])[0]
 
 
 _OUT = [*D.SEARCH_COLUMNS, "Reaction_Temp_C", "Family", "Dataset_Count", "Track", "Raw_Prediction", "Predicted_Conversion", "AD_Mean_5NN_Distance", "Within_AD", "Out_of_Physical_Range", "Boundary_Flag", "Optimization_Score"]
@@ -170,26 +244,35 @@ def search(spark, s: Space, model: dict, temperatures: list[float] | None = None
     with Search and draw number. Every task has a seed of its own, so results do not depend on how tasks are
     spread. A track without families gives no rows."""
     temps = temperatures or D.SEARCH_TEMPERATURES
-    shared = spark.sparkContext.broadcast((s, model["model"], model["encoder"]))
     tracks = [t for t in ("promoted", "unpromoted") if len(s.families[t])]
     jobs = [("Swarm", t, k, 0, particles) for t in temps for k in tracks]
     jobs += [("Random", t, k, at, min(chunk, draws - at)) for t in temps for k in tracks for at in range(0, draws, chunk)]
 
+    def steps(space: Space, data: dict, enc: dict, kind: str, temp: float, track: str, at: int, n: int) -> Steps:
+        own = int.from_bytes(f"{seed}|{kind}|{temp}|{track}|{at}".encode()[-8:], "big") + seed
+        return _swarm(space, data, enc, temp, track, n, iterations, own) if kind == "Swarm" else _draws(space, data, enc, temp, track, n, own)
+
+    def labelled(out: pd.DataFrame, kind: str, at: int) -> pd.DataFrame:
+        return out[_OUT].assign(Search=kind, draw=at + np.arange(len(out)))
+
+    schema = f"{_SCHEMA}, Search string, draw bigint"
+    if s.table is not None:  # all searches in step, so that the table is read once a step
+        if not jobs:
+            return spark.createDataFrame([], schema)
+        data, enc = E.from_bytes(model["model"]), M.loads(model["encoder"])
+        done = _run(s, [steps(s, data, enc, *j) for j in jobs])
+        return spark.createDataFrame(pd.concat([labelled(out, j[0], j[3]) for j, (out, _) in zip(jobs, done)]), schema)
+    shared = spark.sparkContext.broadcast((s, model["model"], model["encoder"]))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space, data, enc = shared.value[0], E.from_bytes(shared.value[1]), M.loads(shared.value[2])
         for b in batches:
             for j in b.itertuples(index=False):
-                own = int.from_bytes(f"{seed}|{j.kind}|{j.temp}|{j.track}|{j.at}".encode()[-8:], "big") + seed
-                if j.kind == "Swarm":
-                    out, _ = swarm(space, data, enc, j.temp, j.track, j.n, iterations, own)
-                else:
-                    low, high = box(space, j.track)
-                    pos = low + (high - low) * np.random.default_rng(own).random((j.n, len(low)))
-                    out = evaluate(space, build_frame(space, pos, j.temp, j.track), data, enc)
-                yield out[_OUT].assign(Search=j.kind, draw=j.at + np.arange(len(out)))
+                out, _ = _run(space, [steps(space, data, enc, j.kind, j.temp, j.track, j.at, j.n)])[0]
+                yield labelled(out, j.kind, j.at)
 
     table = spark.createDataFrame([(i, *j) for i, j in enumerate(jobs)], "i int, kind string, temp double, track string, at int, n int")
-    return table.repartition(min(len(jobs), 4 * spark.sparkContext.defaultParallelism) or 1, "i").mapInPandas(run, f"{_SCHEMA}, Search string, draw bigint")
+    return table.repartition(min(len(jobs), 4 * spark.sparkContext.defaultParallelism) or 1, "i").mapInPandas(run, schema)
 
 
 def ranked(found: DataFrame) -> DataFrame:

@@ -77,6 +77,23 @@ def test_training_and_search(spark, small):
     assert a.count() == 70 and sorted(map(str, a.collect())) == sorted(map(str, a.repartition(3).collect()))
 
 
+def test_search_domain_is_every_row(spark, small):
+    df = load(spark, small, "ni_model_primary")
+    v = df.select(*(F.col(f"`{c}`").cast("double") for c in D.DOMAIN_COLUMNS)).toPandas().to_numpy(float)
+    v = np.where(np.isnan(v), np.nan_to_num(np.nanmedian(v, axis=0)), v)
+    q1, q2, q3 = np.quantile(v, [0.25, 0.5, 0.75], axis=0)
+    v = (v - q2) / np.where(q3 - q1 > 1e-12, q3 - q1, 1.0)
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = np.quantile(np.sort(d, axis=1)[:, :5].mean(1), 0.95)
+    sent, kept = search.build_space(df), search.build_space(df, 100)
+    assert len(sent.anchors) == kept.table.count() == df.count() and sent.table is kept.anchors is None
+    assert np.allclose([sent.threshold, kept.threshold], want)
+    x = np.random.default_rng(1).normal(size=(20, v.shape[1]))
+    near = np.sort(np.sqrt(((x[:, None] - v[None]) ** 2).sum(2)), axis=1)[:, :5].mean(1)
+    assert np.allclose(search.distances(sent, x), near) and np.allclose(search.distances(kept, x), near)
+
+
 def test_projection_covers_all(spark):
     df = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(90)] + [(500, None)], "id long, v array<double>")
     r = project.project(df, "id", "v", 30, exact_rows=40).collect()
