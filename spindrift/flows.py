@@ -1,6 +1,6 @@
 """Queries of the whole flows: curation, model evidence, attribution, search, projection.
 
-The numbers of trees, draws and iterations are turned down here (the plans default to the locked ones);
+Trees, draws, seeds, folds and iterations are the plans' defaults, the locked ones;
 rows are never left out: fits use their documented bounded sample, everything else all rows.
 """
 
@@ -26,7 +26,7 @@ from spindrift.tables import load
 Q = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Q] = {}
 
-_KNOBS = T.Knobs(trees=30, draws=3, fit_rows=1000, seeds=(42, 43, 44))
+_KNOBS = T.Knobs()
 _GB = ("Gradient Boosting", D.LOCKED_PARAMS["Gradient Boosting"])
 
 
@@ -174,7 +174,7 @@ def model_gate(spark: SparkSession, d: str) -> DataFrame:
 @flow
 def model_distributed_boosting(spark: SparkSession, d: str) -> DataFrame:
     """pyspark.ml boosting on every row of the primary table."""
-    model, ready, _ = T.distributed_boosting(_primary(spark, d), trees=5)
+    model, ready, _ = T.distributed_boosting(_primary(spark, d))
     return model.transform(ready).select("row_id", F.col("label").alias("Actual"), F.col("prediction").alias("Predicted"))
 
 
@@ -227,12 +227,12 @@ def shap_wide(spark: SparkSession, d: str) -> DataFrame:
 
 @flow
 def ablation_cv(spark: SparkSession, d: str) -> DataFrame:
-    return explain.ablation(T.prepare(_primary(spark, d), T.Knobs(trees=15, folds=3, fit_rows=1000)), *_GB)
+    return explain.ablation(T.prepare(_primary(spark, d), _KNOBS), *_GB)
 
 
 def _searched(spark: SparkSession, d: str) -> DataFrame:
     p, m = _fitted(spark, d)
-    return search.search(spark, search.build_space(p.rows), m, iterations=15)
+    return search.search(spark, search.build_space(p.rows), m)
 
 
 @flow

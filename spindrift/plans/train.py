@@ -15,6 +15,8 @@ from spindrift.models import matrix as M
 from spindrift.operators import splitting, stats
 from spindrift.session import cut
 
+#: Models of the cross-validation that are held at a time.
+HELD = 16
 FEATURES = [*D.NUMERIC_FEATURES, *D.CATEGORICAL_FEATURES, *D.BINARY_FEATURES]
 
 
@@ -75,9 +77,11 @@ def cross_validate(p: Prepared) -> DataFrame:
         {"task_id": f"{c['family']}|{c['variant']}|{i}", "family": c["family"], "params": c["params"], "seed": k.seed, "where": ["fold", _others(i, k.folds)]}
         for c in candidates(k) for i in range(k.folds)
     ]
-    models = lane.fit_tasks(spark, p.sample, tasks)
-    sums = lane.score_sums(p.rows.filter("fold is not null"), models, "fold")
-    part = F.split("task_id", r"\|")
+    found, schema = [], "task_id string, fold string, n bigint, sy double, syy double, sse double, sae double"
+    for at in range(0, len(tasks), HELD):
+        models = lane.fit_tasks(spark, p.sample, tasks[at : at + HELD])
+        found += lane.score_sums(p.rows.filter("fold is not null"), models, "fold").collect()  # one row a model and fold
+    sums, part = spark.createDataFrame(found, schema), F.split("task_id", r"\|")
     sums = cut(sums.withColumn("side", F.when(F.col("fold") == part[2], "v").otherwise("t")))
     m = lane.metrics_of(sums, ["task_id", "side"])
     t, v = m.filter("side = 't'").select("task_id", F.col("R2").alias("Train_R2")), m.filter("side = 'v'")

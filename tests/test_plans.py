@@ -77,6 +77,21 @@ def test_training_and_search(spark, small):
     assert a.count() == 70 and sorted(map(str, a.collect())) == sorted(map(str, a.repartition(3).collect()))
 
 
+def test_flows_do_the_locked_job(spark, small, monkeypatch):
+    from spindrift import flows
+    from spindrift.plans import explain
+
+    seen = {}
+    monkeypatch.setattr(search, "search", lambda *a, **k: seen.update(search=k))
+    monkeypatch.setattr(search, "build_space", lambda *a, **k: None)
+    monkeypatch.setattr(explain, "ablation", lambda p, *a: seen.update(ablation=p.knobs))
+    flows._searched(spark, small)
+    flows.ablation_cv(spark, small)
+    assert flows._KNOBS == seen["ablation"] == T.Knobs() and seen["search"] == {}
+    gb = E.from_bytes(flows._fitted(spark, small)[1]["model"])
+    assert len(E.trees_of(gb)) == D.LOCKED_PARAMS["Gradient Boosting"]["n_estimators"]
+
+
 def test_search_domain_is_every_row(spark, small):
     df = load(spark, small, "ni_model_primary")
     v = df.select(*(F.col(f"`{c}`").cast("double") for c in D.DOMAIN_COLUMNS)).toPandas().to_numpy(float)
