@@ -2,7 +2,8 @@
 
 Medians and quartiles are exact, the standard deviation is the population's, constant columns are
 centred only, frequent categories get one column each in alphabetical order, the rest of a column share
-one, unseen values get none. The fitted state is a few numbers for each feature.
+one, unseen values get none. The fitted state is a few numbers for each feature and a table of
+the categories with the number of their column, which transform joins: categories have no limit.
 """
 
 from __future__ import annotations
@@ -12,16 +13,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators.lookup import MAX_BROADCAST_ROWS
 from spindrift.operators.quantiles import quantiles
-
-#: Most category columns of one feature.
-MAX_CATEGORIES = 10_000
+from spindrift.session import cut
 
 
 def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
+def _one_at(place: Column, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: (k == place).cast("double"))
+
+
 @dataclass
 class FeatureEncoder:
     numeric: list[str]
@@ -55,25 +59,21 @@ class FeatureEncoder:
         cats: dict[str, tuple[list[str], bool]] = {}
         if self.categorical:
             long = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.coalesce(_q(c).cast("string"), F.lit("Unknown")).alias("v")) for i, c in enumerate(self.categorical)))).alias("x")).select("x.*")
-            n = long.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+            n = cut(long.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")))
             often = n.filter(F.col("n") >= self.min_frequency)
-            if often.groupBy("i").count().filter(F.col("count") > MAX_CATEGORIES).count():
-                raise ValueError(f"a feature has more than {MAX_CATEGORIES} frequent categories")
-            rare = {r.i for r in n.filter(F.col("n") < self.min_frequency).select("i").distinct().collect()}
+            few = n.filter(F.col("n") < self.min_frequency)
+            rare = {r.i for r in few.select("i").distinct().collect()}
             for i, c in enumerate(self.categorical):
                 cats[c] = ([], i in rare)
             for r in often.orderBy("i", "v").collect():
                 cats[self.categorical[r.i]][0].append(r.v)
         missing = [c for i, c in enumerate(self.numeric) if self.indicators and one[f"n{i}"] < one["rows"]]
-        # values below the frequency limit are listed so that unseen ones can be told apart
         self.state = {"median": medians, "center": center, "spread": spread, "mode": modes, "categories": cats, "missing": missing}
-        if any(has for _, has in cats.values()):
-            small = n.filter(F.col("n") < self.min_frequency)
-            if small.count() > MAX_CATEGORIES * len(self.categorical):
-                raise ValueError("too many rare categories")
-            self.state["rare"] = {c: [] for c in self.categorical}
-            for r in small.collect():
-                self.state["rare"][self.categorical[r.i]].append(r.v)
+        if self.categorical:
+            # values below the frequency limit are kept too, so that unseen ones can be told apart
+            places = [(i, v, k) for i, c in enumerate(self.categorical) for k, v in enumerate(cats[c][0])]
+            ends = df.sparkSession.createDataFrame([(i, len(cats[c][0])) for i, c in enumerate(self.categorical)], "i int, k int")
+            self.state["codes"] = df.sparkSession.createDataFrame(places, "i int, v string, k int").unionByName(few.join(F.broadcast(ends), "i").select("i", "v", "k"))
         return self
 
     @property
@@ -84,17 +84,31 @@ class FeatureEncoder:
             out += [f"cat__{c}_{v}" for v in often] + ([f"cat__{c}_infrequent"] if has_rare else [])
         return out + [f"bin__{c}" for c in self.binary]
 
-    def columns(self) -> list[Column]:
+    def _numbers(self) -> list[Column]:
         s = self.state
         out = [(F.coalesce(_q(c).cast("double"), F.lit(m)) - F.lit(a)) / F.lit(b) for c, m, a, b in zip(self.numeric, s["median"], s["center"], s["spread"])]
-        out += [_q(c).isNull().cast("double") for c in s["missing"]]
-        for c in self.categorical:
-            often, has_rare = s["categories"][c]
-            v = F.coalesce(_q(c).cast("string"), F.lit("Unknown"))
-            out += [(v == F.lit(x)).cast("double") for x in often]
-            if has_rare:
-                out.append(v.isin(s["rare"][c]).cast("double"))
-        return out + [F.coalesce(_q(c).cast("double"), F.lit(m)) for c, m in zip(self.binary, s["mode"])]
+        return out + [_q(c).isNull().cast("double") for c in s["missing"]]
+
+    def _flags(self) -> list[Column]:
+        return [F.coalesce(_q(c).cast("double"), F.lit(m)) for c, m in zip(self.binary, self.state["mode"])]
+
+    def columns(self) -> list[Column]:
+        """The features as columns; categories need transform."""
+        if self.categorical:
+            raise ValueError("categories are encoded by transform")
+        return self._numbers() + self._flags()
 
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
-        return df.withColumn(out, F.array(*self.columns()))
+        kept, ones = [c for c in df.columns if c != out], []
+        for i, c in enumerate(self.categorical):
+            often, has_rare = self.state["categories"][c]
+            if not (width := len(often) + has_rare):
+                continue
+            codes = self.state["codes"].filter(F.col("i") == i).select(F.col("v").alias(f"__v{i}"), F.col("k").alias(f"__k{i}"))  # distinct values
+            if codes.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+                codes = F.broadcast(codes)
+            df = df.join(codes, F.coalesce(_q(c).cast("string"), F.lit("Unknown")) == F.col(f"__v{i}"), "left")
+            ones.append(_one_at(F.coalesce(F.col(f"__k{i}"), F.lit(-1)), width))
+        none = F.array().cast("array<double>")
+        parts = [F.array(*self._numbers()).cast("array<double>"), *ones, F.array(*self._flags()).cast("array<double>")]
+        return df.select(*(_q(c) for c in kept), F.concat(none, *parts).alias(out))

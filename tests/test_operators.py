@@ -147,6 +147,16 @@ def test_encoder(spark):
     FeatureEncoder(["x"], ["c"], ["b"]).fit(df.limit(0))
 
 
+def test_encoder_has_no_limit_of_categories(spark):
+    often, rare = 10_050, 10_050
+    df = spark.range(often * 2 + rare).select("id", F.when(F.col("id") < often * 2, F.concat(F.lit("o"), F.col("id") % often)).otherwise(F.concat(F.lit("r"), "id")).alias("c"))
+    e = FeatureEncoder([], ["c"], min_frequency=2).fit(df)
+    assert len(e.names) == often + 1
+    got = e.transform(df.filter("id in (7, 20107, 30000)").unionByName(spark.createDataFrame([(-1, "new")], "id long, c string")))
+    at = {r.id: r.at for r in got.select("id", F.expr("filter(transform(features, (x, i) -> if(x = 1, i, null)), x -> x is not null)").alias("at")).collect()}
+    assert at[7] == [e.names.index("cat__c_o7")] and at[20107] == at[30000] == [often] and at[-1] == []
+
+
 def test_quantiles_both_ways(spark):
     from spindrift.operators.quantiles import quantiles
 
