@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
@@ -239,6 +240,10 @@ _TYPES = {"Family": "string", "Track": "string", "Dataset_Count": "bigint", "Wit
 _SCHEMA = ", ".join(f"`{c}` {_TYPES.get(c, 'double')}" for c in _OUT)
 
 
+def seed_of(*key) -> int:
+    return int.from_bytes(hashlib.md5("|".join(map(str, key)).encode()).digest()[:8], "big")
+
+
 def search(spark, s: Space, model: dict, temperatures: list[float] | None = None, particles: int = 35, iterations: int = 110, draws: int = 2500, seed: int = 42, chunk: int = 500) -> DataFrame:
     """All candidates of the swarm (one task for each temperature and track) and of the random draws (in chunks),
     with Search and draw number. Every task has a seed of its own, so results do not depend on how tasks are
@@ -249,7 +254,7 @@ def search(spark, s: Space, model: dict, temperatures: list[float] | None = None
     jobs += [("Random", t, k, at, min(chunk, draws - at)) for t in temps for k in tracks for at in range(0, draws, chunk)]
 
     def steps(space: Space, data: dict, enc: dict, kind: str, temp: float, track: str, at: int, n: int) -> Steps:
-        own = int.from_bytes(f"{seed}|{kind}|{temp}|{track}|{at}".encode()[-8:], "big") + seed
+        own = seed_of(seed, kind, temp, track, at)
         return _swarm(space, data, enc, temp, track, n, iterations, own) if kind == "Swarm" else _draws(space, data, enc, temp, track, n, own)
 
     def labelled(out: pd.DataFrame, kind: str, at: int) -> pd.DataFrame:
