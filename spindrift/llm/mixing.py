@@ -88,8 +88,8 @@ def mix(
         per_shard.setdefault(r.source, []).append((r.shard, r.t))
 
     total = total_tokens if total_tokens is not None else sum(held.values())
-    caps = [held.get(x.source, 0) * max(0, x.r or 0) // block for x in want]
-    seats = dict(zip((x.source for x in want), sainte_lague([max(0.0, x.w or 0.0) for x in want], total // block, caps)))
+    caps = [-(-held.get(x.source, 0) * max(0, x.r or 0) // block) for x in want]  # a last block may be short
+    seats = dict(zip((x.source for x in want), sainte_lague([max(0.0, x.w or 0.0) for x in want], -(-total // block), caps)))
     repeats = {x.source: max(0, x.r or 0) for x in want}
     quotas = []
     for s, n in seats.items():

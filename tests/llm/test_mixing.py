@@ -50,6 +50,12 @@ def test_mixture(spark, monkeypatch):
     assert again == sorted(map(tuple, rows))
 
 
+def test_small_sources_are_used_to_their_limit(spark):
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    rep = {x.source: x for x in X.mix(docs(spark, [("a", 700), ("b", 30)]), "doc_id", "text", "source", t)[1].collect()}
+    assert rep["b"].mixed_tokens == 2 * rep["b"].available_tokens > 0 and rep["a"].mixed_tokens == rep["a"].available_tokens
+
+
 def test_met_targets_and_empty(spark):
     df = docs(spark, [("a", 30)] * 300 + [("b", 30)] * 300)
     t = spark.createDataFrame([("a", 0.25, 1), ("b", 0.75, 3)], "source string, target_share double, max_repeats int")
