@@ -29,7 +29,7 @@ SHARE, SHARE_AT_LIMIT, SUPPORT = 0.25, 0.35, 4
 OVER_CHANCE = 20.0
 
 _W = r"(?:\p{N}[\p{N}.,:/ ]*\p{N}|[\p{L}\p{M}\p{N}'’\-]*[\p{L}\p{M}\p{N}])"
-#: Characters of a text's end that its judgement looks at: a bracketed remark and three words fit.
+#: Characters of a text's end that its judgement looks at, brackets aside: three words fit.
 _LAST = 400
 _TAIL = r"[^\p{L}\p{M}\p{N}]*"
 _MARK = r"[.!?…)\]»”\"]"
@@ -69,12 +69,24 @@ def _events(col: Column) -> Column:
     return F.transform(F.array(marked), grams)[0]
 
 
-def ending_kind(t: Column) -> Column:
+def _unclosed(t: Column) -> Column:
+    """Whether a round or square bracket of the whole text is never closed; a closing one without its opening one
+    counts for nothing."""
+    signs = F.regexp_extract_all(t, F.lit(r"[(\[)\]]"), F.lit(0))
+
+    def deep(opening: str, closing: str) -> Column:
+        step = lambda n, x: F.greatest(F.lit(0), n + F.when(x == opening, 1).when(x == closing, -1).otherwise(0))
+        return F.aggregate(signs, F.lit(0), step) > 0
+
+    return (t.contains("(") & deep("(", ")")) | (t.contains("[") & deep("[", "]"))
+
+
+def ending_kind(t: Column, whole: Column | None = None) -> Column:
     """How a right-stripped text ends: open (bracket never closed), broken (a torn character), closed
-    (bracketed remark), dash, dots, sign, or bare."""
+    (bracketed remark), dash, dots, sign, or bare. t may be its tail only; brackets are counted in whole."""
     return (
         F.when(t.rlike(r"�\s*[.…\s]*$"), "broken")
-        .when(t.rlike(r"[(\[][^()\[\]\r\n]{0,300}$"), "open")
+        .when(_unclosed(t if whole is None else whole), "open")
         .when(t.rlike(r"[)\]]$"), "closed")
         .when(t.rlike(r"(?:…|\.\s*\.)[.…\s]*[»”\"']*$"), "dots")
         .when(t.rlike(r"[.!?][»”\"'’]*$"), "sign")
@@ -122,7 +134,7 @@ def _evidence(cand: DataFrame, counts: DataFrame) -> DataFrame:
     before (any last word): e<k> ended alike, t<k> all occurrences, longer words included; the
     text's own occurrence is left out."""
     counts = counts.withColumn("all", F.col("nt") + F.col("nd") + F.col("nu") + F.col("nc"))
-    out = cand
+    out, sizes = cand, sorted(r[0] for r in cand.select(F.length("w3")).distinct().collect())  # lengths of last words
     for k, keys in ((3, ["w1", "w2"]), (2, ["w2"]), (1, [])):
         own = out.select(*keys, "w3").distinct()
         table = counts if k == 3 else counts.groupBy(*keys, "w3").agg(*(F.sum(c).alias(c) for c in (*_SUMS, "all")))
@@ -131,7 +143,7 @@ def _evidence(cand: DataFrame, counts: DataFrame) -> DataFrame:
         pool = table.join(own.select(*keys).distinct(), keys, "left_semi") if keys else table
         longer = (
             pool.filter("length(w3) > 1")
-            .select(*keys, "all", F.explode(F.expr("transform(sequence(1, least(length(w3) - 1, 40)), n -> substr(w3, 1, n))")).alias("w3"))
+            .select(*keys, "all", F.explode(F.transform(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n < F.length("w3")), lambda n: F.substring("w3", F.lit(1), n))).alias("w3"))
             .groupBy(*keys, "w3").agg(F.sum("all").alias(f"x{k}"))
         )
         known = own.join(exact, [*keys, "w3"], "left").join(longer, [*keys, "w3"], "left").na.fill(0)
@@ -163,7 +175,7 @@ def judged_endings(df: DataFrame, id_col: str, text_col: str, source_col: str) -
     base = df.select(q(id_col).alias("doc"), q(source_col).cast("string").alias("src"), q(text_col).cast("string").alias("raw"))
     # trimmed from the right by a set of characters: no pattern runs over the whole text, endings are judged on its tail
     base = base.withColumn("t", F.rtrim(F.col("raw"), F.lit(BLANKS))).filter("t <> ''").withColumn("tail", F.substring("t", -_LAST, _LAST))
-    base = base.withColumn("kind", ending_kind(F.col("tail")))
+    base = base.withColumn("kind", ending_kind(F.col("tail"), F.col("t")))
     # dots and white space put after a cut do not belong to the text that was cut
     body = F.when(F.col("kind").isin("dots", "broken"), F.regexp_replace("tail", r"[\s.…�]+[»”\"']*$", "")).otherwise(F.col("tail"))
     last = F.element_at(_events(body), -1)

@@ -71,6 +71,13 @@ def test_empty_and_clashing(spark):
     assert [(r.doc_id, r.truncated) for r in K.find_truncated(df, "doc_id", "text", "source").collect()] == [(1, False)] * 2
 
 
+@pytest.mark.parametrize("text", ["a (" + "long remark, " * 60 + "b.", "a (b\nc.", "Ja (Zuruf des Abg. X [SPD]", "Ja [Beifall (SPD)"])
+def test_brackets_are_counted_over_the_whole_text(spark, text):
+    df = spark.createDataFrame([(1, text, "s"), (2, text.replace("(", "").replace("[", "") + " a) b.", "s")], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.kind, r.truncated) for r in K.find_truncated(df, "doc_id", "text", "source").collect()}
+    assert got == {1: ("open", True), 2: ("sign", False)}
+
+
 def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "This is a sentence. " * 20_000, "s"), (2, "word " * 50_000, "s")], "doc_id long, text string, source string")
     assert {r.doc_id: r.kind for r in K.find_truncated(df, "doc_id", "text", "source").collect()} == {1: "sign", 2: "bare"}
