@@ -270,7 +270,7 @@ def pso_family_frequency(spark: SparkSession, d: str) -> DataFrame:
 @flow
 def tsne_2d(spark: SparkSession, d: str) -> DataFrame:
     """Projection of every embedding: a bounded sample exactly, the rest among its neighbours."""
-    return project.project(load(spark, d, "embeddings"), "vec_id", "embedding", iterations=250, exact_rows=500)
+    return project.project(load(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 @flow
@@ -278,7 +278,7 @@ def tsne_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Projection of the encoded matrix joined one to one with split and predictions."""
     p, m = _fitted(spark, d)
     enc = FeatureEncoder(D.NUMERIC_FEATURES, D.CATEGORICAL_FEATURES, D.BINARY_FEATURES).fit(p.rows.filter("Set = 'Train'"))
-    coords = project.project(enc.transform(p.rows), "row_id", "features", iterations=250, exact_rows=500)
+    coords = project.project(enc.transform(p.rows), "row_id", "features")
     pred = T.holdout(p, m)
     return project.projection_table(coords, pred.select("row_id", "Set"), pred.select("row_id", "Actual", "Predicted", "Residual", "Abs_Residual"))
 

@@ -77,6 +77,15 @@ def test_training_and_search(spark, small):
     assert a.count() == 70 and sorted(map(str, a.collect())) == sorted(map(str, a.repartition(3).collect()))
 
 
+def test_projection_flow_has_the_default_sizes(spark, small, monkeypatch):
+    from spindrift import flows
+
+    seen = []
+    monkeypatch.setattr(project, "project", lambda *a, **k: seen.append((a[1:], k)))
+    flows.tsne_2d(spark, small)
+    assert seen == [(("vec_id", "embedding"), {})]
+
+
 def test_every_search_task_has_its_seed():
     keys = [(42, k, t, r, at) for k in ("Swarm", "Random") for t in D.SEARCH_TEMPERATURES for r in ("promoted", "unpromoted") for at in range(0, 2500, 500)]
     assert len({search.seed_of(*k) for k in keys}) == len(keys)
