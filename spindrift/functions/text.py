@@ -17,7 +17,7 @@ POINT = "\ue000"
 
 def strip(c: Column) -> Column:
     """Outer white space off, Unicode white space included (Spark's trim knows only the blank)."""
-    return F.regexp_replace(c, r"(?U)^[\s\u00a0\u200b\ufeff]+|[\s\u00a0\u200b\ufeff]+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def is_placeholder(c: Column) -> Column:

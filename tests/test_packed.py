@@ -26,6 +26,10 @@ CASES = [
     ("", []),
     ("nan", []),
     ("a((b,c),d);e", ["a((b,c),d)", "e"]),
+    ("a(1,(2,(3,(4,(5,6),7),8),9),0);e", ["a(1,(2,(3,(4,(5,6),7),8),9),0)", "e"]),
+    ("a (b, (c, d), e; f", ["a (b", "(c, d)", "e", "f"]),
+    ("a), (b, (c, d)), e); f", ["a)", "(b, (c, d))", "e)", "f"]),
+    ('x ("p (q", r); s', ['x ("p (q", r)', "s"]),
 ]
 
 
@@ -45,3 +49,16 @@ def test_explode(spark):
 def test_long_cell(spark):
     cell = ", ".join(f"v{i}" for i in range(20_000))
     assert explode_packed(spark.createDataFrame([(1, cell)], "id long, cell string"), "id", "cell").count() == 20_000
+
+
+@pytest.mark.parametrize("span", ['"%s"', "(%s)", "((((%s))))", '("%s" (x))'])
+def test_spans_of_a_megabyte(spark, span):
+    cell = (span % ("value, " * 150_000)) + "; Cu"
+    got = spark.createDataFrame([(cell,)], "c string").select(split_packed(F.col("c")).alias("v")).select(F.size("v"), F.element_at("v", -1)).first()
+    assert tuple(got) == (2, "Cu")
+
+
+def test_many_brackets_and_blanks(spark):
+    cells = ["(a, (b, c))" * 5000 + "; Cu", "(" * 50_000 + "; Cu", ")" * 50_000 + "; Cu", "Zn" + " " * 300_000 + "; Cu", '"' * 99_999 + "; Cu", '"a""' * 20_000 + "; Cu"]
+    got = spark.createDataFrame([(c,) for c in cells], "c string").select(F.element_at(split_packed(F.col("c")), -1)).collect()
+    assert [r[0] for r in got] == ["Cu"] * len(cells)
