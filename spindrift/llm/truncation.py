@@ -1,11 +1,13 @@
 """Problem 8: text cut off by field limits or on its way.
 
-Two kinds of evidence are joined. Lengths: for each source the discrete hazard of every length
-(share of the texts reaching it that end there) is set against the hazards of neighbouring lengths,
-in characters, bytes and bands of characters, and significant lengths are kept at a controlled
-false-discovery rate. Endings: word counts over the whole corpus tell how often the last words of a
-text end a sentence or line, and how much of their mass goes on (the word continues, or another
-follows). Incomplete endings are flagged, by a stricter rule at significant lengths.
+Lengths: for each source the discrete hazard of every length (share of the texts reaching it that end
+there) is set against the hazard of the neighbouring lengths, in characters, bytes and bands of characters, and
+significant lengths are kept at a controlled false-discovery rate. cut_at_limits flags the incomplete
+endings at significant lengths; how sure an ending must be to count as complete follows from the share of
+the texts there that the hazard does not explain. cut_elsewhere is the second operator, for texts cut at no
+particular length: it has the endings alone. How complete an ending is comes from word counts over
+the whole corpus: how often the last words of a text end a sentence or line, and how much of their mass
+goes on (the word continues, or another follows). find_truncated unites both and names the evidence.
 """
 
 from __future__ import annotations
@@ -21,52 +23,61 @@ from spindrift.session import cut
 #: False-discovery rate of significant lengths (for each source and unit), the neighbours on each
 #: side that a length is tested against, fewest texts at a length, and the width of a band.
 FDR, NEIGHBOURS, LEAST, BAND = 0.01, 30, 4, 16
-#: An ending is whole if at least this share of its occurrences end there; the stricter share holds at
-#: significant lengths. SUPPORT: occurrences a context needs besides the text's own.
+#: An ending is whole if at least this share of its occurrences end there; at a significant length the share grows
+#: with the excess of its hazard, up to the second. SUPPORT: occurrences a context needs besides the text's own.
 SHARE, SHARE_AT_LIMIT, SUPPORT = 0.25, 0.35, 4
 #: A closing formula may also open longer sentences; it counts as one where it ends a text this many
 #: times more often than texts end without a sign after any word.
 OVER_CHANCE = 20.0
 
-_W = r"(?:\p{N}[\p{N}.,:/ ]*\p{N}|[\p{L}\p{M}\p{N}'’\-]*[\p{L}\p{M}\p{N}])"
-#: Characters of a text's end that its judgement looks at, brackets aside: three words fit.
-_LAST = 400
-_TAIL = r"[^\p{L}\p{M}\p{N}]*"
-_MARK = r"[.!?…)\]»”\"]"
+_W = r"(?:\p{N}[\p{N}.,:/ ]*\p{N}|[\p{L}\p{M}\p{N}'’\-]*[\p{L}\p{M}\p{N}])"
+_TAIL = r"[^\p{L}\p{M}\p{N}]*+"
+_MARK = r"[.!?…)\]»”\"(\[]"
+#: Signs put between words, between a word and what follows it, and at the end of a text.
+_NEXT, _PART, _LAST = "\u0001", "\u0002", "\u0003"
 
 
-def _events(col: Column) -> Column:
-    """Words of a text as (w1, w2, w3, end): w3 with the two words before it inside its sentence
-    ('^' at the start), and how it ends: T sentence sign or bracket, D dots, U line or text ends
-    without a sign, C it goes on. A full stop after a very short word may be an abbreviation: it ends
-    (A, counted as T) but does not part the words."""
-    each = rf"({_W})({_TAIL})"
+def _parts(t: Column) -> Column:
+    """Words of a text, each with what follows it: word, _PART, signs; the last one ends in _LAST. One pass of one pattern."""
+    own = F.concat(F.lower(t), F.lit(_LAST))
+    clean = F.when(t.contains(_NEXT) | t.contains(_PART) | t.contains(_LAST), F.concat(F.translate(F.lower(t), _NEXT + _PART + _LAST, "   "), F.lit(_LAST))).otherwise(own)
+    each = F.split(F.regexp_replace(clean, rf"(?:^{_TAIL})?({_W})({_TAIL})", f"$1{_PART}$2{_NEXT}"), _NEXT, -1)
+    return F.slice(each, 1, F.size(each) - 1)
+
+
+def _word(x: Column) -> Column:
+    w = F.substring_index(x, _PART, 1)
+    number = (F.substring(w, 1, 1) <= "9") & w.rlike(r"^\p{N}[\p{N}.,:/ ]*$")
+    return F.when(number, "#").otherwise(w)
+
+
+def _goes_on(x: Column) -> Column:
+    """Whether the sentence goes on after a word: nothing but blanks and light signs follow, or a full stop after a
+    very short word, which may be an abbreviation."""
+    tail = F.substring_index(x, _PART, -1)
+    short = (F.length(F.substring_index(x, _PART, 1)) <= 4) & tail.rlike(r"^\.[  ]+$")
+    return (tail == " ") | short | ~tail.rlike(rf"{_MARK}|[\r\n]")
 
-    def parts(word: Column, tail: Column) -> Column:
-        end = (
-            F.when(tail == " ", "C").when(tail.rlike(r"…|\.\s*\."), "D").when((F.length(word) <= 4) & tail.rlike(r"^\.[ \u00a0]+$"), "A")
-            .when(tail.rlike(rf"{_MARK}|[(\[]"), "T").when(tail.rlike(r"[\r\n]"), "U").otherwise("C")
-        )
-        number = (F.substring(word, F.lit(1), F.lit(1)) <= "9") & word.rlike(r"^\p{N}[\p{N}.,:/ ]*$")
-        return F.struct(F.when(number, "#").otherwise(word).alias("w"), end.alias("end"))
 
-    # bound as a lambda variable, so the text is lowered once
-    marked = F.transform(F.array(F.lower(col)), lambda t: F.zip_with(F.regexp_extract_all(t, F.lit(each), F.lit(1)), F.regexp_extract_all(t, F.lit(each), F.lit(2)), parts))[0]
+def _end(x: Column) -> Column:
+    """How a word ends: T sentence sign or bracket (or a full stop after a very short word), D dots, U the line or the
+    text ends without a sign, C it goes on."""
+    tail = F.substring_index(x, _PART, -1)
+    short = (F.length(F.substring_index(x, _PART, 1)) <= 4) & tail.rlike(r"^\.[  ]+$")
+    return F.when(tail == " ", "C").when(tail.rlike(r"…|\.\s*\."), "D").when(short | tail.rlike(_MARK), "T").when(tail.rlike(rf"[\r\n{_LAST}]"), "U").otherwise("C")
 
-    def grams(ws: Column) -> Column:
-        n = F.size(ws)
 
-        def gram(x: Column, i: Column) -> Column:
-            p1, p2 = F.get(ws, i - 1), F.get(ws, i - 2)
-            w2 = F.when((i == 0) | ~p1["end"].isin("C", "A"), "^").otherwise(p1["w"])
-            w1 = F.when((w2 == "^") | (i == 1) | ~p2["end"].isin("C", "A"), "^").otherwise(p2["w"])
-            end = F.when((x["end"] == "C") & (i == n - 1), "U").when(x["end"] == "A", "T").otherwise(x["end"])
-            return F.struct(w1.alias("w1"), w2.alias("w2"), x["w"].alias("w3"), end.alias("end"))
+def _context(x: Column, p1: Column, p2: Column) -> tuple[Column, Column, Column]:
+    """(w1, w2, w3): a word with the two words before it inside its sentence, '^' where the sentence begins."""
+    on1, on2 = F.coalesce(_goes_on(p1), F.lit(False)), F.coalesce(_goes_on(p2), F.lit(False))
+    return F.when(on1 & on2, _word(p2)).otherwise("^"), F.when(on1, _word(p1)).otherwise("^"), _word(x)
 
-        return F.transform(ws, gram)
 
-    # bound as a lambda variable, so the words are made once
-    return F.transform(F.array(marked), grams)[0]
+def _last_context(t: Column) -> Column:
+    """(w1, w2, w3) of the last word; the last few blank-separated pieces hold it, else the whole text is read."""
+    few = _parts(F.substring_index(t, " ", -6))
+    at = lambda ws: F.struct(*(c.alias(n) for c, n in zip(_context(F.get(ws, F.size(ws) - 1), F.get(ws, F.size(ws) - 2), F.get(ws, F.size(ws) - 3)), ("w1", "w2", "w3"))))
+    return F.transform(F.array(few), lambda ws: F.when(F.size(ws) > 3, at(ws)).otherwise(F.transform(F.array(_parts(t)), lambda all_: F.when(F.size(all_) > 0, at(all_)))[0]))[0]
 
 
 def _unclosed(t: Column) -> Column:
@@ -83,7 +94,7 @@ def _unclosed(t: Column) -> Column:
 
 def ending_kind(t: Column, whole: Column | None = None) -> Column:
     """How a right-stripped text ends: open (bracket never closed), broken (a torn character), closed
-    (bracketed remark), dash, dots, sign, or bare. t may be its tail only; brackets are counted in whole."""
+    (bracketed remark), dash, dots, sign, or bare. t may be its end only, from its last word on; brackets are counted in whole."""
     return (
         F.when(t.rlike(r"�\s*[.…\s]*$"), "broken")
         .when(_unclosed(t if whole is None else whole), "open")
@@ -97,19 +108,16 @@ def ending_kind(t: Column, whole: Column | None = None) -> Column:
 
 def length_hazards(df: DataFrame) -> DataFrame:
     """df (src, chars, octets) -> (src, unit, len, n, at_risk, hazard, expected, log_p, significant)."""
-    units = F.array(
-        F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("len")),
-        F.struct(F.lit("bytes").alias("unit"), F.col("octets").alias("len")),
-        F.struct(F.lit("band").alias("unit"), F.ceil(F.col("chars") / BAND).cast("int").alias("len")),
-    )
-    n = df.select("src", F.explode(units).alias("x")).groupBy("src", "x.unit", "x.len").agg(F.count(F.lit(1)).alias("n"))
+    n = df.select("src", F.explode(_lengths()).alias("x")).groupBy("src", "x.unit", "x.len").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("src", "unit").orderBy("len")  # one row for each length, not for each text
-    risk = n.withColumn("at_risk", F.sum("n").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    near = by.rangeBetween(-NEIGHBOURS, NEIGHBOURS)
-    # texts at risk at the neighbouring lengths; lengths at which none ends count too: at_risk is a
-    # step function, so its mean over the neighbours that occur stands for all of them
-    risk = risk.withColumn("near_n", F.sum("n").over(near) - F.col("n")).withColumn("near_risk", F.avg("at_risk").over(near) * (2 * NEIGHBOURS))
-    risk = risk.withColumn("hazard", F.col("n") / F.col("at_risk")).withColumn("expected", (F.col("near_n") + 0.5) / F.greatest("near_risk", F.lit(1.0)))
+    near, lo = by.rangeBetween(-NEIGHBOURS, NEIGHBOURS), F.greatest(F.col("len") - NEIGHBOURS, F.lit(1))
+    risk = n.withColumn("at_risk", F.sum("n").over(by.rangeBetween(0, Window.unboundedFollowing)))
+    # texts at risk at each neighbouring length, those at which none ends too: a text that ends inside the
+    # neighbourhood is at risk from its lower edge to its own length, a longer one at all of them
+    longer = F.coalesce(F.sum("n").over(by.rangeBetween(NEIGHBOURS + 1, Window.unboundedFollowing)), F.lit(0))
+    inside, mass = F.sum("n").over(near), F.sum(F.col("n") * F.col("len")).over(near)
+    risk = risk.withColumn("near_n", inside - F.col("n")).withColumn("near_risk", mass - inside * (lo - 1) + longer * (F.col("len") + NEIGHBOURS - lo + 1) - F.col("at_risk"))
+    risk = risk.withColumn("hazard", F.col("n") / F.col("at_risk")).withColumn("expected", (F.col("near_n") + 0.5) / F.greatest("near_risk", F.lit(1)))
     lam = F.col("expected") * F.col("at_risk")
     # Chernoff's bound of the Poisson tail: conservative, and closed in form
     risk = risk.withColumn("log_p", F.when(F.col("n") > lam, -(F.col("n") * F.log(F.col("n") / lam) - F.col("n") + lam)).otherwise(0.0))
@@ -125,7 +133,13 @@ _SUMS = ["nt", "nd", "nu", "nc"]
 
 
 def _corpus_counts(texts: DataFrame) -> DataFrame:
-    g = texts.select(F.explode(_events(F.col("t"))).alias("x")).select("x.*")
+    """Ends of every word of the corpus by its context. Words are exploded with the two before them, so all the rest
+    is plain columns."""
+    ws = texts.select(_parts(F.col("t")).alias("a"))
+    none = F.lit(None).cast("string")
+    before = lambda k: F.slice(F.concat(F.array(*[none] * k), F.col("a")), F.lit(1), F.size("a"))
+    rows = ws.select(F.explode(F.arrays_zip(F.col("a"), before(1).alias("b"), before(2).alias("c"))).alias("x")).select("x.*").toDF("a", "b", "c")
+    g = rows.select(*(c.alias(n) for c, n in zip(_context(F.col("a"), F.col("b"), F.col("c")), ("w1", "w2", "w3"))), _end(F.col("a")).alias("end"))
     return g.groupBy("w1", "w2", "w3").agg(*(F.sum((F.col("end") == k).cast("bigint")).alias(s) for k, s in zip("TDUC", _SUMS)))
 
 
@@ -159,62 +173,81 @@ def _share(part: str, k: int) -> Column:
 
 
 def find_truncated(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id_col, source, kind, at_limit, truncated) of every text that is neither null, empty nor blank.
+    """(id_col, source, kind, at_limit, evidence, truncated) of every text that is neither null, empty nor blank.
 
     truncated: the text ends before its last sentence or bracketed remark is complete. at_limit: its
-    length is significant in its source. Rows repeating an id are judged each on its own text; a
-    null source is a source of its own; an empty table gives no rows. Very long texts are read whole.
+    length is significant in its source. evidence: length (flagged by cut_at_limits), ending (by
+    cut_elsewhere) or null. Rows repeating an id are judged each on its own text; a null source is a
+    source of its own; an empty table gives no rows. Very long texts are read whole.
     """
-    out = judged_endings(df, id_col, text_col, source_col)
-    return out.select(F.col("doc").alias(id_col), F.col("src").alias("source"), "kind", "at_limit", "truncated")
+    judged = judged_endings(df, id_col, text_col, source_col)
+    out = judged.withColumn("evidence", F.when(cut_at_limits(), "length").when(cut_elsewhere(), "ending"))
+    return out.select(F.col("doc").alias(id_col), F.col("src").alias("source"), "kind", "at_limit", "evidence", F.col("evidence").isNotNull().alias("truncated"))
+
+
+def _incomplete(need: Column, dots_may_finish: bool) -> Column:
+    """Whether an ending judged by judged_endings is incomplete: a bracket never closed, a torn character, or last words
+    that end fewer than `need` of their occurrences."""
+    # an ending nowhere else seen: a name (capital) or a number ends a heading, another word is cut
+    bare_whole = F.coalesce(F.greatest(F.col("ended"), F.coalesce("placed", F.lit(0.0))) >= need, F.col("upper") | (F.col("w3") == "#"))
+    dots_whole = F.coalesce(F.col("dotted") >= need, F.lit(False)) | (F.lit(dots_may_finish) & F.coalesce(F.col("finished") >= 0.2, F.lit(False)))
+    return (
+        F.when(F.col("kind").isin("open", "broken"), True)
+        .when(F.col("kind") == "bare", F.col("w3").isNotNull() & ~bare_whole & ~F.col("formula"))
+        .when(F.col("kind") == "dots", F.col("w3").isNotNull() & ~dots_whole)
+        .otherwise(False)
+    )
+
+
+def cut_at_limits() -> Column:
+    """Flag of the rows of judged_endings that end incomplete at a significant length. The excess of the hazard there over
+    its neighbours' is the share of the texts that the limit cut, so it sets how whole an ending must look."""
+    return F.col("at_limit") & _incomplete(SHARE + (SHARE_AT_LIMIT - SHARE) * F.col("excess"), False)
+
+
+def cut_elsewhere() -> Column:
+    """Flag of the rows of judged_endings that end incomplete at no significant length: lost on their way. Only the
+    ending speaks."""
+    return ~F.col("at_limit") & _incomplete(F.lit(SHARE), True)
+
+
+def _lengths() -> Column:
+    return F.array(
+        F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("len")),
+        F.struct(F.lit("bytes").alias("unit"), F.col("octets").alias("len")),
+        F.struct(F.lit("band").alias("unit"), F.ceil(F.col("chars") / BAND).cast("int").alias("len")),
+    )
 
 
 def judged_endings(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """find_truncated with the evidence of each text."""
+    """Every text with its length's significance (at_limit, excess) and the figures of its ending."""
     q = lambda c: F.col(f"`{c}`")
     base = df.select(q(id_col).alias("doc"), q(source_col).cast("string").alias("src"), q(text_col).cast("string").alias("raw"))
-    # trimmed from the right by a set of characters: no pattern runs over the whole text, endings are judged on its tail
-    base = base.withColumn("t", F.rtrim(F.col("raw"), F.lit(BLANKS))).filter("t <> ''").withColumn("tail", F.substring("t", -_LAST, _LAST))
-    base = base.withColumn("kind", ending_kind(F.col("tail"), F.col("t")))
-    # dots and white space put after a cut do not belong to the text that was cut
-    body = F.when(F.col("kind").isin("dots", "broken"), F.regexp_replace("tail", r"[\s.…�]+[»”\"']*$", "")).otherwise(F.col("tail"))
-    last = F.element_at(_events(body), -1)
-    docs = base.select(
+    # trimmed from the right by a set of characters: no pattern runs over the whole text
+    base = base.withColumn("t", F.rtrim(F.col("raw"), F.lit(BLANKS))).filter("t <> ''")
+    end = F.substring("t", -64, 64)
+    kind = ending_kind(F.when(end.rlike(r"[\p{L}\p{N}]"), end).otherwise(F.col("t")), F.col("t"))  # what follows the last word decides
+    docs = base.withColumn("kind", kind).select(
         F.monotonically_increasing_id().alias("row"), "doc", "src", "kind", F.length("raw").alias("chars"), F.octet_length("raw").alias("octets"),
-        F.when(F.col("kind").isin("bare", "dots"), last).alias("e"), F.col("tail").rlike(r"\p{Lu}[^\s]*$").alias("upper"),
+        F.when(F.col("kind").isin("bare", "dots"), _last_context(F.col("t"))).alias("e"), F.substring_index("t", " ", -1).rlike(r"\p{Lu}[^\s]*$").alias("upper"),
     ).select("row", "doc", "src", "kind", "chars", "octets", "upper", "e.w1", "e.w2", "e.w3")
     docs = cut(docs)
     counts = cut(_corpus_counts(base))
 
-    sig = length_hazards(docs).filter("significant").select("src", "unit", "len")
-    keys = docs.select("row", "src", F.explode(F.array(
-        F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("len")),
-        F.struct(F.lit("bytes").alias("unit"), F.col("octets").alias("len")),
-        F.struct(F.lit("band").alias("unit"), F.ceil(F.col("chars") / BAND).cast("int").alias("len")),
-    )).alias("x")).select("row", "src", "x.*")
-    at = keys.join(sig, (keys.src.eqNullSafe(sig.src)) & (keys.unit == sig.unit) & (keys.len == sig.len), "left_semi").select("row").distinct()
+    sig = length_hazards(docs).filter("significant").select("src", "unit", "len", (1 - F.col("expected") / F.col("hazard")).alias("x"))
+    keys = docs.select("row", "src", F.explode(_lengths()).alias("x")).select("row", "src", "x.*")
+    at = keys.join(sig, (keys.src.eqNullSafe(sig.src)) & (keys.unit == sig.unit) & (keys.len == sig.len)).groupBy("row").agg(F.max("x").alias("excess"))
     cand = docs.filter("kind in ('bare', 'dots') and w3 is not null")
     ev = _evidence(cand.select("row", "w1", "w2", "w3"), counts)
     ended = F.coalesce(*(_share("nu", k) for k in (3, 2, 1)))
     dotted = F.coalesce(*(_share("nd", k) for k in (3, 2)))
-    finished = F.coalesce(*((F.col(f"nt{k}") + F.col(f"nd{k}") + F.col(f"nu{k}") - 1) / (F.col(f"all{k}") + F.col(f"x{k}")) for k in (2,)))
+    finished = (F.col("nt2") + F.col("nd2") + F.col("nu2") - 1) / (F.col("all2") + F.col("x2"))
     placed = F.when(F.col("allb") > 1, (F.col("nub") - 1) / (F.col("allb") - 1))
-    ev = ev.select("*", ended.alias("ended"), dotted.alias("dotted"), finished.alias("finished"), placed.alias("placed"))
-    ev = ev.drop("w1", "w2", "w3", "doc", "src", "kind", "chars", "octets", "upper")
-    out = docs.join(at.withColumn("at_limit", F.lit(True)), "row", "left").join(ev, "row", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
     chance = (cand.filter("kind = 'bare'").count() + 1) / (counts.agg(F.sum(sum((F.col(c) for c in _SUMS), F.lit(0)))).first()[0] or 1)
     formula = (F.col("nu3") - 1 >= SUPPORT) & ((F.col("nu3") - 1) / (F.col("all3") + F.col("x3")) >= OVER_CHANCE * chance)
-    need = F.when(F.col("at_limit"), SHARE_AT_LIMIT).otherwise(SHARE)
-    # an ending nowhere else seen: a name (capital) or a number ends a heading, another word is cut
-    bare_whole = F.coalesce(F.greatest(F.col("ended"), F.coalesce("placed", F.lit(0.0))) >= need, F.col("upper") | (F.col("w3") == "#"))
-    dots_whole = F.coalesce(F.col("dotted") >= need, F.lit(False)) | (~F.col("at_limit") & F.coalesce(F.col("finished") >= 0.2, F.lit(False)))
-    truncated = (
-        F.when(F.col("kind").isin("open", "broken"), True)
-        .when(F.col("kind") == "bare", F.col("w3").isNotNull() & ~bare_whole & ~F.coalesce(formula, F.lit(False)))
-        .when(F.col("kind") == "dots", F.col("w3").isNotNull() & ~dots_whole)
-        .otherwise(False)
-    )
-    return out.withColumn("truncated", truncated)
+    ev = ev.select("row", ended.alias("ended"), dotted.alias("dotted"), finished.alias("finished"), placed.alias("placed"), formula.alias("formula"))
+    out = docs.join(at, "row", "left").join(ev, "row", "left")
+    return out.withColumn("at_limit", F.col("excess").isNotNull()).withColumn("excess", F.coalesce("excess", F.lit(0.0))).withColumn("formula", F.coalesce("formula", F.lit(False)))
 
 
 def truncation_rates(found: DataFrame) -> DataFrame:
