@@ -3,12 +3,13 @@
 Work is done once for each distinct cell, and inside that once for each distinct token: tokens
 (words and runs of neighbouring words) are repaired against the vocabulary of the reference list
 by an edit-distance join on deletion variants, then the repaired tokens are combined by soft
-TF-IDF to rank complete entries. Plain joins and aggregates only.
+TF-IDF to rank complete entries. Only entries whose rarest words a cell holds are scored, which loses none.
+Plain joins and aggregates only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import is_placeholder
@@ -22,8 +23,12 @@ LOOKALIKE = {
     "superscripts": ("⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789"),
     "accents": ("áàâäãåéèêëíìîïóòôöõøúùûüçñý", "aaaaaaeeeeiiiioooooouuuucny"),
 }
-#: Shortest word that may be repaired by an edit: in an entry of several words, and alone.
+#: A word may be repaired by one edit (wrong, missing, extra or swapped letter) if it has this many letters: in an entry
+#: of several words, and alone. Words with digits are formulas, in which an edit names something else: only signs
+#: taken for each other are repaired there.
 MIN_EDIT, MIN_EDIT_ALONE = 4, 5
+#: Share of an entry's squared word weights, each times the likeness of its repair, that a cell must hold to name it.
+ACCEPT = 0.8
 
 
 def folded(c: Column) -> Column:
@@ -72,37 +77,37 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def entry_forms(canon: DataFrame) -> DataFrame:
-    """(field_name, canon_id, form, vtoken, weight, n_tokens, norm, alone): each name of each entry, once as
-    a bag of words weighted by rarity and once written together."""
+    """(field_name, canon_id, form, vtoken, weight, rare, norm, alone, word, unseen): each name of each entry, once as a bag of
+    words weighted by rarity and once written together. rare: the rarest words of the form, without all of
+    which a cell falls short of ACCEPT. word: vtoken is one word. unseen: the weight of a word that is in no name."""
     names = canon.select(
         "field_name", "canon_id", F.explode(F.concat(F.array("canonical"), F.split(F.coalesce("alt_names", F.lit("")), ";"))).alias("name")
-    ).withColumn("name", F.trim("name")).filter("name <> ''")
+    ).withColumn("name", F.trim("name")).filter("name <> ''").distinct()
     named = names.select("field_name", "canon_id", "name", words(F.col("name")).alias("ws")).filter(F.size("ws") > 0)
+    n = named.select("field_name", "name").distinct().groupBy("field_name").agg(F.count(F.lit(1)).alias("n"))
     w = named.select("field_name", "canon_id", "name", "ws", F.explode(F.array_distinct("ws")).alias("vtoken"))
-    by_field, by_word = Window.partitionBy("field_name"), Window.partitionBy("field_name", "vtoken")  # the reference list only
-    w = w.withColumn("n", F.size(F.collect_set("name").over(by_field))).withColumn("k", F.count(F.lit(1)).over(by_word))
-    w = w.withColumn("weight", F.log1p(F.col("n") / F.col("k")))
-    per_name = Window.partitionBy("field_name", "canon_id", "name")
-    w = w.withColumn("norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(per_name))).withColumn("n_tokens", F.size(F.array_distinct("ws")))
-    plain = F.forall("ws", lambda x: (F.length(x) >= 2) & x.rlike(r"\p{L}")) & (F.col("n_tokens") > 1)
-    bags = w.filter(plain).select(
-        "field_name", "canon_id", F.concat(F.lit("b:"), "name").alias("form"), "vtoken", "weight", "n_tokens", "norm", F.lit(False).alias("alone")
-    )
-    whole = w.select(
-        "field_name", "canon_id", F.concat(F.lit("w:"), "name").alias("form"), F.array_join("ws", "").alias("vtoken"), F.col("norm").alias("weight"),
-        F.lit(1).alias("n_tokens"), "norm", F.lit(True).alias("alone"),
-    ).distinct()
-    return bags.unionByName(whole)
+    k = w.groupBy("field_name", "vtoken").agg(F.count(F.lit(1)).alias("k"))
+    w = w.join(k, ["field_name", "vtoken"]).join(n, "field_name").withColumn("weight", F.log1p(F.col("n") / F.col("k")))
+    by = w.groupBy("field_name", "canon_id", "name", "ws", F.log1p("n").alias("unseen")).agg(F.sort_array(F.collect_list(F.struct("weight", "vtoken")), asc=False).alias("o"))  # one name's words
+    by = by.withColumn("norm", F.sqrt(F.aggregate("o", F.lit(0.0), lambda t, x: t + x["weight"] * x["weight"])))
+    before = lambda i: F.aggregate(F.slice("o", 1, i), F.lit(0.0), lambda t, x: t + x["weight"] * x["weight"])
+    rare = F.transform("o", lambda x, i: F.struct(x["weight"].alias("weight"), x["vtoken"].alias("vtoken"), (before(i) <= (1 - ACCEPT) * F.col("norm") * F.col("norm")).alias("rare")))
+    plain = F.forall("ws", lambda x: (F.length(x) >= 2) & x.rlike(r"\p{L}")) & (F.size("o") > 1)
+    bags = by.filter(plain).select("field_name", "canon_id", F.concat(F.lit("b:"), "name").alias("form"), F.explode(rare).alias("x"), "norm", F.lit(False).alias("alone"), F.lit(True).alias("word"), "unseen")
+    whole = F.struct(F.col("norm").alias("weight"), F.array_join("ws", "").alias("vtoken"), F.lit(True).alias("rare"))
+    wholes = by.select("field_name", "canon_id", F.concat(F.lit("w:"), "name").alias("form"), whole.alias("x"), "norm", F.lit(True).alias("alone"), (F.size("ws") == 1).alias("word"), "unseen")
+    return bags.unionByName(wholes).select("field_name", "canon_id", "form", "x.*", "norm", "alone", "word", "unseen")
 
 
 def repaired_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """(field_name, token, short, vtoken, sim): each distinct token with the vocabulary tokens it may stand
-    for. tokens: (field_name, token, short); vocab: (field_name, vtoken, alone)."""
+    for. tokens: (field_name, token, short); vocab: (field_name, vtoken, alone, word). A word cut short stands
+    for words only, not for the beginning of several words written together."""
     letters = lambda c: c.rlike(r"^\p{L}+$")
     keys = lambda t, extra: F.array_distinct(F.concat(F.array(F.concat(F.lit("f:"), confusable(t))), extra))
     edits = lambda t: F.when(letters(t) & (F.length(t) >= MIN_EDIT - 1), F.transform(deletions(t), lambda x: F.concat(F.lit("d:"), x))).otherwise(F.array().cast("array<string>"))
     prefixes = F.when(
-        letters(F.col("vtoken")) & (F.length("vtoken") >= 5),
+        F.col("word") & letters(F.col("vtoken")) & (F.length("vtoken") >= 5),
         F.transform(F.sequence(F.lit(3), F.greatest(F.length("vtoken") - 1, F.lit(3))), lambda n: F.concat(F.lit("p:"), F.substring(F.col("vtoken"), F.lit(1), n))),
     ).otherwise(F.array().cast("array<string>"))
     left = tokens.withColumn(
@@ -115,30 +120,47 @@ def repaired_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
         F.when(t == v, 1.0)
         .when(confusable(t) == confusable(v), 0.98)
         .when(enough & letters(t) & letters(v) & one_edit(t, v), 1 - 1 / F.length(v))
-        .when(F.col("short") & v.startswith(t), 0.85)
+        .when(F.col("short") & F.col("word") & v.startswith(t), 0.85)
     )
     return left.join(right, ["field_name", "key"]).withColumn("sim", sim).filter("sim is not null").groupBy("field_name", "token", "short", "vtoken").agg(F.max("sim").alias("sim"))
 
 
-def map_cells(cells: DataFrame, canon: DataFrame) -> DataFrame:
-    """(field_name, cell, canon_id) for distinct (field_name, cell); canon_id 0 where the cell names
-    no entry, the smallest where it names several equally well."""
+def ranked_entries(cells: DataFrame, canon: DataFrame) -> DataFrame:
+    """(field_name, cell, canon_id, form, held, score) of the entries that each distinct (field_name, cell) names.
+
+    held: share of the form's squared weights that the cell's repaired words hold, at least ACCEPT. score: soft
+    TF-IDF of cell and form; words of the cell that are in no name count in its length, so they lower it.
+    """
     forms = cut(entry_forms(canon))
-    longest = forms.select(F.max(F.size(F.split("form", r"[^\p{L}\p{N}]+"))).alias("m")).first().m or 1
+    size = forms.agg(F.max(F.size(F.split("form", r"[^\p{L}\p{N}]+"))).alias("words"), F.max(F.length("vtoken")).alias("letters")).first()
     ws = words(F.col("cell"))
-    cell_tokens = cells.select("field_name", "cell", F.explode(runs(ws, int(longest))).alias("token"), short_words(F.col("cell")).alias("sw"))
-    cell_tokens = cut(cell_tokens.select("field_name", "cell", "token", F.array_contains("sw", F.col("token")).alias("short")))
-    fixed = repaired_tokens(
-        cell_tokens.select("field_name", "token", "short").distinct(), forms.groupBy("field_name", "vtoken").agg(F.min("alone").alias("alone"))
-    )
-    hits = (
-        cell_tokens.join(fixed, ["field_name", "token", "short"])
-        .groupBy("field_name", "cell", "vtoken").agg(F.max("sim").alias("sim"))
-        .join(forms, ["field_name", "vtoken"])
+    typed = cells.select("field_name", "cell", F.explode(runs(ws, int(size.words or 1))).alias("token"), short_words(F.col("cell")).alias("sw"), F.size(F.array_distinct(ws)).alias("n_words"))
+    # a repair changes the length by one at most
+    typed = typed.filter(F.length("token") <= (size.letters or 0) + 1)
+    typed = cut(typed.select("field_name", "cell", "token", F.array_contains("sw", F.col("token")).alias("short"), "n_words"))
+    fixed = repaired_tokens(typed.select("field_name", "token", "short").distinct(), forms.groupBy("field_name", "vtoken").agg(F.min("alone").alias("alone"), F.max("word").alias("word")))
+    hits = cut(typed.join(fixed, ["field_name", "token", "short"]).groupBy("field_name", "cell", "vtoken").agg(F.max("sim").alias("sim"), F.max("n_words").alias("n_words")))
+    maybe = hits.join(forms.filter("rare").select("field_name", "vtoken", "canon_id", "form"), ["field_name", "vtoken"]).select("field_name", "cell", "n_words", "canon_id", "form").distinct()
+    w2 = F.col("weight") * F.col("weight")
+    scored = (
+        maybe.join(forms.drop("rare"), ["field_name", "canon_id", "form"])
+        .join(hits.drop("n_words"), ["field_name", "cell", "vtoken"], "left")
         .groupBy("field_name", "cell", "canon_id", "form")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("n_tokens").alias("n_tokens"), (F.sum(F.col("weight") * F.col("weight") * F.col("sim")) / F.first("norm")).alias("score"))
-        .filter("n = n_tokens")
+        .agg(
+            F.sum(w2 * F.coalesce("sim", F.lit(0.0))).alias("dot"), F.sum(F.when(F.col("sim").isNotNull(), w2)).alias("own"), F.count("sim").alias("n"), F.first("norm").alias("norm"),
+            F.first("alone").alias("alone"), F.first("n_words").alias("n_words"), F.first("unseen").alias("unseen"),
+        )
+        .withColumn("held", F.col("dot") / (F.col("norm") * F.col("norm"))).filter(F.col("held") >= ACCEPT - 1e-9)
     )
+    # length of the cell: the words held by the form with their weights, each other one as a word never seen
+    others = F.greatest(F.col("n_words") - F.when(F.col("alone"), F.size(words(F.col("form"))) - 1).otherwise(F.col("n")), F.lit(0))
+    return scored.select("field_name", "cell", "canon_id", "form", "held", (F.col("dot") / (F.col("norm") * F.sqrt(F.col("own") + others * F.col("unseen") * F.col("unseen")))).alias("score"))
+
+
+def map_cells(cells: DataFrame, canon: DataFrame) -> DataFrame:
+    """(field_name, cell, canon_id) for distinct (field_name, cell); canon_id 0 where the cell names
+    no entry, the smallest where it names several equally well."""
+    hits = ranked_entries(cells, canon)
     best = hits.groupBy("field_name", "cell").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("canon_id")).alias("neg"))).alias("b"))
     found = best.select("field_name", "cell", (-F.col("b.neg")).alias("canon_id"))
     return cells.select("field_name", "cell").join(found, ["field_name", "cell"], "left").select("field_name", "cell", F.coalesce("canon_id", F.lit(0)).cast("bigint").alias("canon_id"))
