@@ -2,44 +2,51 @@
 
 The total is cut into blocks of equal tokens; blocks are given to sources by highest quotients
 (Sainte-Lague), no source beyond what it holds times its allowed repeats. Each source is spread over
-shards by a hash of its records; its blocks are given to its shards the same way, and every shard
-takes its blocks in a seeded order. Only one row for each shard (a bounded number) reaches the
-driver; a source that holds a third of all rows is as many tasks as it has shards.
+shards by a hash of its records; its blocks are given to its shards the same way, in one small task a
+source, and every shard takes its blocks from a seeded order of its records: blocks are stretches of that
+order, so the first ones are a seeded choice. One row for each target source reaches the driver;
+a source that holds a third of all rows is as many tasks as it has shards.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.tokens import count_tokens
 from spindrift.session import cut
 
-#: Tokens of a block; tokens a shard should hold; most shards of one source; most sources of a mixture.
-BLOCK, SHARD_TOKENS, MAX_SHARDS, MAX_SOURCES = 512, 2_000_000, 4096, 10_000
+#: Most tokens of a block, and fewest blocks of a mixture (smaller mixtures have smaller blocks).
+BLOCK, BLOCKS = 512, 20_000
+#: Tokens a shard should hold; most shards of one source; most target sources (one row each reaches the driver).
+SHARD_TOKENS, MAX_SHARDS, MAX_SOURCES = 2_000_000, 65_536, 1_000_000
+#: A target is met if the share reached differs from it by at most this part of it.
+TOLERANCE = 0.01
 
 
 def sainte_lague(weights: list[float], seats: int, caps: list[int]) -> list[int]:
     """Seats by highest quotients w / (2k + 1), none beyond its cap; the earlier of equal quotients
     first. The divisor is found by bisection, so time does not grow with the number of seats."""
-    seats = min(seats, sum(c for c, w in zip(caps, weights) if w > 0))
+    w, top = np.asarray(weights, dtype=float), np.asarray(caps, dtype=np.int64)
+    seats = min(seats, int(top[w > 0].sum()))
     if seats <= 0:
         return [0] * len(weights)
-    at = lambda d: [min(c, math.floor(w / d + 0.5)) if w > 0 else 0 for w, c in zip(weights, caps)]
-    lo, hi = 0.0, 2.1 * max(weights)  # at(hi) gives none
+    at = lambda d: np.where(w > 0, np.minimum(top, np.floor(np.minimum(w / d, 4e18) + 0.5).astype(np.int64)), 0)
+    lo, hi = 0.0, 2.1 * float(w.max())  # at(hi) gives none
     for _ in range(300):
         mid = (lo + hi) / 2
         if mid in (lo, hi):
             break
-        if sum(at(mid)) <= seats:
+        if int(at(mid).sum()) <= seats:
             hi = mid
         else:
             lo = mid
-    got = at(hi * (1 + 1e-9))  # equal quotients at the edge are left to the exact comparison below
-    heap = [(-w / (2 * g + 1), i) for i, (w, g, c) in enumerate(zip(weights, got, caps)) if w > 0 and g < c]
+    got = at(hi * (1 + 1e-9)).tolist()  # equal quotients at the edge are left to the exact comparison below
+    heap = [(-x / (2 * g + 1), i) for i, (x, g, c) in enumerate(zip(weights, got, caps)) if x > 0 and g < c]
     heapq.heapify(heap)
     left = seats - sum(got)
     while left and heap:
@@ -51,9 +58,18 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int]) -> list[int]
     return got
 
 
+def _shard_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Tokens that each shard of one source (at most MAX_SHARDS rows) gives: its blocks, the last of which may be short."""
+    pdf = pdf.sort_values("shard")
+    t, r, block = pdf["t"], pdf["r"], int(pdf["block"].iloc[0])
+    k = sainte_lague(t.astype(float).tolist(), int(pdf["seats"].iloc[0]), (-(-t * r // block)).tolist())
+    tokens = np.minimum(np.asarray(k, dtype=np.int64) * block, t * r)
+    return pd.DataFrame({"source": pdf["source"], "shard": pdf["shard"], "whole": (tokens // t).astype("int32"), "rest": tokens % t})
+
+
 def mix(
     df: DataFrame, id_col: str, text_col: str, source_col: str, targets: DataFrame, total_tokens: int | None = None,
-    seed: int = 42, block: int = BLOCK, vocab_path: str | None = None,
+    seed: int = 42, block: int | None = None, vocab_path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(mixture, report).
 
@@ -63,15 +79,17 @@ def mix(
 
     total_tokens defaults to the tokens of all records of the targeted sources. Where a source cannot
     reach its share even with all repeats, it is used to its limit, the others keep their
-    proportions, and the report shows the shares reached; target_met allows two blocks and half a
-    percent of the target. Records of other or null sources and records without tokens are not used; a target
-    without records is reported with 0. Shares need not sum to 1.
+    proportions, and the report shows the shares reached; target_met allows TOLERANCE of the target.
+    A source of fewer tokens than a block is used like any other. block defaults to the total over
+    BLOCKS, at most BLOCK. Records of other or null sources and records without tokens are not used; a target
+    without records is reported with 0. Shares need not sum to 1; those of a source named twice are added, its larger
+    number of repeats holds.
     """
     spark = df.sparkSession
-    want = targets.select("source", F.col("target_share").cast("double").alias("w"), F.col("max_repeats").cast("int").alias("r")).limit(MAX_SOURCES + 1).collect()
+    rows = targets.filter("source is not null").groupBy("source").agg(F.sum(F.greatest(F.col("target_share").cast("double"), F.lit(0.0))).alias("w"), F.greatest(F.max(F.col("max_repeats").cast("int")), F.lit(0)).alias("r"))
+    want = sorted(rows.limit(MAX_SOURCES + 1).collect(), key=lambda x: x.source)
     if len(want) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    want = sorted((x for x in want if x.source is not None), key=lambda x: x.source)
     names = spark.createDataFrame([(x.source,) for x in want], "source string")
     wanted = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("text"))
     wanted = wanted.join(F.broadcast(names), "source", "left_semi")  # at most MAX_SOURCES names
@@ -83,22 +101,13 @@ def mix(
     placed = sized.join(table, "source").withColumn("h", F.xxhash64(F.lit(seed), "id"))
     # repeated ids lie together, so the order inside a shard is settled by size
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("shards")).cast("int")).drop("shards")
-    per_shard: dict[str, list[tuple[int, int]]] = {}  # at most MAX_SHARDS of each source
-    for r in placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect():
-        per_shard.setdefault(r.source, []).append((r.shard, r.t))
-
     total = total_tokens if total_tokens is not None else sum(held.values())
-    caps = [-(-held.get(x.source, 0) * max(0, x.r or 0) // block) for x in want]  # a last block may be short
-    seats = dict(zip((x.source for x in want), sainte_lague([max(0.0, x.w or 0.0) for x in want], -(-total // block), caps)))
-    repeats = {x.source: max(0, x.r or 0) for x in want}
-    quotas = []
-    for s, n in seats.items():
-        own = sorted(per_shard.get(s, []))
-        got = sainte_lague([float(t) for _, t in own], n, [-(-t * repeats[s] // block) for _, t in own])
-        for (shard, t), k in zip(own, got):
-            tokens = min(k * block, t * repeats[s])
-            quotas.append((s, shard, tokens // t, tokens % t))
-    quota = F.broadcast(spark.createDataFrame(quotas or [("", 0, 0, 0)], "source string, shard int, whole int, rest bigint"))  # one row a shard
+    block = block or max(1, min(BLOCK, total // BLOCKS))
+    caps = [-(-held.get(x.source, 0) * (x.r or 0) // block) for x in want]  # a last block may be short
+    seats = sainte_lague([(x.w or 0.0) for x in want], -(-total // block), caps)
+    given = spark.createDataFrame([(x.source, n, (x.r or 0), block) for x, n in zip(want, seats) if n] or [("", 0, 0, 1)], "source string, seats bigint, r bigint, block bigint")
+    per_shard = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).join(F.broadcast(given), "source")  # at most MAX_SOURCES rows
+    quota = per_shard.groupBy("source").applyInPandas(_shard_quotas, "source string, shard int, whole int, rest bigint")
     order = Window.partitionBy("source", "shard").orderBy("h", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     picked = placed.withColumn("end", F.sum("n_tokens").over(order)).join(quota, ["source", "shard"])
     # the rest of a quota takes the first records of the seeded order; a record over its edge counts
@@ -107,12 +116,11 @@ def mix(
     mixture = cut(picked.select("id", "source", "n_tokens", uses.alias("n_uses")).filter("n_uses > 0"))
 
     used = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("mixed_tokens"))
-    share = sum(max(0.0, x.w or 0.0) for x in want) or 1.0
-    base = spark.createDataFrame([(x.source, max(0.0, x.w or 0.0) / share, max(0, x.r or 0), held.get(x.source, 0)) for x in want], "source string, target_share double, max_repeats int, available_tokens bigint")
+    share = sum((x.w or 0.0) for x in want) or 1.0
+    base = spark.createDataFrame([(x.source, (x.w or 0.0) / share, (x.r or 0), held.get(x.source, 0)) for x in want], "source string, target_share double, max_repeats int, available_tokens bigint")
     rep = base.join(used, "source", "left").na.fill(0, ["mixed_tokens"])
-    all_tokens = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))  # at most MAX_SOURCES rows
-    actual = F.when(all_tokens > 0, F.col("mixed_tokens") / all_tokens).otherwise(0.0)
-    rep = rep.withColumn("actual_share", actual).withColumn(
-        "target_met", F.abs(F.col("actual_share") - F.col("target_share")) * all_tokens <= 2 * block + 0.005 * F.col("target_share") * all_tokens
-    ).withColumn("target_share", F.round("target_share", 6)).withColumn("actual_share", F.round("actual_share", 6))
+    total_mixed = F.broadcast(rep.agg(F.sum("mixed_tokens").alias("__all")))  # one row
+    rep = rep.crossJoin(total_mixed).withColumn("actual_share", F.when(F.col("__all") > 0, F.col("mixed_tokens") / F.col("__all")).otherwise(0.0)).drop("__all")
+    rep = rep.withColumn("target_met", F.abs(F.col("actual_share") - F.col("target_share")) <= TOLERANCE * F.col("target_share"))
+    rep = rep.withColumn("target_share", F.round("target_share", 6)).withColumn("actual_share", F.round("actual_share", 6))
     return mixture.withColumnRenamed("id", id_col), rep

@@ -56,6 +56,15 @@ def test_small_sources_are_used_to_their_limit(spark):
     assert rep["b"].mixed_tokens == 2 * rep["b"].available_tokens > 0 and rep["a"].mixed_tokens == rep["a"].available_tokens
 
 
+def test_a_source_of_seven_tokens(spark):
+    """It is used to its limit, is far from its target and not reported as met; named twice, its shares are added."""
+    t = spark.createDataFrame([("a", 0.9, 1), ("b", 0.04, 3), ("b", 0.06, 2)], "source string, target_share double, max_repeats int")
+    m, rep = X.mix(docs(spark, [("a", 40)] * 200 + [("b", 6)]), "doc_id", "text", "source", t)
+    r = {x.source: x for x in rep.collect()}
+    assert r["b"].available_tokens in (6, 7) and r["b"].mixed_tokens == 3 * r["b"].available_tokens
+    assert not r["b"].target_met and r["b"].target_share == 0.1 and {x.n_uses for x in m.collect() if x.source == "b"} == {3}
+
+
 def test_met_targets_and_empty(spark):
     df = docs(spark, [("a", 30)] * 300 + [("b", 30)] * 300)
     t = spark.createDataFrame([("a", 0.25, 1), ("b", 0.75, 3)], "source string, target_share double, max_repeats int")
