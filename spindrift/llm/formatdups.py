@@ -1,17 +1,20 @@
 """Problem 2: duplicates hidden by formatting differences.
 
-Every record gets a full canonical key. Records are range-partitioned and externally sorted by
-(key, id), then each partition is scanned once: neighbours with equal full keys form a run, whose
-first record is the representative. The id is part of the range, so a key that holds a third of
-all rows is spread over many partitions; a run that continues over a partition's edge is stitched
-with one boundary record for each partition.
+Every record gets a full canonical key. Records are partitioned by ranges of the key's hash and externally
+sorted by (hash, key, id), then each partition is scanned once: neighbours with equal full keys form a run,
+whose first record is the representative. Ranges of a hash are even without sampling the keys; only keys that hold
+more rows than a partition should, found in a small sample, are spread over partitions of their own, and
+their runs are stitched by a join on the full key, one row for each such partition.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +22,13 @@ from spindrift.functions.text import bare, bare_decimal
 from spindrift.operators.packed import split_packed
 from spindrift.session import cut
 
+#: Rows of a partition; sampled rows, and those for each partition, from which crowded keys are told; fewest of one key.
+ROWS, SAMPLE, SAMPLE_EACH, CROWD = 250_000, 20_000, 50, 25
+
 
 def list_key(c: Column) -> Column:
-    """Key of a list cell, whatever its delimiters and the order of its values."""
+    """Key of a list cell, whatever its delimiters and the order of its values: the letters and digits of
+    its sorted values. Signs do not count, those between values neither."""
     return F.array_join(F.array_sort(F.transform(split_packed(c, keep_placeholders=True), bare)), "")
 
 
@@ -29,8 +36,8 @@ def canonical_keys(df: DataFrame, id_col: str, exact: list[str], source: str, la
     """(i, k): id and full key of every record, the key as one text.
 
     Parts are joined by a separator and null has a mark of its own; a record that holds one of these
-    signs itself has each part written with its length instead, so no two different records ever
-    share a key.
+    signs itself has each part written with its length instead, so no two records with different parts
+    share a key. Parts of source, label and list are their letters and digits alone, as asked.
     """
     q = lambda c: F.col(f"`{c}`").cast("string")
     parts = [f"e{i}" for i in range(len(exact))]
@@ -41,44 +48,72 @@ def canonical_keys(df: DataFrame, id_col: str, exact: list[str], source: str, la
     every = ["c0", "c1", "c2", *parts]
     fast = F.concat_ws("\u001f", F.lit("f"), *(F.coalesce(p, F.lit("\u001e")) for p in every))
     safe = F.concat(F.lit("s"), *(F.coalesce(F.concat(F.length(p), F.lit(":"), p), F.lit("-")) for p in every))
-    clash = F.concat_ws("", *parts).rlike("[\u001e\u001f]") if parts else F.lit(False)  # the other three are letters and digits
+    every_part = F.concat_ws("", *parts)
+    clash = every_part.contains("\u001e") | every_part.contains("\u001f") if parts else F.lit(False)  # the other three are letters and digits
     return wide.select("i", F.when(clash, safe).otherwise(fast).alias("k"))
 
 
-_OUT = "pid int, edge boolean, head boolean, keep_id bigint, copy_id bigint, first_key binary, last_key binary, whole boolean"
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (first of run, later of run) and, last, the partition's boundary record."""
-    from pyspark import TaskContext
-
-    pid = TaskContext.get().partitionId()
-    names = ["pid", "edge", "head", "keep_id", "copy_id", "first_key", "last_key", "whole"]
-    types = [pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
-    first_key = key = start = first_id = None
-    runs = 0
-    for b in batches:
-        keep, copy, head = [], [], []
-        for k, i in zip(b.column(0), b.column(1)):
-            k, i = k.as_buffer(), i.as_py()
-            if key is not None and k.equals(key):
-                keep.append(start)
-                copy.append(i)
-                head.append(runs == 1)
-            else:
-                key, start, runs = pa.py_buffer(k.to_pybytes()), i, runs + 1
-                if runs == 1:
-                    first_key, first_id = key.to_pybytes(), i
-        n = len(keep)
-        if n:
-            cols = [[pid] * n, [False] * n, head, keep, copy, [None] * n, [None] * n, [False] * n]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-    if runs:
-        cols = [[pid], [True], [True], [start], [first_id], [first_key], [key.to_pybytes()], [runs == 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-
-
-def format_copies(df: DataFrame, id_col: str, source: str, label: str, listed: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+_OUT = "pid int, keep_id bigint, copy_id bigint, k binary"
+
+
+def _scan(base: int):
+    """Scan of sorted partitions: pairs (first of run, later of run); in partitions from `base` on, those of crowded
+    keys, also each run's first id with its key (copy_id null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        key = start = None
+
+        def rows(keep, copy, k) -> pa.RecordBatch:
+            n = len(keep)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, pid, np.int32)), pa.array(keep, pa.int64()), copy, k], names=["pid", "keep_id", "copy_id", "k"])
+
+        for b in batches:
+            k, i = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
+            if not len(i):
+                continue
+            fresh = np.ones(len(i), bool)
+            fresh[1:] = ~pc.equal(k.slice(1), k.slice(0, len(i) - 1)).to_numpy(zero_copy_only=False)
+            fresh[0] = key is None or k[0].as_py() != key
+            heads = np.nonzero(fresh)[0]
+            run_of = np.cumsum(fresh) - 1  # -1: goes on from the last batch
+            firsts = np.append(i[heads], start if start is not None else i[0])  # at -1
+            later = ~fresh
+            if later.any():
+                yield rows(firsts[run_of[later]], pa.array(i[later], pa.int64()), pa.nulls(int(later.sum()), pa.binary()))
+            if pid >= base and len(heads):
+                yield rows(i[heads], pa.nulls(len(heads), pa.int64()), k.take(pa.array(heads)).cast(pa.binary()))
+            key, start = k[len(i) - 1].as_py(), firsts[run_of[-1]]
+
+    return run
+
+
+def _placed(df: DataFrame, keyed, rows: int) -> tuple[DataFrame, int, int]:
+    """(keyed(df) with the number of its partition, ordinary partitions, partitions of crowded keys)."""
+    spark, total = df.sparkSession, df.count()
+    base = max(spark.sparkContext.defaultParallelism, -(-total // rows))
+    want = max(SAMPLE, SAMPLE_EACH * base)
+    part = df.sample(min(1.0, want / total), seed=42) if total > want else df
+    seen = cut(keyed(part).groupBy(F.xxhash64("k").alias("h")).agg(F.count(F.lit(1)).alias("c")))
+    sampled = seen.agg(F.sum("c")).first()[0] or 0
+    # each holds two partitions' worth of rows, so there are at most base / 2 of them
+    crowded = sorted((r.h, r.c) for r in seen.filter((F.col("c") >= CROWD) & (F.col("c") * base >= 2 * sampled)).collect())
+    table, at = [], base
+    for h, c in crowded:
+        pieces = math.ceil(c * base / sampled)
+        table.append((h, at, pieces))
+        at += pieces
+    k = keyed(df).withColumn("h", F.xxhash64("k"))
+    own = F.shiftright(F.shiftrightunsigned("h", 33) * F.lit(base), 31).cast("int")
+    if not table:
+        return k.withColumn("p", own), base, 0
+    spread = F.broadcast(spark.createDataFrame(table, "h bigint, at int, pieces int"))  # at most base / 2 rows
+    return k.join(spread, "h", "left").withColumn("p", F.coalesce(F.col("at") + F.pmod(F.xxhash64("i"), F.col("pieces")).cast("int"), own)), base, at - base
+
+
+def format_copies(df: DataFrame, id_col: str, source: str, label: str, listed: str, ignore: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
     """(keep_id, copy_id): each record that equals an earlier one but for formatting, with the
     smallest id of its group.
 
@@ -88,32 +123,22 @@ def format_copies(df: DataFrame, id_col: str, source: str, label: str, listed: s
     must not be null; rows repeating an id are copies of each other. Groups of one give no row.
     """
     exact = [c for c in df.columns if c not in {id_col, source, label, listed, *ignore}]
-    keyed = canonical_keys(df, id_col, exact, source, label, listed).select(F.col("k").cast("binary").alias("k"), "i")
-    ordered = keyed.repartitionByRange(F.xxhash64("k"), "k", "i").sortWithinPartitions(F.xxhash64("k"), "k", "i")
-    found = cut(ordered.mapInArrow(_scan, _OUT))  # the sampled ranges are drawn once
-
-    # one row for each partition: bounded by the number of partitions, not by rows or groups
-    edges = sorted(found.filter("edge").collect(), key=lambda r: r.pid)
-    moved: dict[int, int] = {}  # partition -> true first id of its first run
-    last_key, last_start = None, None
-    for e in edges:
-        if bytes(e.first_key) == last_key:
-            moved[e.pid] = last_start
-            if not e.whole:
-                last_start = e.keep_id
-        else:
-            last_start = e.keep_id
-        last_key = bytes(e.last_key)
-    pairs = found.filter(~F.col("edge")).select("pid", "head", "keep_id", "copy_id")
-    if not moved:
-        return pairs.select("keep_id", "copy_id")
-    spark = df.sparkSession
-    true_start = F.broadcast(spark.createDataFrame(list(moved.items()), "pid int, true_id bigint"))  # at most one row a partition
-    stitched = pairs.join(true_start, "pid", "left").select(
-        F.when(F.col("head"), F.coalesce("true_id", "keep_id")).otherwise(F.col("keep_id")).alias("keep_id"), "copy_id"
-    )
-    firsts = found.filter("edge").join(true_start, "pid").select(F.col("true_id").alias("keep_id"), "copy_id")
-    return stitched.unionByName(firsts)
+
+    def keyed(part: DataFrame) -> DataFrame:
+        return canonical_keys(part, id_col, exact, source, label, listed).select(F.col("k").cast("binary").alias("k"), "i")
+
+    placed, base, more = _placed(df, keyed, rows)
+    ordered = placed.select("k", "i", "h", "p").repartitionById(base + more, "p").sortWithinPartitions("h", "k", "i").select("k", "i")
+    found = ordered.mapInArrow(_scan(base), _OUT)
+    if not more:
+        return found.select("keep_id", "copy_id")
+    found = cut(found)
+    # one row for each partition of a crowded key (and key of equal hash): the true first of the key
+    heads = found.filter("copy_id is null").select("pid", "k", F.col("keep_id").alias("first_id"))
+    true = cut(heads.join(heads.groupBy("k").agg(F.min("first_id").alias("true_id")), "k").select("pid", "first_id", "true_id"))
+    pairs = found.filter("copy_id is not null").select("pid", F.col("keep_id").alias("first_id"), "copy_id")
+    stitched = pairs.join(true, ["pid", "first_id"], "left").select(F.coalesce("true_id", "first_id").alias("keep_id"), "copy_id")
+    return stitched.unionByName(true.filter("first_id <> true_id").select(F.col("true_id").alias("keep_id"), F.col("first_id").alias("copy_id")))
 
 
 def copy_counts(pairs: DataFrame, df: DataFrame, id_col: str) -> DataFrame:

@@ -28,17 +28,18 @@ def test_rules(spark):
     assert found(df.limit(0)) == []
 
 
-def test_hot_group_over_many_partitions(spark):
+def test_crowded_keys_over_many_partitions(spark):
     rows = [(i, "t", "S_1.pdf" if i % 2 else "s-1 PDF", "Ni1.5", "Cu", "x", None) for i in range(3000)] + [(3000 + i, "t", f"S{i}", "c", None, "x", None) for i in range(1500)]
+    rows += [(5000 + i, "t", "T", "Ni2", "Cu", "x", None) for i in range(900)]
     random.Random(1).shuffle(rows)
-    spark.conf.set("spark.sql.shuffle.partitions", "12")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = found(frame(spark, rows).repartition(6))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert got == [(0, i) for i in range(1, 3000)]
+    df = frame(spark, rows).repartition(6)
+    want = [(0, i) for i in range(1, 3000)] + [(5000, 5000 + i) for i in range(1, 900)]
+    for size in (100, 1000, fd.ROWS):
+        out = fd.format_copies(df, "id", "src", "cat", "prom", ("cap",), size)
+        assert sorted(map(tuple, out.collect())) == want
+    keyed = lambda d: fd.canonical_keys(d, "id", ["a", "b"], "src", "cat", "prom").select(F.col("k").cast("binary").alias("k"), "i")
+    placed, base, more = fd._placed(df, keyed, 100)
+    assert base == 54 and more > 30 and max(r["count"] for r in placed.groupBy("p").count().collect()) < 400
 
 
 def test_repeated_ids_and_clashing_names(spark):
