@@ -4,7 +4,8 @@ Records are reduced to classes of equal keys; classes of the evaluation splits a
 joined by an exact prefix filter: the shingles of a label are ordered from rare to frequent, two
 labels one edit apart must share one of their first few shingles, so only those are indexed and
 probed, with the source in the join key. Length and position filters drop candidates before the
-exact check; the surviving class pairs are expanded to records with a band join on the measure.
+exact check. Linked classes are compared by their distinct measures with the number of records of each, so
+copies cost nothing; pairs of records are written out only where they are asked for.
 """
 
 from __future__ import annotations
@@ -17,16 +18,14 @@ from spindrift.session import cut
 
 #: Length of a shingle (characters of the label's key).
 Q = 3
-#: One edit spoils at most Q + 1 shingles (a swap of neighbours touches Q + 1 windows).
+#: One edit spoils at most Q + 1 shingles (a swap of neighbours touches Q + 1 windows), so at most as many distinct ones.
 SPOILT = Q + 1
 
 
 def shingles(key: Column) -> Column:
-    """Padded character shingles of a key, each with its occurrence number, so that a label with a
-    repeated shingle is a true multiset."""
+    """Distinct padded character shingles of a key."""
     pad = F.concat(F.lit("\ue010" * (Q - 1)), key, F.lit("\ue011" * (Q - 1)))
-    grams = F.transform(F.sequence(F.lit(1), F.length(pad) - (Q - 1)), lambda i: F.substring(pad, i, F.lit(Q)))
-    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda x: x == g)).cast("string")))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(pad) - (Q - 1)), lambda i: F.substring(pad, i, F.lit(Q))))
 
 
 def word_runs(label: Column) -> Column:
@@ -82,22 +81,22 @@ def near_classes(classes: DataFrame) -> DataFrame:
     """(s, c_train, c_eval) of different label keys of one source that are one letter apart."""
     # only a label with a long enough word can take part
     able = classes.filter(F.col("label").rlike(r"\p{L}{5}")).select("s", "c", "label", "ev", "tr", shingles(F.col("c")).alias("g"))
-    able = cut(able)
-    rows = able.select("s", "c", F.explode("g").alias("g"))
+    # a source without evaluation classes, or without training classes, has no pairs
+    both = able.groupBy("s").agg(F.max("ev").alias("a"), F.max("tr").alias("b")).filter("a and b").select("s")
+    able = cut(able.join(both, "s", "left_semi"))
+    rows = able.select("s", "c", "ev", "tr", F.explode("g").alias("g"))
     df = rows.groupBy("s", "g").agg(F.count(F.lit(1)).alias("df"))
     ranked = (
         rows.join(df, ["s", "g"])
-        .groupBy("s", "c").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))  # one label's shingles
+        .groupBy("s", "c").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"), F.max("ev").alias("ev"), F.max("tr").alias("tr"))  # one label's shingles
     )
-    prefix = ranked.select("s", "c", F.size("o").alias("n"), F.posexplode(F.slice("o", 1, SPOILT + 1)).alias("i", "t"))
-    prefix = prefix.select("s", "c", "n", (F.col("i") + 1).alias("i"), F.col("t.g").alias("g"))
-    sides = able.select("s", "c", "ev", "tr")
-    prefix = cut(prefix.join(sides, ["s", "c"]))
+    prefix = ranked.select("s", "c", "ev", "tr", F.size("o").alias("n"), F.posexplode(F.slice("o", 1, SPOILT + 1)).alias("i", "t"))
+    prefix = cut(prefix.select("s", "c", "ev", "tr", "n", (F.col("i") + 1).alias("i"), F.col("t.g").alias("g")))
     probe = prefix.filter("tr").select("s", "g", F.col("c").alias("ct"), F.col("n").alias("nt"), F.col("i").alias("it"))
     index = prefix.filter("ev").select("s", "g", F.col("c").alias("ce"), F.col("n").alias("ne"), F.col("i").alias("ie"))
     cand = (
         probe.join(index, ["s", "g"])
-        .filter("ct <> ce and abs(nt - ne) <= 1")  # length filter
+        .filter("ct <> ce and abs(length(ct) - length(ce)) <= 1")  # length filter
         .filter(f"least(it, ie) + least(nt - it, ne - ie) >= greatest(nt, ne) - {SPOILT}")  # position filter
         .select("s", "ct", "ce").distinct()
     )
@@ -118,34 +117,45 @@ def _prepared(df: DataFrame, row_id: str, source: str, label: str, measure: str,
     return out.dropna(subset=["id", "s", "c", "m", "split"]).filter("not isnan(m)")
 
 
-def cross_split_pairs(
+def cross_split_classes(
     df: DataFrame, row_id: str, source: str, label: str, measure: str, split: str, train: str = "Train", within: float = 2.0
-) -> DataFrame:
-    """(id_train, id_eval, split, s): every training record and evaluation record with the same source,
-    the same or an almost same label, and measures at most `within` apart.
+) -> tuple[DataFrame, DataFrame]:
+    """(links, members): overlaps of training and evaluation without writing out pairs of records.
 
-    A null in any of the five columns matches nothing. Records of the same split are never paired.
-    Several copies are all paired, as asked; the pairs are made by an equi-join on (source, label,
-    band of the measure), so a hot source is spread over its labels and bands.
+    links: (s, ct, mt, ce, me, split, n_train, n_eval) of each training class (key of source and label, measure) and
+    evaluation class with the same source, the same or an almost same label and measures at most
+    `within` apart, with the number of their records. members: (id, s, c, m, split, ev) of each record.
+    A null in any of the five columns matches nothing. Records of the same split are never linked.
     """
     rows = cut(_prepared(df, row_id, source, label, measure, split, train))
     classes = cut(_classes(rows))
     # a class that occurs on one side only can still have a near partner, so all classes take part
     same = classes.filter("ev and tr").select("s", F.col("c").alias("ct"), F.col("c").alias("ce"))
     linked = cut(same.unionByName(near_classes(classes)))
-    band = lambda c: F.floor(c / F.lit(float(within) or 1.0)).cast("bigint")
-    train_rows = rows.filter("not ev").select("s", F.col("c").alias("ct"), F.col("id").alias("id_train"), F.col("m").alias("mt"))
-    eval_rows = rows.filter("ev").select("s", F.col("c").alias("ce"), F.col("id").alias("id_eval"), F.col("m").alias("me"), "split")
-    t = train_rows.join(linked, ["s", "ct"]).select("s", "ce", "id_train", "mt", F.explode(F.array(band(F.col("mt")) - 1, band(F.col("mt")), band(F.col("mt")) + 1)).alias("b"))
-    e = eval_rows.join(linked.select("s", "ce").distinct(), ["s", "ce"], "left_semi").withColumn("b", band(F.col("me")))
+    band = lambda c: F.floor(c / F.lit((float(within) or 1.0) * (1 + 1e-6))).cast("bigint")
+    # copies are counted before any join, so a class of many copies is one row a measure
+    t = rows.filter("not ev").groupBy("s", F.col("c").alias("ct"), F.col("m").alias("mt")).agg(F.count(F.lit(1)).alias("n_train"))
+    e = rows.filter("ev").groupBy("s", F.col("c").alias("ce"), F.col("m").alias("me"), "split").agg(F.count(F.lit(1)).alias("n_eval"))
+    t = t.join(linked, ["s", "ct"]).withColumn("b", band(F.col("mt")))
+    e = e.withColumn("b", F.explode(F.array(*(band(F.col("me")) + k for k in (-1, 0, 1)))))  # evaluation is the smaller side
     # differences of decimal readings: a hair over the limit in binary is still the limit
-    return t.join(e, ["s", "ce", "b"]).filter(F.abs(F.col("mt") - F.col("me")) <= within + 1e-9).select("id_train", "id_eval", "split", "s")
+    links = t.join(e, ["s", "ce", "b"]).filter(F.abs(F.col("mt") - F.col("me")) <= within + 1e-9)
+    return links.select("s", "ct", "mt", "ce", "me", "split", "n_train", "n_eval"), rows.select("id", "s", "c", "m", "split", "ev")
 
 
-def overlap_report(pairs: DataFrame, df: DataFrame, source: str, split: str, train: str = "Train") -> DataFrame:
+def cross_split_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id_train, id_eval, split, s): the pairs of records of cross_split_classes. Several copies are all paired; what
+    is joined is spread over source, label and measure, and a class of very many copies by adaptive
+    skew splitting."""
+    t = members.filter("not ev").select("s", F.col("c").alias("ct"), F.col("m").alias("mt"), F.col("id").alias("id_train"))
+    e = members.filter("ev").select("s", F.col("c").alias("ce"), F.col("m").alias("me"), "split", F.col("id").alias("id_eval"))
+    return links.join(e, ["s", "ce", "me", "split"]).join(t, ["s", "ct", "mt"]).select("id_train", "id_eval", "split", "s")
+
+
+def overlap_report(links: DataFrame, df: DataFrame, source: str, split: str, train: str = "Train") -> DataFrame:
     """(split, source, n_records, n_overlapping, n_pairs) of each evaluation split and source key,
-    those without overlap too; a null source is reported under its null key."""
+    those without overlap too; a null source is reported under its null key. Counted on classes."""
     total = df.filter(F.col(f"`{split}`") != train).groupBy(F.col(f"`{split}`").alias("split"), bare(F.col(f"`{source}`")).alias("source")).agg(F.count(F.lit(1)).alias("n_records"))
-    per_record = pairs.groupBy("split", F.col("s").alias("source"), "id_eval").agg(F.count(F.lit(1)).alias("n"))
-    hit = per_record.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_overlapping"), F.sum("n").alias("n_pairs"))
+    per_class = links.groupBy("split", F.col("s").alias("source"), "ce", "me").agg(F.max("n_eval").alias("n"), F.sum(F.col("n_train") * F.col("n_eval")).alias("p"))
+    hit = per_class.groupBy("split", "source").agg(F.sum("n").alias("n_overlapping"), F.sum("p").alias("n_pairs"))
     return total.join(hit, ["split", "source"], "left").na.fill(0, ["n_overlapping", "n_pairs"])

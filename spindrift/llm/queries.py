@@ -40,19 +40,19 @@ def _with_split(spark: SparkSession, d: str) -> DataFrame:
     return n.join(load(spark, d, "split_manifest").select("row_id", "Set"), "row_id")
 
 
-def _overlaps(df: DataFrame) -> DataFrame:
-    return overlap.cross_split_pairs(df, "row_id", "Source_File", "Catalyst", "Reaction_Temp_C", "Set")
+def _overlaps(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return overlap.cross_split_classes(df, "row_id", "Source_File", "Catalyst", "Reaction_Temp_C", "Set")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    p = _overlaps(_with_split(spark, d))
+    p = overlap.cross_split_pairs(*_overlaps(_with_split(spark, d)))
     return p.select(F.least("id_train", "id_eval").alias("row_id_a"), F.greatest("id_train", "id_eval").alias("row_id_b"))
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping evaluation records and pairs of each split and source."""
     df = _with_split(spark, d)
-    return overlap.overlap_report(_overlaps(df), df, "Source_File", "Set")
+    return overlap.overlap_report(_overlaps(df)[0], df, "Source_File", "Set")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,4 @@
 import random
-from collections import defaultdict
 
 import regex
 from pyspark.sql import functions as F
@@ -8,7 +7,7 @@ from spindrift.llm import overlap as O
 
 
 def pairs(df):
-    return sorted((r.id_train, r.id_eval) for r in O.cross_split_pairs(df, "id", "src", "cat", "t", "set").collect())
+    return sorted((r.id_train, r.id_eval) for r in O.cross_split_pairs(*O.cross_split_classes(df, "id", "src", "cat", "t", "set")).collect())
 
 
 def frame(spark, rows):
@@ -23,8 +22,9 @@ def test_rules(spark):
         (14, "A.pdf", "Ni2.5/MgO omnolith", 300.0, "Test"), (15, "A.pdf", "Ni2.5/MgO monolithe", 300.0, "Test"),
     ])
     assert pairs(df) == sorted((t, e) for t in (1, 9) for e in (2, 4, 14, 15))
-    p = O.cross_split_pairs(df, "id", "src", "cat", "t", "set")
-    rep = {(r.split, r.source): (r.n_records, r.n_overlapping, r.n_pairs) for r in O.overlap_report(p, df, "src", "set").collect()}
+    links, members = O.cross_split_classes(df, "id", "src", "cat", "t", "set")
+    assert members.count() == 12 and links.agg(F.sum(F.col("n_train") * F.col("n_eval"))).first()[0] == 8
+    rep = {(r.split, r.source): (r.n_records, r.n_overlapping, r.n_pairs) for r in O.overlap_report(links, df, "src", "set").collect()}
     assert rep[("Validation", "apdf")] == (1, 1, 2) and rep[("Test", "bpdf")] == (1, 0, 0) and rep[("Test", "apdf")][1:] == (3, 6)
     assert pairs(df.limit(0)) == []
 
@@ -60,9 +60,20 @@ def test_against_brute_force(spark):
     assert got == want and len(want) > 50
 
 
-def test_shingles_are_a_multiset(spark):
-    g = spark.range(1).select(O.shingles(F.lit("aaaa"))).first()[0]
-    n = defaultdict(int)
-    for x in g:
-        n[x] += 1
-    assert len(g) == 6 and max(n.values()) == 1
+def test_shingles_are_distinct(spark):
+    assert sorted(map(len, spark.range(1).select(O.shingles(F.lit("aaaa"))).first()[0])) == [3] * 5
+
+
+def test_many_copies_are_one_link(spark):
+    """A class of thousands of copies on both sides is one link; the report counts its pairs without making them."""
+    rows = [(i, "A", "Ni monolith", 300.0, "Train" if i % 2 else "Test") for i in range(6000)]
+    df = frame(spark, rows)
+    links, _ = O.cross_split_classes(df, "id", "src", "cat", "t", "set")
+    assert [(r.n_train, r.n_eval) for r in links.collect()] == [(3000, 3000)]
+    assert [(r.n_records, r.n_overlapping, r.n_pairs) for r in O.overlap_report(links, df, "src", "set").collect()] == [(3000, 3000, 9_000_000)]
+
+
+def test_long_label(spark):
+    label = "Ni monolith " + "word " * 4000
+    df = frame(spark, [(1, "A", label, 1.0, "Train"), (2, "a", label.replace("monolith", "monolth"), 3.0, "Test")])
+    assert pairs(df) == [(1, 2)]
