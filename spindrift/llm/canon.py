@@ -63,7 +63,7 @@ def runs(ws: Column, longest: int) -> Column:
 
 def deletions(t: Column) -> Column:
     """The token and all texts made by leaving one character out."""
-    gone = F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.lit(1 << 20))))
+    gone = F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.lit(1 << 30))))
     return F.array_distinct(F.concat(F.array(t), gone))
 
 
@@ -71,7 +71,7 @@ def one_edit(a: Column, b: Column) -> Column:
     """At most one wrong, missing, extra or swapped character."""
     swap = F.exists(
         F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))),
-        lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.lit(1 << 20))) == b,
+        lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.lit(1 << 30))) == b,
     )
     return (F.levenshtein(a, b, 1) >= 0) | ((F.length(a) == F.length(b)) & swap)
 

@@ -25,7 +25,12 @@ SPOILT = Q + 1
 def shingles(key: Column) -> Column:
     """Distinct padded character shingles of a key."""
     pad = F.concat(F.lit("\ue010" * (Q - 1)), key, F.lit("\ue011" * (Q - 1)))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(pad) - (Q - 1)), lambda i: F.substring(pad, i, F.lit(Q))))
+    grams = lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - (Q - 1)), lambda c, i: F.concat(c, *(F.get(x, i + k) for k in range(1, Q))))
+    return F.array_distinct(F.transform(F.array(_characters(pad)), grams)[0])
+
+
+def _characters(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
 
 
 def word_runs(label: Column) -> Column:
@@ -59,11 +64,15 @@ def _word_length_at(words: Column, at: Column) -> Column:
 def one_letter_apart(a: Column, b: Column, wa: Column, wb: Column, least: int = 6) -> Column:
     """Keys a and b (with their words) differ by one wrong, missing, extra or swapped letter inside
     a word of `least` or more letters."""
-    la, lb = F.length(a), F.length(b)
-    span = F.sequence(F.lit(1), F.greatest(F.least(la, lb), F.lit(1)))
     # first position from the left at which they differ; past the shorter text when it is a prefix
-    first = F.coalesce(F.get(F.filter(span, lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))), F.lit(0)), F.least(la, lb) + 1)
-    rest = lambda c, skip: F.substring(c, first + skip, F.lit(1 << 20))
+    same = F.zip_with(_characters(a), _characters(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    at = F.array_position(same, False).cast("int")
+    return F.transform(F.array(F.when(at > 0, at).otherwise(F.length(a) + 1)), lambda first: _apart_at(first, a, b, wa, wb, least))[0]
+
+
+def _apart_at(first: Column, a: Column, b: Column, wa: Column, wb: Column, least: int) -> Column:
+    la, lb = F.length(a), F.length(b)
+    rest = lambda c, skip: F.substring(c, first + skip, F.lit(1 << 30))
     ca, cb = F.substring(a, first, F.lit(1)), F.substring(b, first, F.lit(1))
     na, nb = F.substring(a, first + 1, F.lit(1)), F.substring(b, first + 1, F.lit(1))
     letter = lambda c: c.rlike(r"^\p{L}$")
