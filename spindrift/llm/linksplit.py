@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from spindrift.functions.text import bare
 from spindrift.operators.ranking import global_index
@@ -24,6 +23,8 @@ from spindrift.session import cut
 
 #: Most edges a merging task may hold (about 200 bytes each in Python).
 MERGE_EDGES = 2_000_000
+#: Members of a group that one task pairs with the whole group.
+PAIR_BLOCK = 1000
 #: Forests of this many tasks go to one task of the next level.
 FAN_IN = 8
 
@@ -97,20 +98,29 @@ def link_keys(df: DataFrame, source: str, entity: str) -> DataFrame:
 
 
 def linked_sources(df: DataFrame, source: str, entity: str) -> DataFrame:
-    """(source key, root) of all sources, each once; unlinked sources are their own root."""
-    k = link_keys(df, source, entity).select("__s", "__e").filter("__s is not null").distinct().persist(StorageLevel.DISK_ONLY)
+    """(__s, root): each source key once with the root of its group; unlinked sources are their own root."""
+    k = cut(link_keys(df, source, entity).select("__s", "__e").filter("__s is not null").distinct())
     edges = k.filter("__e is not null").select(F.concat(F.lit("s:"), "__s").alias("a"), F.concat(F.lit("i:"), "__e").alias("b"))
     comp = components(edges)
     own = comp.filter(F.col("node").startswith("s:")).select(F.expr("substr(node, 3)").alias("__s"), "root")
     return k.select("__s").distinct().join(own, "__s", "left").select("__s", F.coalesce("root", F.concat(F.lit("s:"), "__s")).alias("root"))
 
 
-def linked_pairs(df: DataFrame, source: str, entity: str) -> DataFrame:
-    """(source_a, source_b) of sources of one group, as keys, smaller first."""
-    m = linked_sources(df, source, entity)
-    several = m.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
-    m = cut(m.join(several, "root", "left_semi"))
-    return m.alias("x").join(m.alias("y"), F.expr("x.root = y.root and x.__s < y.__s")).select(F.col("x.__s").alias("source_a"), F.col("y.__s").alias("source_b"))
+def linked_groups(df: DataFrame, source: str, entity: str) -> DataFrame:
+    """(source, representative, n_sources): every source key with the smallest source key of its group and the group's
+    size. One row a source, however large a group is; single sources represent themselves."""
+    m = cut(linked_sources(df, source, entity))
+    g = m.groupBy("root").agg(F.min("__s").alias("representative"), F.count(F.lit(1)).alias("n_sources"))
+    return m.join(g, "root").select(F.col("__s").alias("source"), "representative", "n_sources")
+
+
+def linked_pairs(groups: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """(source_a, source_b): all pairs of the groups of linked_groups, smaller first. A large group is cut into blocks of
+    its members, each of which meets the whole group in a task of its own."""
+    several = groups.filter("n_sources > 1").withColumn("blocks", F.ceil(F.col("n_sources") / block).cast("int"))
+    x = several.select("representative", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int").alias("part"), F.col("source").alias("source_a"))
+    y = several.select("representative", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("source").alias("source_b"))
+    return x.join(y, ["representative", "part"]).filter("source_a < source_b").select("source_a", "source_b")
 
 
 def apportion(histogram: list[tuple[int, int]], targets: list[tuple[str, float]]) -> dict[int, list[int]]:

@@ -43,9 +43,45 @@ _LINKS = (
     "reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a) "
 )
 
+_GROUP_OF = (
+    _LINKS + ", g AS (SELECT s AS source, least(s, min(b)) AS representative, count(b) FILTER (b <> s) + 1 AS n_sources "
+    "FROM (SELECT DISTINCT s FROM n WHERE s <> '') LEFT JOIN reach ON a = s GROUP BY s) SELECT source, coalesce(representative, source) AS representative, n_sources FROM g"
+)
+#: Greedy largest first, one group at a time: groups of rows linked by source or id, then the split furthest below its target.
+_SHARES = f"""
+WITH RECURSIVE k AS (SELECT row_id, CASE WHEN {bare('Source_File')} <> '' THEN {bare('Source_File')} END AS s, CASE WHEN regexp_matches(Canonical_Catalyst_ID, '[0-9]') THEN {bare('Canonical_Catalyst_ID')} END AS i FROM ni_model_primary),
+e AS (SELECT DISTINCT 's' || s AS a, 'i' || i AS b FROM k WHERE s IS NOT NULL AND i IS NOT NULL), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+root AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
+size AS (SELECT coalesce(root, node) AS root, count(*) AS n FROM (SELECT coalesce('s' || s, 'i' || i, 'r' || row_id) AS node FROM k) LEFT JOIN root USING (node) GROUP BY 1),
+ordered AS (SELECT n, row_number() OVER (ORDER BY n DESC, root) AS pos FROM size),
+t AS (SELECT split_name, target_share, row_number() OVER (ORDER BY target_share DESC, split_name) AS j, target_share / sum(target_share) OVER () * (SELECT count(*) FROM k) AS want FROM split_targets),
+step AS (SELECT 0::BIGINT AS pos, (SELECT list(want ORDER BY j) FROM t) AS lack UNION ALL
+  SELECT o.pos, list_transform(lack, lambda x, j: CASE WHEN j = list_position(lack, list_max(lack)) THEN x - o.n ELSE x END) FROM step s JOIN ordered o ON o.pos = s.pos + 1),
+final AS (SELECT lack FROM step ORDER BY pos DESC LIMIT 1)
+SELECT split_name AS split, target_share, round(want - lack[j])::BIGINT AS n_records, round(CASE WHEN (SELECT count(*) FROM k) > 0 THEN round(want - lack[j]) / (SELECT count(*) FROM k) ELSE 0 END, 6) AS actual_share FROM t, final
+"""
+#: Hazards of lengths against those of the 30 neighbours on each side, every length counted whether texts end there or not.
+_LIMITS = """
+WITH d AS (SELECT source AS src, length(text) AS c, strlen(text) AS o FROM documents WHERE trim(text, ' ') <> ''),
+u AS (SELECT src, 'chars' AS unit, c AS len FROM d UNION ALL SELECT src, 'bytes', o FROM d UNION ALL SELECT src, 'band', ceil(c / 16)::INT FROM d),
+n AS (SELECT src, unit, len, count(*) AS n FROM u GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (w RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at_risk, sum(n) OVER (w RANGE BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS inside,
+  sum(n * len) OVER (w RANGE BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS mass, coalesce(sum(n) OVER (w RANGE BETWEEN 31 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS longer, greatest(len - 30, 1) AS lo
+  FROM n WINDOW w AS (PARTITION BY src, unit ORDER BY len)),
+h AS (SELECT *, n / at_risk AS hazard, (inside - n + 0.5::DOUBLE) / greatest(mass - inside * (lo - 1) + longer * (len + 30 - lo + 1) - at_risk, 1) AS expected FROM r),
+p AS (SELECT *, CASE WHEN n > expected * at_risk THEN -(n * ln(n / (expected * at_risk)) - n + expected * at_risk) ELSE 0.0::DOUBLE END AS log_p FROM h),
+b AS (SELECT *, log_p <= ln(0.01::DOUBLE) + ln(rank() OVER (PARTITION BY src, unit ORDER BY log_p) / (count(*) OVER (PARTITION BY src, unit))) AS ok FROM p),
+c AS (SELECT *, max(log_p) FILTER (ok) OVER (PARTITION BY src, unit) AS edge FROM b)
+SELECT src AS source, unit, len::INT AS len, n, at_risk::BIGINT AS at_risk, round(hazard, 6) AS hazard, round(expected, 6) AS expected FROM c WHERE log_p <= edge AND n >= 4
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_groups": _GROUP_OF,
+        "p5_shares": _SHARES,
+        "p8_limits": _LIMITS,
         "p2_found": f"SELECT keep_id, raw_row_id AS copy_id FROM ({_GROUPS}) WHERE raw_row_id <> keep_id",
         "p2_counts": f"SELECT keep_id AS raw_row_id, count(*) AS n_copies FROM ({_GROUPS}) GROUP BY 1",
         "p4_found": f"SELECT least(x, y) AS row_id_a, greatest(x, y) AS row_id_b FROM ({_PAIRS})",

@@ -55,8 +55,13 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_overlaps(df)[0], df, "Source_File", "Set")
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each source file with the representative and the size of its group of linked files."""
+    return linksplit.linked_groups(load(spark, d, "ni_model_primary"), "Source_File", "Canonical_Catalyst_ID")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return linksplit.linked_pairs(load(spark, d, "ni_model_primary"), "Source_File", "Canonical_Catalyst_ID")
+    return linksplit.linked_pairs(p5_groups(spark, d))
 
 
 def _split_targets(spark: SparkSession, d: str) -> list[tuple[str, float]]:
@@ -113,7 +118,7 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [
-        "p2_found", "p2_counts", "p3_found", "p3_report", "p4_found", "p4_report", "p5_found", "p5_split", "p5_shares", "p6_ids", "p7_mixture", "p7_shares",
+        "p2_found", "p2_counts", "p3_found", "p3_report", "p4_found", "p4_report", "p5_found", "p5_groups", "p5_split", "p5_shares", "p6_ids", "p7_mixture", "p7_shares",
         "p8_found", "p8_rates", "p8_limits",
     ]
     return {n: globals()[n] for n in names}

@@ -37,9 +37,12 @@ def test_components(spark, bound):
 
 def test_pairs(spark):
     df = spark.createDataFrame([("A.pdf", "id-1"), ("b.pdf", "ID 1"), ("b.pdf", "id2"), ("C.pdf", "id2"), ("d.pdf", "unknown"), ("e.pdf", "unknown"), ("f.pdf", None), (None, "id2"), ("a_PDF", "id9"), ("g", "id9")], "s string, e string")
-    got = sorted(map(tuple, L.linked_pairs(df, "s", "e").collect()))
+    got = sorted(map(tuple, L.linked_pairs(L.linked_groups(df, "s", "e")).collect()))
     assert got == sorted(itertools.combinations(["apdf", "bpdf", "cpdf", "g"], 2))
-    assert L.linked_pairs(df.limit(0), "s", "e").count() == 0
+    assert got == sorted(map(tuple, L.linked_pairs(L.linked_groups(df, "s", "e"), 1).collect()))  # every member a block
+    groups = {r.source: (r.representative, r.n_sources) for r in L.linked_groups(df, "s", "e").collect()}
+    assert groups == {k: ("apdf", 4) for k in ("apdf", "bpdf", "cpdf", "g")} | {k: (k, 1) for k in ("dpdf", "epdf", "fpdf")}
+    assert L.linked_pairs(L.linked_groups(df.limit(0), "s", "e")).count() == 0
 
 
 def test_split_keeps_groups(spark):
