@@ -20,6 +20,7 @@ from spindrift.operators.splitting import draw_grid
 from spindrift.plans import curate as C
 from spindrift.plans import explain, project, search
 from spindrift.plans import train as T
+from spindrift.session import cut
 from spindrift.sources import records
 from spindrift.tables import load
 
@@ -39,6 +40,17 @@ def queries() -> dict[str, Q]:
     return dict(_ALL)
 
 
+#: What several queries of one session share: the fits of one table are made once. Models and scores only, never rows.
+_MADE: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, d: str, what: str, make: Callable[[], object]) -> object:
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def _curated(spark: SparkSession, d: str) -> C.Curated:
     return C.curate(load(spark, d, "dataset_all"))
 
@@ -120,24 +132,39 @@ def encoded_matrix(spark: SparkSession, d: str) -> DataFrame:
     return enc.transform(p.rows).select("row_id", "Set", "features")
 
 
+def _prepared(spark: SparkSession, d: str) -> T.Prepared:
+    return _once(spark, d, "prepared", lambda: T.prepare(_primary(spark, d), _KNOBS))
+
+
+def _validated(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all candidates: one row for each fit."""
+    rows, schema = _once(spark, d, "cv", lambda: (lambda df: (df.collect(), df.schema))(T.cross_validate(_prepared(spark, d))))
+    return spark.createDataFrame(rows, schema)
+
+
 @flow
 def model_cv(spark: SparkSession, d: str) -> DataFrame:
-    return T.cross_validate(T.prepare(_primary(spark, d), _KNOBS))
+    return _validated(spark, d)
 
 
-def _compared(spark: SparkSession, d: str):
-    p = T.prepare(_primary(spark, d), _KNOBS)
-    return (p, *T.compare(p, T.cross_validate(p)))
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    return _once(spark, d, "comparison", lambda: T.compare(_prepared(spark, d), _validated(spark, d))[0])
 
 
 @flow
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return _compared(spark, d)[1]
+    return _compared(spark, d)
 
 
 def _fitted(spark: SparkSession, d: str):
-    p = T.prepare(_primary(spark, d), _KNOBS)
-    return p, lane.fit_tasks(spark, p.sample, [{"task_id": "gb", "family": _GB[0], "params": T._capped(_GB[1], _KNOBS), "seed": 42}])[0]
+    p = _prepared(spark, d)
+    task = {"task_id": "gb", "family": _GB[0], "params": T._capped(_GB[1], _KNOBS), "seed": 42}
+    return p, _once(spark, d, "gb", lambda: lane.fit_tasks(spark, p.sample, [task])[0])
+
+
+def _stability(spark: SparkSession, d: str) -> DataFrame:
+    rows, schema = _once(spark, d, "stability", lambda: (lambda df: (df.collect(), df.schema))(T.stability(_primary(spark, d), *_GB, _KNOBS)))  # one row a seed
+    return spark.createDataFrame(rows, schema)
 
 
 @flow
@@ -153,22 +180,22 @@ def model_importances(spark: SparkSession, d: str) -> DataFrame:
 
 @flow
 def model_stability(spark: SparkSession, d: str) -> DataFrame:
-    return T.stability(_primary(spark, d), *_GB, _KNOBS)
+    return _stability(spark, d)
 
 
 @flow
 def model_stability_summary(spark: SparkSession, d: str) -> DataFrame:
-    return stats.summary(T.stability(_primary(spark, d), *_GB, _KNOBS), ["Train_R2", "Test_R2", "Test_MAE", "Test_RMSE", "Train_Test_R2_Gap"])
+    return stats.summary(_stability(spark, d), ["Train_R2", "Test_R2", "Test_MAE", "Test_RMSE", "Train_Test_R2_Gap"])
 
 
 @flow
 def model_learning_curve(spark: SparkSession, d: str) -> DataFrame:
-    return T.learning_curve(T.prepare(_primary(spark, d), _KNOBS), *_GB)
+    return T.learning_curve(_prepared(spark, d), *_GB)
 
 
 @flow
 def model_gate(spark: SparkSession, d: str) -> DataFrame:
-    return T.gate(_compared(spark, d)[1], T.stability(_primary(spark, d), *_GB, _KNOBS))
+    return T.gate(_compared(spark, d), _stability(spark, d))
 
 
 @flow
@@ -227,12 +254,17 @@ def shap_wide(spark: SparkSession, d: str) -> DataFrame:
 
 @flow
 def ablation_cv(spark: SparkSession, d: str) -> DataFrame:
-    return explain.ablation(T.prepare(_primary(spark, d), _KNOBS), *_GB)
+    return explain.ablation(_prepared(spark, d), *_GB)
 
 
 def _searched(spark: SparkSession, d: str) -> DataFrame:
-    p, m = _fitted(spark, d)
-    return search.search(spark, search.build_space(p.rows), m)
+    """All candidates of the search: a fixed number, whatever the table's size."""
+
+    def make() -> DataFrame:
+        p, m = _fitted(spark, d)
+        return cut(search.search(spark, search.build_space(p.rows), m))
+
+    return _once(spark, d, "search", make)
 
 
 @flow

@@ -10,7 +10,7 @@ import json
 
 import numpy as np
 
-from spindrift.models.trees import Bins, Growth, Tree, grow
+from spindrift.models.trees import Columns, Growth, Tree, grow
 
 #: Rows an SVR fit may use (its kernel matrix is the square of it).
 SVR_ROWS = 3000
@@ -47,14 +47,13 @@ def _growth(p: dict, **more) -> Growth:
 def fit_boosting(x, y, p, seed) -> dict:
     """Squared-error boosting from the mean; every tree sees a fresh subsample."""
     rng = np.random.default_rng(seed)
-    bins = Bins.of(x)
-    xb, base, trees = bins.apply(x), float(y.mean()), []
+    data, base, trees = Columns.of(x), float(y.mean()), []
     f = np.full(len(y), base)
     g, take = _growth(p), max(1, int(p.get("subsample", 1.0) * len(y)))
     for _ in range(p["n_estimators"]):
         w = np.zeros(len(y))
         w[rng.permutation(len(y))[:take]] = 1.0
-        t = grow(bins, xb, y - f, w, g, rng)
+        t = grow(data, y - f, w, g, rng)
         f += p["learning_rate"] * t.predict(x)
         trees.append(t)
     return _pack(trees) | {"kind": "sum", "base": base, "scale": np.full(len(trees), p["learning_rate"])}
@@ -64,16 +63,14 @@ def fit_second_order(x, y, p, seed) -> dict:
     """Regularised second-order boosting: l1, l2, minimal gain and child weight, column subsample a tree."""
     rng = np.random.default_rng(seed)
     base, trees, f = float(y.mean()), [], np.full(len(y), float(y.mean()))
-    all_bins = Bins.of(x)
-    all_b = all_bins.apply(x)
+    data = Columns.of(x)
     # the gain of the second-order objective is half the score difference
     g = Growth(p["max_depth"], 1, 2, 1.0, p.get("reg_alpha", 0.0), p.get("reg_lambda", 1.0), 2 * p.get("gamma", 0.0), p.get("min_child_weight", 1.0))
     cols = max(1, int(p.get("colsample_bytree", 1.0) * x.shape[1]))
     for _ in range(p["n_estimators"]):
         use = np.sort(rng.permutation(x.shape[1])[:cols])
         w = (rng.random(len(y)) < p.get("subsample", 1.0)).astype(float)
-        t = grow(Bins([all_bins.edges[j] for j in use]), all_b[:, use], y - f, w, g, rng)
-        t.feature[t.feature >= 0] = use[t.feature[t.feature >= 0]]
+        t = grow(data, y - f, w, g, rng, use)
         f += p["learning_rate"] * t.predict(x)
         trees.append(t)
     return _pack(trees) | {"kind": "sum", "base": base, "scale": np.full(len(trees), p["learning_rate"])}
@@ -82,39 +79,34 @@ def fit_second_order(x, y, p, seed) -> dict:
 def fit_forest(x, y, p, seed, random_cuts=False) -> dict:
     """Random forest (bootstrap, features drawn at each node) or extra trees (random cuts)."""
     rng = np.random.default_rng(seed)
-    bins = Bins.of(x)
-    xb, trees, n = bins.apply(x), [], p["n_estimators"]
+    data, trees, n = Columns.of(x), [], p["n_estimators"]
     g = _growth(p, random_cuts=random_cuts)
     for _ in range(n):
         w = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float) if p.get("bootstrap", True) else np.ones(len(y))
-        trees.append(grow(bins, xb, y, w, g, rng))
+        trees.append(grow(data, y, w, g, rng))
     return _pack(trees) | {"kind": "sum", "base": 0.0, "scale": np.full(n, 1.0 / n)}
 
 
 def fit_bagging(x, y, p, seed) -> dict:
     """Bagged trees: rows with replacement, features without, both drawn for each tree."""
     rng = np.random.default_rng(seed)
-    bins = Bins.of(x)
-    xb, trees, n = bins.apply(x), [], p["n_estimators"]
+    data, trees, n = Columns.of(x), [], p["n_estimators"]
     rows, cols = max(1, int(p.get("max_samples", 1.0) * len(y))), max(1, int(p.get("max_features", 1.0) * x.shape[1]))
     g = _growth({k: v for k, v in p.items() if k != "max_features"})
     for _ in range(n):
         use = np.sort(rng.permutation(x.shape[1])[:cols])
         w = np.bincount(rng.integers(0, len(y), rows), minlength=len(y)).astype(float)
-        t = grow(Bins([bins.edges[j] for j in use]), xb[:, use], y, w, g, rng)
-        t.feature[t.feature >= 0] = use[t.feature[t.feature >= 0]]
-        trees.append(t)
+        trees.append(grow(data, y, w, g, rng, use))
     return _pack(trees) | {"kind": "sum", "base": 0.0, "scale": np.full(n, 1.0 / n)}
 
 
 def fit_adaboost(x, y, p, seed) -> dict:
     """AdaBoost.R2: weighted resampling, losses relative to the largest, weighted median of the trees."""
     rng = np.random.default_rng(seed)
-    bins = Bins.of(x)
-    xb, w, trees, scale = bins.apply(x), np.full(len(y), 1.0 / len(y)), [], []
+    data, w, trees, scale = Columns.of(x), np.full(len(y), 1.0 / len(y)), [], []
     g = _growth(p)
     for _ in range(p["n_estimators"]):
-        t = grow(bins, xb, y, np.bincount(rng.choice(len(y), len(y), p=w), minlength=len(y)).astype(float), g, rng)
+        t = grow(data, y, np.bincount(rng.choice(len(y), len(y), p=w), minlength=len(y)).astype(float), g, rng)
         err = np.abs(t.predict(x) - y)
         worst = err.max()
         if worst <= 0:

@@ -63,8 +63,8 @@ def fit_tasks(spark, sample: pd.DataFrame, tasks: list[dict], target: str = D.TA
     if not tasks:
         return []
     table = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(tasks)], "i int, spec string")
-    slots = min(len(tasks), spark.sparkContext.defaultParallelism)
-    rows = table.repartition(slots, "i").select("spec").mapInPandas(run, "task_id string, model binary, encoder string").collect()  # models are small
+    # a task for each fit: slow ones do not hold up others
+    rows = table.repartitionById(len(tasks), "i").select("spec").mapInPandas(run, "task_id string, model binary, encoder string").collect()  # callers bound the number of models held at a time
     return [{"task_id": r.task_id, "model": bytes(r.model), "encoder": r.encoder} for r in rows]
 
 

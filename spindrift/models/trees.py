@@ -1,7 +1,9 @@
-"""Regression trees on binned features, grown level by level with vectorised split search.
+"""Regression trees grown level by level with an exact, vectorised split search.
 
-Used inside single tasks on bounded samples; large single fits belong to pyspark.ml. With at most
-MAX_BINS distinct values in a column every split point is tried, beyond that the quantile bins.
+Used inside single tasks on bounded samples; large single fits belong to pyspark.ml. Columns of many values
+are sorted once; a level sorts those orders stably by open node, so that each node's values lie in order and every
+split point is one running sum. Columns of two values (encoded categories) are only counted where they
+hold the larger one. The work of a level thus follows the rows, not the nodes or the values.
 """
 
 from __future__ import annotations
@@ -10,27 +12,24 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAX_BINS = 64
-
 
 @dataclass
-class Bins:
-    """Split points of each column: value <= edge goes left."""
+class Columns:
+    """A matrix prepared for growing trees."""
 
-    edges: list[np.ndarray]
+    x: np.ndarray
+    many: np.ndarray  # numbers of the columns of more than two values
+    order: np.ndarray  # rows in the order of each of them
+    two: np.ndarray  # numbers of the columns of two values
+    ends: np.ndarray  # (2, len(two)): the values
+    hot: tuple[np.ndarray, np.ndarray]  # (row, place in two) wherever they hold the larger one
 
     @classmethod
-    def of(cls, x: np.ndarray) -> "Bins":
-        edges = []
-        for j in range(x.shape[1]):
-            u = np.unique(x[:, j])
-            if len(u) > MAX_BINS:
-                u = np.unique(np.quantile(x[:, j], np.linspace(0, 1, MAX_BINS), method="nearest"))
-            edges.append((u[1:] + u[:-1]) / 2)
-        return cls(edges)
-
-    def apply(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1).astype(np.int16) if self.edges else np.zeros((len(x), 0), np.int16)
+    def of(cls, x: np.ndarray) -> "Columns":
+        lo, hi = (x.min(0), x.max(0)) if len(x) else (np.zeros(x.shape[1]), np.zeros(x.shape[1]))
+        pair = ((x == lo) | (x == hi)).all(0) & (lo < hi)
+        many, two = np.nonzero((lo < hi) & ~pair)[0], np.nonzero(pair)[0]
+        return cls(x, many, np.argsort(x[:, many], axis=0, kind="stable").T.astype(np.int32), two, np.stack([lo[two], hi[two]]), np.nonzero(x[:, two] == hi[two]))
 
 
 @dataclass
@@ -45,13 +44,13 @@ class Tree:
     def leaves(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros(len(x), dtype=np.int32)
         rows = np.arange(len(x))
-        for _ in range(64):
-            f = self.feature[at]
+        while len(rows):
+            a = at[rows]
+            f = self.feature[a]
             inner = f >= 0
-            if not inner.any():
-                break
-            go_left = x[rows, np.maximum(f, 0)] <= self.threshold[at]
-            at = np.where(inner, np.where(go_left, self.left[at], self.right[at]), at)
+            if not inner.all():
+                rows, a, f = rows[inner], a[inner], f[inner]
+            at[rows] = np.where(x[rows, f] <= self.threshold[a], self.left[a], self.right[a])
         return at
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -71,76 +70,125 @@ class Growth:
     random_cuts: bool = False  # one random cut a feature instead of the best
 
 
-def grow(bins: Bins, xb: np.ndarray, target: np.ndarray, weight: np.ndarray, p: Growth, rng: np.random.Generator) -> Tree:
-    """Tree that fits the weighted mean of target; rows with weight 0 are left out. With l1, l2, min_gain and
-    min_weight it is the second-order step of regularised boosting (unit hessian)."""
+def grow(data: Columns, target: np.ndarray, weight: np.ndarray, p: Growth, rng: np.random.Generator, use: np.ndarray | None = None) -> Tree:
+    """Tree that fits the weighted mean of target on the columns `use` (default all); rows with weight 0 are left out.
+    With l1, l2, min_gain and min_weight it is the second-order step of regularised boosting (unit hessian)."""
     keep = weight > 0
-    xb, g, h = xb[keep], (target * weight)[keep], weight[keep].astype(float)
-    n, nf = xb.shape
-    nb = max((len(e) for e in bins.edges), default=0) + 1
-    n_edges = np.array([len(e) for e in bins.edges], dtype=np.int64)
-    feature, threshold, left, right, value, cover = [-1], [0.0], [-1], [-1], [0.0], [0.0]
-    soft = lambda s: np.sign(s) * np.maximum(np.abs(s) - p.l1, 0.0)
-    score = lambda s, w: np.where(w + p.l2 > 0, soft(s) ** 2 / np.maximum(w + p.l2, 1e-300), 0.0)
-
-    def leaf(i: int, s: float, w: float) -> None:
-        value[i] = float(soft(s) / (w + p.l2)) if w + p.l2 > 0 else 0.0
-        cover[i] = float(w)
-
-    leaf(0, g.sum(), h.sum())
-    node = np.zeros(n, dtype=np.int64)  # index into the level's open nodes, -1 when settled
-    open_ids, depth = [0], 0
-    k = max(1, int(p.max_features * nf + 1e-9)) if nf else 0
-    offsets = np.arange(nf) * nb
-    edge_table = np.full((nf, max(nb - 1, 1)), np.inf)
-    for j, e in enumerate(bins.edges):
-        edge_table[j, : len(e)] = e
-    while open_ids and nf and (p.max_depth is None or depth < p.max_depth) and depth < 60:
-        m = len(open_ids)
-        live = node >= 0
-        idx = (node[live, None] * (nf * nb) + offsets[None, :] + xb[live]).ravel()
-        size = m * nf * nb
-        gs = np.bincount(idx, np.repeat(g[live], nf), size).reshape(m, nf, nb)
-        hs = np.bincount(idx, np.repeat(h[live], nf), size).reshape(m, nf, nb)
-        cs = np.bincount(idx, minlength=size).reshape(m, nf, nb)
-        gl, hl, cl = gs.cumsum(2)[:, :, :-1], hs.cumsum(2)[:, :, :-1], cs.cumsum(2)[:, :, :-1]
-        gt, ht, ct = gs[:, :1].sum(2, keepdims=True), hs[:, :1].sum(2, keepdims=True), cs[:, :1].sum(2, keepdims=True)
-        gain = score(gl, hl) + score(gt - gl, ht - hl) - score(gt, ht)
-        ok = (cl >= p.min_leaf) & (ct - cl >= p.min_leaf) & (ct >= p.min_split) & (hl >= p.min_weight) & (ht - hl >= p.min_weight)
-        ok &= np.arange(nb - 1)[None, None, :] < n_edges[None, :, None]
-        if k < nf:
-            chosen = np.argsort(rng.random((m, nf)), axis=1) < k
-            ok &= chosen[:, :, None]
-        if p.random_cuts:
-            # one cut a feature, drawn uniformly over the node's value range
-            present = cs > 0
-            first, last = present.argmax(2), nb - 1 - present[:, :, ::-1].argmax(2)
-            cols = np.arange(nf)[None, :]
-            lo, hi = edge_table[cols, np.maximum(first - 1, 0)], edge_table[cols, np.maximum(np.minimum(last, n_edges[None, :] - 1), 0)]
-            drawn = lo + (hi - lo) * rng.random((m, nf))
-            cut = np.clip((edge_table[None] < drawn[:, :, None]).sum(2), first, np.maximum(last - 1, first))
-            ok &= np.arange(nb - 1)[None, None, :] == cut[:, :, None]
-        gain = np.where(ok, gain, -np.inf)
-        flat = gain.reshape(m, -1)
-        best = flat.argmax(1)
-        good = flat[np.arange(m), best] > max(p.min_gain, 1e-12)
-        child = np.full((m, 2), -1)
-        cut_f, cut_b = best // (nb - 1), best % (nb - 1)
-        nxt = []
-        for a in np.nonzero(good)[0]:
-            i, f, b = open_ids[a], int(cut_f[a]), int(cut_b[a])
-            feature[i], threshold[i] = f, float(bins.edges[f][b])
-            for side, (s, w) in enumerate(((gl[a, f, b], hl[a, f, b]), (gt[a, 0, 0] - gl[a, f, b], ht[a, 0, 0] - hl[a, f, b]))):
-                j = len(feature)
-                for lst, v in ((feature, -1), (threshold, 0.0), (left, -1), (right, -1), (value, 0.0), (cover, 0.0)):
-                    lst.append(v)
-                leaf(j, s, w)
-                (left if side == 0 else right)[i] = j
-                child[a, side] = len(nxt)
-                nxt.append(j)
-        at = np.nonzero(live)[0]
+    g, h = np.where(keep, target * weight, 0.0), weight.astype(float)
+    allowed = np.zeros(data.x.shape[1], bool)
+    allowed[slice(None) if use is None else use] = True
+    on_many, on_two = np.nonzero(allowed[data.many])[0], allowed[data.two]
+    many, n_many, n_two = data.many[on_many], len(on_many), len(data.two)
+    row = data.order[on_many].ravel()
+    col = np.repeat(np.arange(n_many, dtype=np.int32), data.x.shape[0])
+    row, col = (a[keep[row]] for a in (row, col))
+    hot_row, hot_col = data.hot
+    take = keep[hot_row] & on_two[hot_col]
+    hot_row, hot_col = hot_row[take], hot_col[take]
+    n_cols = int(allowed.sum())
+    k = max(1, int(p.max_features * n_cols + 1e-9))
+    soft = (lambda s: np.sign(s) * np.maximum(np.abs(s) - p.l1, 0.0)) if p.l1 else (lambda s: s)
+    score = lambda s, w: soft(s) ** 2 / np.maximum(w + p.l2, 1e-300)
+    least, enough = max(1, p.min_leaf), max(p.min_split, 2 * max(1, p.min_leaf))
+    floor = max(p.min_gain, 1e-12 * float(g @ g) + 1e-12)
+
+    value_of = lambda s, w: soft(s) / np.maximum(w + p.l2, 1e-300)
+    gt, ht, ct = np.array([g.sum()]), np.array([h.sum()]), np.array([keep.sum()])
+    parts = {"feature": [np.array([-1])], "threshold": [np.zeros(1)], "left": [np.array([-1])], "right": [np.array([-1])], "value": [value_of(gt, ht)], "cover": [ht]}
+    size, depth = 1, 0
+    node = np.where(keep, 0, -1) if ct[0] >= enough else np.full(len(keep), -1)
+    opened = np.array([0]) if ct[0] >= enough else np.zeros(0, np.int64)  # numbers of the open nodes
+    splits: list[tuple] = []
+    while len(opened) and n_many + n_two and (p.max_depth is None or depth < p.max_depth):
+        m = len(opened)
+        a = node[row]
+        if (a < 0).any():
+            row, col, a = row[a >= 0], col[a >= 0], a[a >= 0]
+        chosen = None
+        if k < n_cols:
+            chosen = np.zeros((m, data.x.shape[1]), bool)
+            drawn = np.argpartition(rng.random((m, n_cols)), k - 1, axis=1)[:, :k]
+            chosen[np.arange(m)[:, None], np.nonzero(allowed)[0][drawn]] = True
+        gain, feature, cut = np.full(m, -np.inf), np.full(m, -1), np.zeros(m)
+        gl, hl, cl = np.zeros(m), np.zeros(m), np.zeros(m, np.int64)
+        if n_many:
+            r, key = row, col.astype(np.int64) * m + a
+            if chosen is not None:
+                in_it = chosen[:, many][a, col]
+                r, key = r[in_it], key[in_it]
+            if len(r):
+                o = np.argsort(key.astype(np.int16 if n_many * m < 32_000 else np.int32), kind="stable")
+                r, key = r[o], key[o]
+                v = data.x[r, many[key // m]]
+                new = np.empty(len(r), bool)
+                new[0], new[1:] = True, key[1:] != key[:-1]
+                starts, seg = np.nonzero(new)[0], np.cumsum(new) - 1
+                gs, hs = np.concatenate([[0.0], np.cumsum(g[r])]), np.concatenate([[0.0], np.cumsum(h[r])])
+                if p.random_cuts:
+                    last = np.append(starts[1:], len(r)) - 1
+                    lo, hi = v[starts], v[last]
+                    at = lo + (hi - lo) * rng.random(len(starts))
+                    t = starts + np.add.reduceat(v <= at[seg], starts) - 1
+                    fine = (hi > lo) & (t < last)
+                    t, where = t[fine], at[fine]
+                else:
+                    t = np.nonzero(~new[1:] & (v[1:] > v[:-1]))[0]
+                    where = (v[t] + v[t + 1]) / 2
+                s = seg[t]
+                b = key[starts[s]] % m
+                tg, th, tc = gs[t + 1] - gs[starts[s]], hs[t + 1] - hs[starts[s]], t + 1 - starts[s]
+                ok = (tc >= least) & (ct[b] - tc >= least)
+                if p.min_weight:
+                    ok &= (th >= p.min_weight) & (ht[b] - th >= p.min_weight)
+                if ok.any():
+                    s, b, tg, th, tc, where = s[ok], b[ok], tg[ok], th[ok], tc[ok], where[ok]
+                    won = score(tg, th) + score(gt[b] - tg, ht[b] - th) - score(gt, ht)[b]
+                    best = np.full(m, -np.inf)
+                    np.maximum.at(best, b, won)
+                    top = np.nonzero(won == best[b])[0]
+                    nodes, first = np.unique(b[top], return_index=True)
+                    top = top[first]
+                    gain[nodes], feature[nodes], cut[nodes] = won[top], many[key[starts[s[top]]] // m], where[top]
+                    gl[nodes], hl[nodes], cl[nodes] = tg[top], th[top], tc[top]
+        if n_two:
+            a2 = node[hot_row]
+            if (a2 < 0).any():
+                hot_row, hot_col, a2 = hot_row[a2 >= 0], hot_col[a2 >= 0], a2[a2 >= 0]
+            idx = a2 * n_two + hot_col
+            rg, rh, rc = (np.bincount(idx, w, m * n_two).reshape(m, n_two) for w in (g[hot_row], h[hot_row], None))
+            ok = (rc >= least) & (ct[:, None] - rc >= least) & on_two
+            if p.min_weight:
+                ok &= (rh >= p.min_weight) & (ht[:, None] - rh >= p.min_weight)
+            if chosen is not None:
+                ok &= chosen[:, data.two]
+            won = np.where(ok, score(rg, rh) + score(gt[:, None] - rg, ht[:, None] - rh) - score(gt, ht)[:, None], -np.inf)
+            j = won.argmax(1)
+            i = np.arange(m)
+            better = won[i, j] > gain
+            gain = np.where(better, won[i, j], gain)
+            feature = np.where(better, data.two[j], feature)
+            low, high = data.ends[:, j]
+            cut = np.where(better, low + (high - low) * (rng.random(m) if p.random_cuts else 0.5), cut)
+            gl, hl, cl = np.where(better, gt - rg[i, j], gl), np.where(better, ht - rh[i, j], hl), np.where(better, ct - rc[i, j], cl)
+        good = np.nonzero(gain > floor)[0]
+        if not len(good):
+            break
+        w = len(good)
+        splits.append((opened[good], feature[good], cut[good], size + np.arange(w), size + w + np.arange(w)))
+        ng, nh, nc = (np.concatenate([x[good], y[good] - x[good]]) for x, y in ((gl, gt), (hl, ht), (cl, ct)))
+        for name, v in (("feature", np.full(2 * w, -1)), ("threshold", np.zeros(2 * w)), ("left", np.full(2 * w, -1)), ("right", np.full(2 * w, -1)), ("value", value_of(ng, nh)), ("cover", nh)):
+            parts[name].append(v)
+        going = np.nonzero(nc >= enough)[0]
+        number = np.full(2 * w, -1)
+        number[going] = np.arange(len(going))
+        child = np.full((2, m), -1)
+        child[0, good], child[1, good] = number[:w], number[w:]
+        at = np.nonzero(node >= 0)[0]
         a = node[at]
-        goes_right = xb[at, cut_f[a]] > cut_b[a]
-        node[at] = np.where(good[a], child[a, goes_right.astype(int)], -1)
-        open_ids, depth = nxt, depth + 1
-    return Tree(*(np.array(v, dtype=t) for v, t in zip((feature, threshold, left, right, value, cover), (np.int32, float, np.int32, np.int32, float, float))))
+        node[at] = child[(data.x[at, feature[a]] > cut[a]).astype(int), a]
+        opened, gt, ht, ct = size + going, ng[going], nh[going], nc[going]
+        size, depth = size + 2 * w, depth + 1
+    t = Tree(*(np.concatenate(parts[c]).astype(k) for c, k in (("feature", np.int32), ("threshold", float), ("left", np.int32), ("right", np.int32), ("value", float), ("cover", float))))
+    for i, f, c, left, right in splits:
+        t.feature[i], t.threshold[i], t.left[i], t.right[i] = f, c, left, right
+    return t

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from spindrift.operators import splitting, stats
 from spindrift.session import cut
 
 #: Models of the cross-validation that are held at a time.
-HELD = 16
+HELD = 64
 FEATURES = [*D.NUMERIC_FEATURES, *D.CATEGORICAL_FEATURES, *D.BINARY_FEATURES]
 
 
@@ -126,16 +128,17 @@ def holdout(p: Prepared, model: dict) -> DataFrame:
 def stability(df: DataFrame, family: str, params: dict, knobs: Knobs) -> DataFrame:
     """(Split_Seed, Train_n, Test_n, Train_Sources, Test_Sources, metrics): a fresh split and fit for each seed."""
     base = splitting.strata(df.filter(F.col(f"`{D.TARGET}`").isNotNull()), "Source_File")
-    out = None
-    for s in knobs.seeds:
+
+    def one(s: int) -> DataFrame:
         rows = cut(splitting.stratified_split(base, "row_id", "Source_Stratum", knobs.test_share, s))
         sample = lane.bounded_sample(rows.filter("Set = 'Train'"), "row_id", [*FEATURES, D.TARGET], knobs.fit_rows, s)
         models = lane.fit_tasks(df.sparkSession, sample, [{"task_id": str(s), "family": family, "params": _capped(params, knobs), "seed": s}])
         m = lane.metrics_of(lane.score_sums(rows, models, "Set"), ["Set"]).groupBy().pivot("Set", ["Train", "Test"]).agg(F.first("n").alias("n"), F.first("R2").alias("R2"), F.first("MAE").alias("MAE"), F.first("RMSE").alias("RMSE"))
         n = rows.groupBy().pivot("Set", ["Train", "Test"]).agg(F.count_distinct("Source_File").alias("Sources"), F.count(F.lit(1)).alias("rows")).select("Train_Sources", "Test_Sources")
-        one = m.crossJoin(n).select(F.lit(s).alias("Split_Seed"), "Train_n", "Test_n", "Train_Sources", "Test_Sources", "Train_R2", "Test_R2", "Test_MAE", "Test_RMSE", (F.col("Train_R2") - F.col("Test_R2")).alias("Train_Test_R2_Gap"))  # one row each
-        out = one if out is None else out.unionByName(one)
-    return out
+        return cut(m.crossJoin(n).select(F.lit(s).alias("Split_Seed"), "Train_n", "Test_n", "Train_Sources", "Test_Sources", "Train_R2", "Test_R2", "Test_MAE", "Test_RMSE", (F.col("Train_R2") - F.col("Test_R2")).alias("Train_Test_R2_Gap")))  # one row each
+
+    with ThreadPoolExecutor(4) as pool:  # seeds share the cluster
+        return reduce(DataFrame.unionByName, pool.map(one, knobs.seeds))
 
 
 def learning_curve(p: Prepared, family: str, params: dict) -> DataFrame:

@@ -6,7 +6,7 @@ from spindrift import domain as D
 from spindrift.models import estimators as E
 from spindrift.models import matrix as M
 from spindrift.models import shapley
-from spindrift.models.trees import Bins, Growth, grow
+from spindrift.models.trees import Columns, Growth, grow
 from spindrift.plans.project import tsne
 
 PARAMS = {
@@ -40,8 +40,7 @@ def test_families_learn(data, family):
 def test_best_split_is_exact():
     rng = np.random.default_rng(2)
     x, y = rng.integers(0, 20, size=(60, 3)).astype(float), rng.normal(size=60)
-    b = Bins.of(x)
-    t = grow(b, b.apply(x), y, np.ones(60), Growth(max_depth=1, min_leaf=5), rng)
+    t = grow(Columns.of(x), y, np.ones(60), Growth(max_depth=1, min_leaf=5), rng)
     best = min((((y[l] - y[l].mean()) ** 2).sum() + ((y[~l] - y[~l].mean()) ** 2).sum(), j, c) for j in range(3) for c in np.unique(x[:, j])[:-1] for l in [x[:, j] <= c] if 5 <= l.sum() <= 55)
     l = t.leaves(x)
     got = sum(((y[l == k] - y[l == k].mean()) ** 2).sum() for k in np.unique(l))
