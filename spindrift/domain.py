@@ -96,7 +96,7 @@ COLLISION_KEY = [
 ]
 COLLISION_LIMIT = 5.0
 SEARCH_COLUMNS = ["Ni_Loading_wt%", "Promoter_Loading_wt%", "Calcination_Temp_C", "Reduction_Temp_C", "Dry_Temp_C", "Calcination_Time_h", "Reduction_Time_h", "Dry_Time_h"]
-DOMAIN_COLUMNS = ["Reaction_Temp_C", *SEARCH_COLUMNS[:5], *SEARCH_COLUMNS[5:], "S_C_Ratio", "TOS_h", "Pressure_bar", "GHSV_log", "WHSV_log"]
+DOMAIN_COLUMNS = ["Reaction_Temp_C", *SEARCH_COLUMNS, "S_C_Ratio", "TOS_h", "Pressure_bar", "GHSV_log", "WHSV_log"]
 SEARCH_TEMPERATURES = [300.0, 350.0, 400.0, 450.0, 500.0]
 
 # Complexity order of the model families, and their locked parameters.

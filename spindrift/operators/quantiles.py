@@ -1,7 +1,7 @@
 """Exact quantiles of whole columns without one task that sees every distinct value.
 
-Spark's exact percentile keeps a map of all distinct values of a group in memory. Up to LARGE_ROWS rows that is
-the faster plan; beyond, values are counted (combined map-side), numbered by a range-partitioned
+Spark's exact percentile keeps a map of all distinct values of a group in memory. Up to LARGE_ROWS rows (counted, not
+fetched) that is the faster plan; beyond, values are counted (combined map-side), numbered by a range-partitioned
 running count, and only the two values around each wanted rank are taken. Both are exact and interpolate
 linearly.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from spindrift.session import cut
 
-LARGE_ROWS = 20_000_000
+LARGE_ROWS = 1_000_000
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[float], large: int = LARGE_ROWS) -> dict[str, list[float | None]]:
@@ -23,7 +23,7 @@ def quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[float],
     if not columns:
         return {}
     names = list(columns)
-    if df.limit(large + 1).count() <= large:
+    if df.count() <= large:
         row = df.agg(*(F.percentile(columns[n].cast("double"), F.array(*(F.lit(float(p)) for p in probs))).alias(f"q{i}") for i, n in enumerate(names))).first()
         return {n: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)) for i, n in enumerate(names)}
     long = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("c"), columns[n].cast("double").alias("v")) for i, n in enumerate(names)))).alias("x")).select("x.*")

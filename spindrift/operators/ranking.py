@@ -36,6 +36,21 @@ def position_in_group(df: DataFrame, group: str, order: list[str | Column], out:
     return at.join(first, F.col(f"`{group}`").eqNullSafe(F.col("__g"))).withColumn(out, F.col("__at") - F.col("__lo")).drop("__g", "__lo", "__at")
 
 
+def running_max(df: DataFrame, group: str, order: list[str | Column], value: str, out: str) -> DataFrame:
+    """df with out = the largest value so far inside its group (null is a group; null values count for nothing). The
+    sort is range-partitioned over group and order together, and each partition hands on one maximum a group,
+    so a hot group is spread over several tasks."""
+    cols = [F.col(f"`{group}`"), *(F.col(c) if isinstance(c, str) else c for c in order)]
+    s = cut(df.repartitionByRange(*cols).select("*", F.spark_partition_id().alias("__p"), F.struct(*cols).alias("__o")))
+    q, g = F.col(f"`{value}`"), F.col(f"`{group}`")
+    inside = Window.partitionBy("__p", g).orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)  # a partition's part of a group
+    tops = s.groupBy("__p", g.alias("__g")).agg(F.max(q).alias("__m"))
+    before = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition of a group
+    tops = tops.select(F.col("__p").alias("__q"), "__g", F.max("__m").over(before).alias("__carry")).filter("__carry is not null")
+    j = s.join(tops, (F.col("__p") == F.col("__q")) & g.eqNullSafe(F.col("__g")), "left")
+    return j.withColumn(out, F.greatest(F.max(q).over(inside), F.col("__carry"))).drop("__p", "__o", "__q", "__g", "__carry")
+
+
 def competition_rank(df: DataFrame, value: str, row_id: str, out: str) -> DataFrame:
     """Descending rank, equal values share the smallest rank."""
     at = global_index(df, [F.desc(value), row_id], "__at")

@@ -263,7 +263,7 @@ def oracle_sql() -> dict[str, str]:
         "running_best": "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS best_so_far FROM events",
         "union_by_name": "SELECT c_custkey AS key, c_acctbal AS balance, NULL::VARCHAR AS name FROM customer UNION ALL SELECT s_suppkey, s_acctbal, s_name FROM supplier",
         "long_form_topn": "WITH l AS (SELECT vec_id, unnest(embedding) AS value, generate_subscripts(embedding, 1) - 1 AS component FROM embeddings), t AS (SELECT component FROM l GROUP BY 1 ORDER BY round(avg(abs(value::DOUBLE)), 6) DESC, component LIMIT 10) SELECT vec_id, component::INT AS component, round(value::DOUBLE, 5) AS value FROM l JOIN t USING (component)",
-        "wide_columns": "SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 5) AS v{i}" for i in range(8)) + " FROM embeddings",
+        "wide_columns": "SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 5) AS v{i}" for i in range(64)) + " FROM embeddings",
         "strata_rare": f"SELECT row_id, Source_Stratum FROM ({_STRATA})",
         "largest_remainder": f"{_QUOTA} SELECT Source_Stratum, n, quota FROM quota",
         "stratified_split": f"{_QUOTA} {_split(42)}",

@@ -413,10 +413,8 @@ def window_select(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def running_best(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return load(spark, d, "events").select("event_id", F.max("value").over(w).alias("best_so_far"))
+    e = load(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    return ranking.running_max(e, "user_id", ["ts", "event_id"], "value", "best_so_far").select("event_id", "best_so_far")
 
 
 @query
@@ -436,8 +434,9 @@ def long_form_topn(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def wide_columns(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("embedding")
-    return load(spark, d, "embeddings").select("vec_id", *(F.round(e[i].cast("double"), 5).alias(f"v{i}") for i in range(8)))
+    df = load(spark, d, "embeddings")
+    width = df.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return df.select("vec_id", *(F.round(F.get("embedding", F.lit(i)).cast("double"), 5).alias(f"v{i}") for i in range(width)))
 
 
 # --- sampling and splitting -----------------------------------------------------------------------

@@ -30,12 +30,14 @@ def get_session(app: str = "spindrift", cpus: int | None = None, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names in spark.checkpoint.dir; only where it names none
-    (tests, one machine) fall back to a temporary folder."""
+    """Use the shared folder the session names in spark.checkpoint.dir; only on one machine (a local master, as in
+    tests) may a temporary folder stand in for it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-ckpt-"))
 
 

@@ -115,14 +115,16 @@ def test_families(spark):
     assert ranking.largest_by_count(f, "Dataset_Count", ["Family"], 10, 1).first().Dataset_Count == 3
 
 
-def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 7)
+@pytest.mark.parametrize("block", [400, 1 << 20])
+def test_neighbours(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "ROWS", 9)
+    monkeypatch.setattr(neighbours, "QUERIES", 5)
     rng = np.random.default_rng(1)
     v = rng.normal(size=(120, 6))
     v[5] = v[50]
     df = spark.createDataFrame([(i, [float(a) for a in v[i]]) for i in range(120)] + [(999, None)], "id long, v array<double>").repartition(3)
     got = {}
-    for r in neighbours.nearest(df, df.filter("id % 5 = 0"), "id", "v", 4).collect():
+    for r in neighbours.nearest(df, df.filter("id % 5 = 0"), "id", "v", 4, block).collect():
         got.setdefault(r.query_id, []).append((round(r.distance, 9), r.id))
     for i in range(0, 120, 5):
         d = sorted((round(float(np.linalg.norm(v[i] - v[j])), 9), j) for j in range(120) if j != i)[:4]
@@ -169,3 +171,18 @@ def test_quantiles_both_ways(spark):
         got = quantiles(df, cols, probs, large)
         assert got["z"] == [None] * 6 and all(np.allclose(got[c], want[c]) for c in want)
     assert quantiles(df.limit(0), cols, probs, 0)["x"] == [None] * 6
+
+
+def test_running_max(spark):
+    """A hot group over many partitions, nulls, ties and a null group against a loop."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randrange(50), None if rng.random() < 0.1 else float(rng.randrange(1000))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, t int, v double").repartition(7)
+    want, best = {}, {}
+    for i, g, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        best[g] = v if best.get(g) is None else best[g] if v is None else max(best[g], v)
+        want[i] = best[g]
+    assert {r.id: r.m for r in ranking.running_max(df, "g", ["t", "id"], "v", "m").collect()} == want
+    assert ranking.running_max(df.limit(0), "g", ["t", "id"], "v", "m").count() == 0

@@ -96,7 +96,8 @@ def test_flows_do_the_locked_job(spark, small, monkeypatch):
     from spindrift.plans import explain
 
     seen = {}
-    monkeypatch.setattr(search, "search", lambda *a, **k: seen.update(search=k))
+    monkeypatch.setattr(flows, "_MADE", {})
+    monkeypatch.setattr(search, "search", lambda *a, **k: seen.update(search=k) or spark.range(1))
     monkeypatch.setattr(search, "build_space", lambda *a, **k: None)
     monkeypatch.setattr(explain, "ablation", lambda p, *a: seen.update(ablation=p.knobs))
     flows._searched(spark, small)
