@@ -6,12 +6,14 @@ rows are never left out: fits use their documented bounded sample, everything el
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift import domain as D
+from spindrift import sinks
 from spindrift.models import lane
 from spindrift.models import matrix as M
 from spindrift.operators import stats
@@ -20,11 +22,15 @@ from spindrift.operators.splitting import draw_grid
 from spindrift.plans import curate as C
 from spindrift.plans import explain, project, search
 from spindrift.plans import train as T
-from spindrift.session import cut
+from spindrift.session import cut, shared_folder
 from spindrift.sources import records
 from spindrift.tables import load
 
 Q = Callable[[SparkSession, str], DataFrame]
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "dataset_all", "ni_model_primary", "split_manifest", "exclusion_log",
+    "support_dim", "promoter_dim", "canonical_values", "split_targets", "mix_targets",
+)
 _ALL: dict[str, Q] = {}
 
 _KNOBS = T.Knobs()
@@ -96,10 +102,68 @@ def curate_manifest(spark: SparkSession, d: str) -> DataFrame:
     return C.manifest(load(spark, d, "dataset_all"), _curated(spark, d))
 
 
+@flow
+def curate_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each stage of the curation."""
+    c, out = _curated(spark, d), None
+    for name, df in (("raw", load(spark, d, "dataset_all")), ("all_clean", c.all_clean), ("comparison", c.comparison), ("primary", c.primary), ("collisions", c.collisions), ("exclusions", c.exclusions)):
+        one = df.agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@flow
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The raw table written as CSV and read back: cells with line breaks, quotes and outer white space, null tokens."""
+    raw, folder = load(spark, d, "dataset_all"), shared_folder(spark)
+    sinks.write_tables({"dataset_all": raw.withColumn("raw_row_id", F.col("raw_row_id").cast("string"))}, folder, "csv")
+    back = records.read_csv(spark, f"{folder}/dataset_all", raw.columns)
+    return back.select(*(F.col(f"`{c}`").cast("long").alias(c) if c == "raw_row_id" else F.col(f"`{c}`") for c in ["raw_row_id", *D.TEXT_COLUMNS, *D.FLAG_COLUMNS, *D.VALID_RANGES]))
+
+
+@flow
+def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A one-row summary written as a JSON document and read back."""
+    path = f"{shared_folder(spark)}/summary.json"
+    one = _primary(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("Source_File").alias("n_sources"), F.max("Reaction_Temp_C").alias("hottest"), F.max("Promoter_Metal").alias("last_promoter"))
+    sinks.write_document(json.loads(sinks.to_document(one)), path)
+    return records.read_json(spark, path, "n_rows long, n_sources long, hottest double, last_promoter string")
+
+
+@flow
+def report_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A report of the records of each split, one line each, read back as text."""
+    path = f"{shared_folder(spark)}/report.md"
+    lines = [f"- {r['Set']}: {r['n']}" for r in load(spark, d, "split_manifest").groupBy("Set").agg(F.count(F.lit(1)).alias("n")).orderBy("Set").collect()]  # one row a split
+    sinks.write_report("Splits", lines, path)
+    return spark.read.text(path).toDF("line")
+
+
+@flow
+def vector_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as a matrix and read back, in long form."""
+    path = f"{shared_folder(spark)}/vectors"
+    sinks.write_vectors(load(spark, d, "embeddings"), path, "vec_id", "embedding")
+    v = records.read_vectors(spark, path, "vec_id", "embedding")
+    return v.select("vec_id", F.posexplode("embedding").alias("component", "value")).withColumn("value", F.round("value", 5) + F.lit(0.0))
+
+
+@flow
+def gated_promotion(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted results replace what stands, refused ones leave it: read back after one of each."""
+    folder = shared_folder(spark)
+    target, review = f"{folder}/promoted", f"{folder}/review.json"
+    for name, accepted in (("nation", True), ("region", True), ("nation", False)):
+        sinks.promote(lambda to, n=name: load(spark, d, n).write.mode("overwrite").parquet(to), target, accepted, {"refused": name}, review)
+    kept = spark.read.parquet(target)
+    return kept.select("r_regionkey", "r_name", F.lit(json.load(open(review))["refused"]).alias("refused"))
+
+
 @flow
 def table_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Row count and order-free fingerprint of every table."""
     out = None
-    for t in ("lineitem", "orders", "dataset_all", "documents"):
+    for t in TABLES:
         one = records.table_hash(load(spark, d, t)).withColumn("table_name", F.lit(t))
         out = one if out is None else out.unionByName(one)
     return out

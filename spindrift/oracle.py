@@ -277,6 +277,13 @@ def oracle_sql() -> dict[str, str]:
         "curate_exclusions": _curated() + "SELECT * FROM excl",
         "curate_accounting": _curated() + "SELECT \"Reason\" AS outcome, count(*) AS n FROM excl GROUP BY 1 UNION ALL SELECT 'comparison', count(*) FROM reasons WHERE reason IS NULL AND is_literature_comparison UNION ALL SELECT 'primary', coalesce(sum(n), 0)::BIGINT FROM grp WHERE NOT clash",
         "curate_features": _curated_features(),
+        "curate_counts": _curated() + "SELECT 'raw' AS stage, count(*) AS n FROM dataset_all UNION ALL SELECT 'all_clean', count(*) FROM reasons WHERE reason IS NULL UNION ALL SELECT 'comparison', count(*) FROM reasons WHERE reason IS NULL AND is_literature_comparison "
+        "UNION ALL SELECT 'primary', count(*) FROM grp WHERE NOT clash UNION ALL SELECT 'collisions', coalesce(sum(n), 0)::BIGINT FROM grp WHERE clash UNION ALL SELECT 'exclusions', count(*) FROM excl",
+        "csv_roundtrip": "SELECT raw_row_id, " + ", ".join(f"CASE WHEN {col(c)} NOT IN {words(D.NA_TOKENS)} THEN {col(c)} END AS {col(c)}" for c in (*D.TEXT_COLUMNS, *D.FLAG_COLUMNS, *D.VALID_RANGES)) + " FROM dataset_all",
+        "json_roundtrip": "SELECT count(*) AS n_rows, count(DISTINCT Source_File) AS n_sources, max(Reaction_Temp_C) AS hottest, max(Promoter_Metal) AS last_promoter FROM ni_model_primary",
+        "report_roundtrip": "SELECT '# Splits' AS line UNION ALL SELECT '' UNION ALL SELECT '- ' || \"Set\" || ': ' || count(*) FROM split_manifest GROUP BY \"Set\"",
+        "vector_roundtrip": "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS component, round(unnest(embedding)::DOUBLE, 5) + 0.0 AS value FROM embeddings",
+        "gated_promotion": "SELECT r_regionkey, r_name, 'nation' AS refused FROM region",
         "eligible_families": f"WITH c AS (SELECT Support, p AS \"Promoter_Key\", m AS Metal_Loading_Method, n AS \"Dataset_Count\", Support || ' | ' || p || ' | ' || m AS \"Family\", CASE WHEN lower(p) = 'unknown' THEN 'unpromoted' ELSE 'promoted' END AS \"Track\" FROM ({fam})), r AS (SELECT *, max(\"Dataset_Count\") OVER (PARTITION BY \"Track\") AS top, row_number() OVER (PARTITION BY \"Track\" ORDER BY \"Dataset_Count\" DESC, \"Family\") AS rn FROM c) SELECT Support, \"Promoter_Key\", Metal_Loading_Method, \"Dataset_Count\", \"Family\", \"Track\" FROM r WHERE \"Dataset_Count\" >= 10 OR (top < 10 AND rn <= 5)",
         "operating_assumptions": "SELECT " + ", ".join(f"coalesce(median({c}), {v})::DOUBLE AS {c}" for c, v in (("S_C_Ratio", 2.0), ("TOS_h", 10.0), ("Pressure_bar", 1.0), ("GHSV_log", 0.0), ("WHSV_log", 0.0))) + ", " + ", ".join(f"coalesce((SELECT {c} FROM ni_model_primary WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), 'Unknown') AS {c}" for c in ("Precursor_Family", "Support_Prep_Method")) + " FROM ni_model_primary",
         "flagship_slice": f"WITH g AS ({guarded_lines}), v AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY l_suppkey) >= 4 THEN l_suppkey::VARCHAR ELSE 'rare' END AS stratum FROM g WHERE l_quantity IS NOT NULL), k AS (SELECT l_partkey, l_suppkey, min(line_id) AS line_id, any_value(stratum) AS stratum, median(l_quantity) AS l_quantity, count(*)::INT AS Replicate_Count FROM v GROUP BY l_partkey, l_suppkey HAVING count(*) = 1 OR max(l_quantity) - min(l_quantity) <= 5) SELECT stratum, line_id, l_quantity, Replicate_Count, row_number() OVER (PARTITION BY stratum ORDER BY l_quantity DESC, line_id)::INT AS rank FROM k QUALIFY rank <= 10",

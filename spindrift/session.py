@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-ckpt-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of its own for written results, below the checkpoint folder. Writers of single files need it to be on
+    the driver's file system."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/{uuid.uuid4()}"
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and return it read back: later jobs neither recompute
     the plan nor depend on any single executor."""

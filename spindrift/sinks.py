@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: CSV that read_csv reads back as it was: quotes doubled, white space and line breaks of cells kept.
+CSV = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+
+
 def write_tables(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
     for name, df in tables.items():
         w = df.write.mode("overwrite")
-        w.option("header", True).csv(f"{folder}/{name}") if fmt == "csv" else w.format(fmt).save(f"{folder}/{name}")
+        w.options(**CSV).csv(f"{folder}/{name}") if fmt == "csv" else w.format(fmt).save(f"{folder}/{name}")
 
 
 def write_single_csv(df: DataFrame, path: str, bom: bool = True) -> None:
