@@ -65,14 +65,19 @@ def _primary(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "ni_model_primary")
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles are compared after rounding; minus zero is zero."""
+    return df.select(*((F.round(F.col(f"`{f.name}`"), 6) + F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`") for f in df.schema.fields))
+
+
 @flow
 def curate_primary(spark: SparkSession, d: str) -> DataFrame:
-    return _curated(spark, d).primary
+    return _rounded(_curated(spark, d).primary)
 
 
 @flow
 def curate_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return _curated(spark, d).comparison
+    return _rounded(_curated(spark, d).comparison)
 
 
 @flow

@@ -169,13 +169,14 @@ def _curated() -> str:
     label = f"TRY_CAST(CASE WHEN regexp_matches(Catalyst, '{_P1}', 'i') THEN regexp_extract(Catalyst, '{_P1}', 1, 'i') WHEN regexp_matches(Catalyst, '{_P2}', 'i') THEN regexp_extract(Catalyst, '{_P2}', 1, 'i') END AS DOUBLE)"
     precursor = f"CASE lower(pre) {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in D.PRECURSOR_NAMES.items())} ELSE lower(pre) END"
     guarded = ", ".join(f"{guard(col(c), r)} AS {col(c)}" for c, r in D.VALID_RANGES.items() if c != "Promoter_Loading_wt%")
+    flags = ", ".join(f"CASE WHEN {col(c)} NOT BETWEEN {lo} AND {hi} THEN 1 ELSE 0 END AS {col(c + '_range_flag')}" for c, (lo, hi) in D.VALID_RANGES.items())
     return (
         "WITH raw0 AS (SELECT raw_row_id, " + ", ".join(f"{clean(c)} AS {col(c)}" for c in text) + " FROM dataset_all), "
         f"flagged AS (SELECT *, regexp_matches(coalesce(Active_Metal, ''), '{_NI}', 'i') AND (regexp_matches({simple}, '^Ni([-/ ].*)?$', 'i') OR regexp_matches(coalesce(Catalyst, ''), '{_NI}', 'i')) AS is_ni FROM raw0), "
         f"typed AS (SELECT * REPLACE ({', '.join(f'{number(col(c))} AS {col(c)}' for c in D.VALID_RANGES)}, coalesce({parse_bool('is_literature_comparison')}, FALSE) AS is_literature_comparison) FROM flagged WHERE is_ni), "
         "fine AS (SELECT * REPLACE (coalesce(Reaction_Temp_C, CASE WHEN min(Reaction_Temp_C) OVER w = max(Reaction_Temp_C) OVER w THEN min(Reaction_Temp_C) OVER w END) AS Reaction_Temp_C) FROM typed WINDOW w AS (PARTITION BY Source_File, Canonical_Catalyst_ID)), "
         "filled AS (SELECT * REPLACE (coalesce(Reaction_Temp_C, CASE WHEN min(Reaction_Temp_C) OVER w = max(Reaction_Temp_C) OVER w THEN min(Reaction_Temp_C) OVER w END) AS Reaction_Temp_C) FROM fine WINDOW w AS (PARTITION BY Source_File)), "
-        f"prom AS (SELECT * REPLACE ({tokens} AS Promoter_Metal), coalesce(Support_Normalized, Support) AS sup, {default_text('Precursor_Family')} AS pre FROM filled), "
+        f"prom AS (SELECT * REPLACE ({tokens} AS Promoter_Metal), coalesce(Support_Normalized, Support) AS sup, {default_text('Precursor_Family')} AS pre, {flags} FROM filled), "
         f"eng AS (SELECT * REPLACE ({guarded}, CASE WHEN Promoter_Metal IS NULL THEN 0.0 ELSE {guard(col('Promoter_Loading_wt%'), D.VALID_RANGES['Promoter_Loading_wt%'])} END AS \"Promoter_Loading_wt%\", "
         f"{_support('sup')} AS Support, {_method()} AS Metal_Loading_Method, {precursor} AS Precursor_Family, {default_text('Support_Prep_Method')} AS Support_Prep_Method), {label} AS lab, "
         f"lower({strip('coalesce(Catalyst, Canonical_Catalyst_ID, ' + chr(39) + 'Unknown' + chr(39) + ')')}) AS Catalyst_Key FROM prom), "
@@ -203,6 +204,27 @@ def _curated_features() -> str:
     )
 
 
+def _curated_table(primary: bool) -> str:
+    """All columns of the primary or the comparison table."""
+    whole = ["raw_row_id", *(f"t.{c}" for c in D.TEXT_COLUMNS), *(f"{parse_bool(c)} AS {c}" for c in D.FLAG_COLUMNS if c != "is_literature_comparison"), "is_literature_comparison", *(col(c + "_range_flag") for c in D.VALID_RANGES)]
+    derived = {
+        "Catalyst_Label_Ni_Value": "CASE WHEN lab > 0 AND lab <= 80 THEN lab END", "GHSV_log": "ln(1 + GHSV_mL_g_h)", "WHSV_log": "ln(1 + WHSV_h_inv)", "calc_reduc_temp_diff": "Calcination_Temp_C - Reduction_Temp_C",
+        "total_treatment_time_h": "CASE WHEN coalesce(Calcination_Time_h, Reduction_Time_h, Dry_Time_h) IS NOT NULL THEN coalesce(Calcination_Time_h, 0) + coalesce(Reduction_Time_h, 0) + coalesce(Dry_Time_h, 0) END",
+        "prom_electronegativity": "e", "prom_ionic_radius": "r", "prom_atomic_mass": "m", "prom_first_ionization": "f",
+    }
+    num = {c: "med" if primary and c == D.TARGET else col(c) for c in D.VALID_RANGES} | derived | ({"Replicate_Target_Range": "CASE WHEN n > 1 THEN rng ELSE 0.0 END"} if primary else {})
+    more = ["(t.Promoter_Metal IS NOT NULL)::INT AS has_promoter", "(e IS NULL)::INT AS prom_missing", "coalesce(s.support_type, 'unknown') AS support_type", "coalesce(acid, 0) AS support_acid_base", "coalesce(red, 0) AS support_reducible"]
+    if primary:
+        more += ["row_number() OVER (ORDER BY raw_row_id) - 1 AS row_id", "Catalyst_Key", "n::INT AS Replicate_Count", "CASE WHEN n > 1 THEN ids END AS Original_Row_IDs"]
+    extras = [f"extra_{i:02d}" for i in range(1, 29)]
+    raw = "(SELECT raw_row_id, " + ", ".join(f"CASE WHEN {c} NOT IN {words(D.NA_TOKENS)} THEN {c} END AS {c}" for c in extras) + " FROM dataset_all) x"
+    rows = "grp JOIN prim t ON first_id = raw_row_id AND NOT clash" if primary else "(SELECT * FROM reasons WHERE reason IS NULL AND is_literature_comparison) t"
+    return (
+        _curated() + "SELECT " + ", ".join([*whole, *extras, *(f"{r6(f'({v})::DOUBLE')} AS {col(c)}" for c, v in num.items()), *more])
+        + f" FROM {rows} JOIN {raw} USING (raw_row_id) LEFT JOIN sdim s ON t.Support = s.name LEFT JOIN pdim ON string_split(t.Promoter_Metal, ',')[1] = symbol"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     fam = "SELECT coalesce(Support, 'Unknown') AS Support, coalesce(Promoter_Metal, 'Unknown') AS p, coalesce(Metal_Loading_Method, 'Unknown') AS m, count(*) AS n FROM ni_model_primary GROUP BY ALL"
     onehot = " UNION ALL ".join(
@@ -277,6 +299,8 @@ def oracle_sql() -> dict[str, str]:
         "curate_exclusions": _curated() + "SELECT * FROM excl",
         "curate_accounting": _curated() + "SELECT \"Reason\" AS outcome, count(*) AS n FROM excl GROUP BY 1 UNION ALL SELECT 'comparison', count(*) FROM reasons WHERE reason IS NULL AND is_literature_comparison UNION ALL SELECT 'primary', coalesce(sum(n), 0)::BIGINT FROM grp WHERE NOT clash",
         "curate_features": _curated_features(),
+        "curate_primary": _curated_table(True),
+        "curate_comparison": _curated_table(False),
         "curate_counts": _curated() + "SELECT 'raw' AS stage, count(*) AS n FROM dataset_all UNION ALL SELECT 'all_clean', count(*) FROM reasons WHERE reason IS NULL UNION ALL SELECT 'comparison', count(*) FROM reasons WHERE reason IS NULL AND is_literature_comparison "
         "UNION ALL SELECT 'primary', count(*) FROM grp WHERE NOT clash UNION ALL SELECT 'collisions', coalesce(sum(n), 0)::BIGINT FROM grp WHERE clash UNION ALL SELECT 'exclusions', count(*) FROM excl",
         "csv_roundtrip": "SELECT raw_row_id, " + ", ".join(f"CASE WHEN {col(c)} NOT IN {words(D.NA_TOKENS)} THEN {col(c)} END AS {col(c)}" for c in (*D.TEXT_COLUMNS, *D.FLAG_COLUMNS, *D.VALID_RANGES)) + " FROM dataset_all",
