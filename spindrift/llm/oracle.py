@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spindrift.llm import canon
 from spindrift.oracle import col, packed_values
 
 
@@ -76,9 +77,41 @@ c AS (SELECT *, max(log_p) FILTER (ok) OVER (PARTITION BY src, unit) AS edge FRO
 SELECT src AS source, unit, len::INT AS len, n, at_risk::BIGINT AS at_risk, round(hazard, 6) AS hazard, round(expected, 6) AS expected FROM c WHERE log_p <= edge AND n >= 4
 """
 
+_FROM, _TO = ("".join(x[i] for x in canon.LOOKALIKE.values()) for i in (0, 1))
+_FOLDED = f"translate(lower(regexp_replace(cell, '<[^<>]*>', '', 'g')), '{_FROM}', '{_TO}')"
+_L = r"^\p{L}+$"
+#: Every token of every distinct cell against every word of the list, by edit distance, and every form scored: no pruning.
+_MAPPED = rf"""
+WITH c AS (SELECT DISTINCT field_name, trim(name, ' ') AS name, canon_id FROM (SELECT *, unnest([canonical] || string_split(coalesce(alt_names, ''), ';')) AS name FROM canonical_values) WHERE trim(name, ' ') <> ''),
+named AS (SELECT *, regexp_extract_all(fold, '[\p{{L}}\p{{N}}]+') AS ws FROM (SELECT *, {_FOLDED.replace('cell', 'name')} AS fold FROM c)),
+nn AS (SELECT field_name, count(DISTINCT name) AS n FROM named WHERE len(ws) > 0 GROUP BY 1),
+w0 AS (SELECT field_name, canon_id, name, ws, unnest(list_distinct(ws)) AS v FROM named),
+kk AS (SELECT field_name, v, count(*) AS k FROM w0 GROUP BY ALL),
+w AS (SELECT w0.*, ln(1 + n / k) AS wt, ln(1 + n) AS unseen FROM w0 JOIN kk USING (field_name, v) JOIN nn USING (field_name)),
+nm AS (SELECT field_name, canon_id, name, sqrt(sum(wt * wt)) AS norm, count(*) AS size, bool_and(length(v) >= 2 AND regexp_matches(v, '\p{{L}}')) AS plain, any_value(ws) AS ws, any_value(unseen) AS unseen FROM w GROUP BY ALL),
+forms AS (SELECT field_name, canon_id, 'b' || name AS form, v, wt, norm, unseen, FALSE AS alone, TRUE AS word, 0 AS own FROM w JOIN nm USING (field_name, canon_id, name, unseen) WHERE plain AND size > 1
+  UNION ALL SELECT field_name, canon_id, 'w' || name, array_to_string(ws, ''), norm, norm, unseen, TRUE, len(ws) = 1, len(ws) FROM nm),
+vocab AS (SELECT field_name, v, bool_and(alone) AS alone, bool_or(word) AS word FROM forms GROUP BY ALL),
+cells0 AS (SELECT raw_row_id, unnest([{{'f': 'Support', 'c': Support}}, {{'f': 'Metal_Loading_Method', 'c': Metal_Loading_Method}}, {{'f': 'Precursor_Family', 'c': Precursor_Family}}]) AS x FROM dataset_all),
+cells AS (SELECT raw_row_id, x.f AS field_name, x.c AS cell FROM cells0 WHERE x.c IS NOT NULL AND lower(regexp_replace(x.c, '^[\s\p{{Z}}\x{{200b}}\x{{feff}}]+|[\s\p{{Z}}\x{{200b}}\x{{feff}}]+$', '', 'g')) NOT IN ('', 'na', 'n/a', 'none', 'nan', 'null')),
+todo AS (SELECT * FROM cells ANTI JOIN canonical_values k ON k.field_name = cells.field_name AND k.canonical = cells.cell),
+d AS (SELECT field_name, cell, regexp_extract_all(fold, '[\p{{L}}\p{{N}}]+') AS ws, regexp_extract_all(fold, '(\p{{L}}{{3,}})\.', 1) AS sw FROM (SELECT DISTINCT field_name, cell, {_FOLDED} AS fold FROM todo)),
+t AS (SELECT DISTINCT field_name, cell, t, list_contains(sw, t) AS short FROM (SELECT field_name, cell, sw, unnest(flatten(list_transform(range(1, len(ws) + 1), lambda i: list_transform(range(i, least(i + 8, len(ws) + 1)), lambda j: array_to_string(ws[i:j], ''))))) AS t FROM d)),
+hit AS (SELECT field_name, cell, v, max(sim) AS sim FROM (SELECT t.field_name, cell, v, CASE WHEN t = v THEN 1.0::DOUBLE WHEN translate(t, '01i|', 'olll') = translate(v, '01i|', 'olll') THEN 0.98
+  WHEN length(v) >= CASE WHEN alone THEN 5 ELSE 4 END AND regexp_matches(t, '{_L}') AND regexp_matches(v, '{_L}') AND abs(length(t) - length(v)) <= 1 AND damerau_levenshtein(t, v) <= 1 THEN 1 - 1 / length(v)
+  WHEN short AND word AND length(v) >= 5 AND length(t) < length(v) AND regexp_matches(v, '{_L}') AND starts_with(v, t) THEN 0.85 END AS sim FROM t JOIN vocab ON t.field_name = vocab.field_name) WHERE sim IS NOT NULL GROUP BY ALL),
+sc AS (SELECT f.field_name, d.cell, canon_id, sum(wt * wt * coalesce(sim, 0)) AS dot, sum(wt * wt) FILTER (sim IS NOT NULL) AS held, count(sim) AS n, any_value(norm) AS norm, any_value(alone) AS alone, any_value(own) AS own, any_value(unseen) AS unseen, len(list_distinct(any_value(d.ws))) AS nw
+  FROM d JOIN forms f ON f.field_name = d.field_name LEFT JOIN hit ON hit.field_name = d.field_name AND hit.cell = d.cell AND hit.v = f.v GROUP BY f.field_name, d.cell, canon_id, form),
+ok AS (SELECT field_name, cell, canon_id, round(dot / (norm * sqrt(held + greatest(nw - CASE WHEN alone THEN own ELSE n END, 0) * unseen * unseen)), 9) AS score FROM sc WHERE dot / (norm * norm) >= 0.8 - 1e-9),
+best AS (SELECT field_name, cell, canon_id FROM ok QUALIFY row_number() OVER (PARTITION BY field_name, cell ORDER BY score DESC, canon_id) = 1)
+SELECT raw_row_id, todo.field_name, coalesce(canon_id, 0)::BIGINT AS canon_id FROM todo LEFT JOIN best ON best.field_name = todo.field_name AND best.cell = todo.cell
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _MAPPED,
+        "p3_report": f"SELECT field_name, count(*) AS n_cells, count(*) FILTER (canon_id = 0) AS n_unmatched, round(avg((canon_id = 0)::INT::DOUBLE), 6) AS share_unmatched FROM ({_MAPPED}) GROUP BY 1",
         "p5_groups": _GROUP_OF,
         "p5_shares": _SHARES,
         "p8_limits": _LIMITS,
