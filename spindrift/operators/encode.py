@@ -23,7 +23,9 @@ def _q(c: str) -> Column:
 
 
 def _one_at(place: Column, width: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: (k == place).cast("double"))
+    """width zeros with a one at place (from 0), if it is not negative; made of whole arrays, not element by element."""
+    zero = F.lit(0.0)
+    return F.when(place < 0, F.array_repeat(zero, width)).otherwise(F.concat(F.array_repeat(zero, place), F.array(F.lit(1.0)), F.array_repeat(zero, F.lit(width - 1) - place)))
 
 
 @dataclass

@@ -55,6 +55,28 @@ def read_vectors(spark: SparkSession, path: str, id_col: str, vec_col: str, widt
     return df
 
 
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(id, features) of the rows of one two-dimensional .npy matrix, numbered from 0. The file is mapped, not loaded,
+    in tasks of at most 64 MB of rows, so it must be where all executors see it; pickled arrays are refused."""
+    import numpy as np
+
+    rows, width = np.load(path, mmap_mode="r", allow_pickle=False).shape
+    step = max(1, (64 << 20) // (8 * max(1, width)))
+    starts = spark.range(0, rows, step, max(1, -(-rows // step)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = np.load(path, mmap_mode="r", allow_pickle=False)
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                part = np.asarray(m[at : at + step], dtype=np.float64)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * width), pa.array(part.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part), dtype=np.int64)), flat], names=["id", "features"])
+
+    return starts.mapInArrow(run, "id bigint, features array<double>")
+
+
 def file_hash(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of each file, hashed where it lies. Files over 2 GB must be hashed by their writer."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))

@@ -186,3 +186,14 @@ def test_running_max(spark):
         want[i] = best[g]
     assert {r.id: r.m for r in ranking.running_max(df, "g", ["t", "id"], "v", "m").collect()} == want
     assert ranking.running_max(df.limit(0), "g", ["t", "id"], "v", "m").count() == 0
+
+
+def test_read_npy(spark, tmp_path):
+    from spindrift.sources import records
+
+    m = np.arange(12.0).reshape(4, 3)
+    np.save(tmp_path / "m.npy", m)
+    got = records.read_npy(spark, str(tmp_path / "m.npy")).orderBy("id").collect()
+    assert [r.id for r in got] == [0, 1, 2, 3] and np.array_equal([r.features for r in got], m)
+    np.save(tmp_path / "e.npy", m[:0])
+    assert records.read_npy(spark, str(tmp_path / "e.npy")).count() == 0
