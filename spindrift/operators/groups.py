@@ -47,12 +47,25 @@ def collision_groups(df: DataFrame, keys: Sequence[str], target: str, row_id: st
     ).withColumn("__clash", (F.col("__n") > 1) & F.coalesce(F.col("__range") > limit, F.lit(False)))
 
 
-def resolve_collisions(df: DataFrame, keys: Sequence[str], target: str, row_id: str, limit: float = 5.0) -> tuple[DataFrame, DataFrame]:
+#: Most ids that one text lists; larger groups are told in full by collision_members.
+LISTED = 1_000_000
+
+
+def collision_members(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
+    """(row_id, first_id, n) of every row in a group of more than one: the group's first row and size. One row a
+    member, so a group of any size is spread over tasks."""
+    g = df.groupBy(*(_q(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min(_q(row_id)).alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    cond = reduce(lambda x, y: x & y, (_q(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    return df.select(_q(row_id), *(_q(k) for k in keys if k != row_id)).join(g, cond).select(_q(row_id), "first_id", "n")
+
+
+def resolve_collisions(df: DataFrame, keys: Sequence[str], target: str, row_id: str, limit: float = 5.0, listed: int = LISTED) -> tuple[DataFrame, DataFrame]:
     """(kept, audit).
 
     kept: groups of one as they are, and of each larger group whose target range is at most limit its first
     row (smallest row_id) with the group's median as target; plus Replicate_Count,
-    Replicate_Target_Range and Original_Row_IDs (";"-joined ids of merged groups, else null).
+    Replicate_Target_Range and Original_Row_IDs (";"-joined ids of merged groups, else null; groups of more than
+    `listed` rows have the first id and a count, collision_members has their ids).
     audit: every row of the other groups, with Collision_Target_Range and Collision_Reason.
     """
     g = collision_groups(df, keys, target, row_id, limit)
@@ -60,7 +73,7 @@ def resolve_collisions(df: DataFrame, keys: Sequence[str], target: str, row_id:
     cond = reduce(lambda x, y: x & y, (_q(k).eqNullSafe(F.col(n)) for k, n in zip(keys, ks)))
     members = df.join(g, cond)
     row = F.struct(*(_q(c) for c in df.columns))
-    ids = F.array_sort(F.collect_list(F.when(F.col("__n") > 1, _q(row_id))))
+    ids = F.array_sort(F.collect_list(F.when((F.col("__n") > 1) & (F.col("__n") <= listed), _q(row_id))))
     one = members.filter("not __clash").groupBy(*ks).agg(
         F.min_by(row, _q(row_id)).alias("__row"), *(F.max(c).alias(c) for c in ("__n", "__range", "__median")), ids.alias("__ids")
     )
@@ -68,7 +81,8 @@ def resolve_collisions(df: DataFrame, keys: Sequence[str], target: str, row_id:
     kept = one.select(
         *(F.when(many, F.col("__median")).otherwise(F.col(f"__row.`{c}`")).alias(c) if c == target else F.col(f"__row.`{c}`").alias(c) for c in df.columns),
         F.col("__n").alias("Replicate_Count"), F.when(many, F.col("__range")).otherwise(0.0).alias("Replicate_Target_Range"),
-        F.when(many, F.array_join(F.transform("__ids", lambda x: x.cast("string")), ";")).alias("Original_Row_IDs"),
+        F.when(F.col("__n") > listed, F.concat(F.col(f"__row.`{row_id}`").cast("string"), F.lit(" and "), (F.col("__n") - 1).cast("string"), F.lit(" more")))
+        .when(many, F.array_join(F.transform("__ids", lambda x: x.cast("string")), ";")).alias("Original_Row_IDs"),
     )
     audit = members.filter("__clash").select(
         *(_q(c) for c in df.columns), F.col("__range").alias("Collision_Target_Range"), F.lit("same_recorded_conditions_target_range_above_limit").alias("Collision_Reason")

@@ -197,3 +197,12 @@ def test_read_npy(spark, tmp_path):
     assert [r.id for r in got] == [0, 1, 2, 3] and np.array_equal([r.features for r in got], m)
     np.save(tmp_path / "e.npy", m[:0])
     assert records.read_npy(spark, str(tmp_path / "e.npy")).count() == 0
+
+
+def test_members_of_large_groups(spark):
+    df = spark.createDataFrame([(i, "k" if i < 6 else None, 1.0) for i in range(9)] + [(20, "z", 2.0)], "id long, k string, y double")
+    kept, _ = groups.resolve_collisions(df, ["k"], "y", "id", listed=4)
+    assert {r.k: r.Original_Row_IDs for r in kept.collect()} == {"k": "0 and 5 more", None: "6;7;8", "z": None}
+    m = groups.collision_members(df, ["k"], "id")
+    assert {(r.id, r.first_id, r.n) for r in m.collect()} == {(i, 0, 6) for i in range(6)} | {(i, 6, 3) for i in (6, 7, 8)}
+    assert groups.collision_members(df.limit(0), ["k"], "id").count() == 0
