@@ -195,10 +195,10 @@ def grid_draws(spark: SparkSession, d: str) -> DataFrame:
 
 @flow
 def encoded_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The model matrix, fitted on training rows and applied to all."""
+    """The model matrix, fitted on training rows and applied to all; sparse, as most entries are zeros of categories."""
     p = T.prepare(_primary(spark, d), _KNOBS)
     enc = FeatureEncoder(D.NUMERIC_FEATURES, D.CATEGORICAL_FEATURES, D.BINARY_FEATURES).fit(p.rows.filter("Set = 'Train'"))
-    return enc.transform(p.rows).select("row_id", "Set", "features")
+    return enc.transform_sparse(p.rows).select("row_id", "Set", "features.*")
 
 
 def _prepared(spark: SparkSession, d: str) -> T.Prepared:

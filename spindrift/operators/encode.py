@@ -100,8 +100,10 @@ class FeatureEncoder:
             raise ValueError("categories are encoded by transform")
         return self._numbers() + self._flags()
 
-    def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
-        kept, ones = [c for c in df.columns if c != out], []
+    def _placed(self, df: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
+        """df with column __k<i>, the place of each categorical value inside its feature (null if unseen), and (i, width) of
+        the features that have columns."""
+        widths = []
         for i, c in enumerate(self.categorical):
             often, has_rare = self.state["categories"][c]
             if not (width := len(often) + has_rare):
@@ -110,7 +112,32 @@ class FeatureEncoder:
             if codes.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
                 codes = F.broadcast(codes)
             df = df.join(codes, F.coalesce(_q(c).cast("string"), F.lit("Unknown")) == F.col(f"__v{i}"), "left")
-            ones.append(_one_at(F.coalesce(F.col(f"__k{i}"), F.lit(-1)), width))
+            widths.append((i, width))
+        return df, widths
+
+    def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
+        kept = [c for c in df.columns if c != out]
+        df, widths = self._placed(df)
+        ones = [_one_at(F.coalesce(F.col(f"__k{i}"), F.lit(-1)), width) for i, width in widths]
         none = F.array().cast("array<double>")
         parts = [F.array(*self._numbers()).cast("array<double>"), *ones, F.array(*self._flags()).cast("array<double>")]
         return df.select(*(_q(c) for c in kept), F.concat(none, *parts).alias(out))
+
+    def transform_sparse(self, df: DataFrame, out: str = "features") -> DataFrame:
+        """As transform, but out is a struct (size, indices, values) of the entries that may differ from zero: its size does
+        not grow with the number of categories."""
+        kept = [c for c in df.columns if c != out]
+        df, widths = self._placed(df)
+        entries, at = [], 0
+        for v in self._numbers():
+            entries.append(F.struct(F.lit(at).alias("i"), v.alias("v")))
+            at += 1
+        for i, width in widths:
+            entries.append(F.when(F.col(f"__k{i}").isNotNull(), F.struct((F.col(f"__k{i}") + at).alias("i"), F.lit(1.0).alias("v"))))
+            at += width
+        for v in self._flags():
+            entries.append(F.struct(F.lit(at).alias("i"), v.alias("v")))
+            at += 1
+        held = F.filter(F.array(*entries), lambda x: x.isNotNull()) if entries else F.array().cast("array<struct<i:int,v:double>>")
+        vector = F.transform(F.array(held), lambda h: F.struct(F.lit(at).alias("size"), h["i"].alias("indices"), h["v"].alias("values")))[0]
+        return df.select(*(_q(c) for c in kept), vector.alias(out))

@@ -206,3 +206,15 @@ def test_members_of_large_groups(spark):
     m = groups.collision_members(df, ["k"], "id")
     assert {(r.id, r.first_id, r.n) for r in m.collect()} == {(i, 0, 6) for i in range(6)} | {(i, 6, 3) for i in (6, 7, 8)}
     assert groups.collision_members(df.limit(0), ["k"], "id").count() == 0
+
+
+def test_sparse_and_dense_encoding_agree(spark):
+    df = spark.createDataFrame([(i, float(i % 4) if i % 5 else None, ["a", "b", "c", None, f"r{i}"][i % 5], i % 2) for i in range(60)], "id long, x double, c string, b int")
+    enc = FeatureEncoder(["x"], ["c"], ["b"]).fit(df)
+    new = df.unionByName(spark.createDataFrame([(99, None, "unseen", None)], df.schema))
+    dense = {r.id: list(r.features) for r in enc.transform(new).collect()}
+    for r in enc.transform_sparse(new).collect():
+        v = [0.0] * r.features["size"]
+        for i, x in zip(r.features.indices, r.features["values"]):
+            v[i] = x
+        assert v == dense[r.id] and len(v) == len(enc.names)
