@@ -100,3 +100,30 @@ def test_tsne_separates():
     np.fill_diagonal(d, np.inf)
     assert np.isfinite(y).all() and (lab[d.argmin(1)] == lab).mean() > 0.97
     assert tsne(np.zeros((2, 3)), 5).shape == (2, 2) and np.isfinite(tsne(np.zeros((12, 3)), 5, 50)).all()
+
+
+def test_encoding_time_does_not_grow_with_categories():
+    import time
+
+    rng = np.random.default_rng(3)
+    df = pd.DataFrame({"c": [f"v{i}" for i in rng.integers(0, 4000, 40_000)]})
+    s = M.fit_matrix(df, [], ["c"], [], 8)
+    few = df.iloc[:5000]
+    began = time.thread_time()
+    x = M.apply_matrix(s, few)
+    took = time.thread_time() - began
+    often, rare = s["categorical"][0][1:]
+    v = few["c"].to_numpy()
+    assert len(rare) and all(np.array_equal(x[:, i], v == c) for i, c in enumerate(often[::50]) for i in [i * 50]) and np.array_equal(x[:, -1], np.isin(v, rare))
+    began = time.thread_time()
+    one_by_one = np.stack([*((v == c).astype(float) for c in often), np.isin(v, rare).astype(float)], axis=1)
+    assert np.array_equal(x, one_by_one) and took < 0.5 * (time.thread_time() - began)
+
+
+@pytest.mark.parametrize("depth", [0, 3, None])
+def test_tree_predictions_are_the_leaves_values(data, depth):
+    x, y = data
+    t = grow(Columns.of(x), y, np.ones(len(y)), Growth(max_depth=depth), np.random.default_rng(0))
+    z = np.where(np.random.default_rng(1).random(x.shape) < 0.1, np.nan, x)
+    for rows in (x, z, np.asfortranarray(z), x[:0]):
+        assert np.array_equal(t.predict(rows), t.value[t.leaves(rows)])

@@ -180,3 +180,12 @@ def test_fit_lane_is_bounded(spark, small):
     s = lane.bounded_sample(df, "row_id", [D.TARGET], 20)
     assert len(s) == 20 and list(s["row_id"]) == list(lane.bounded_sample(df.repartition(5), "row_id", [D.TARGET], 20)["row_id"])
     assert lane.fit_tasks(spark, s, []) == []
+
+
+def test_models_are_judged_on_their_own_fold_alone(spark, small):
+    p = T.prepare(load(spark, small, "ni_model_primary"), T.Knobs(trees=5, folds=3, fit_rows=100))
+    tasks = [{"task_id": f"m|{i}", "family": "Gradient Boosting", "params": D.LOCKED_PARAMS["Gradient Boosting"] | {"n_estimators": 5}, "where": ["fold", T._others(i, 3)]} for i in range(3)]
+    models, rows = lane.fit_tasks(spark, p.sample, tasks), p.rows.filter("fold is not null")
+    key = lambda df: sorted((r.task_id, r.fold, r.n, round(r.sse, 6)) for r in df.collect())
+    own = key(lane.score_sums(rows, models, "fold", only={f"m|{i}": str(i) for i in range(3)}))
+    assert len(own) == 3 and own == [r for r in key(lane.score_sums(rows, models, "fold")) if r[0].split("|")[1] == r[1]]
