@@ -189,3 +189,12 @@ def test_models_are_judged_on_their_own_fold_alone(spark, small):
     key = lambda df: sorted((r.task_id, r.fold, r.n, round(r.sse, 6)) for r in df.collect())
     own = key(lane.score_sums(rows, models, "fold", only={f"m|{i}": str(i) for i in range(3)}))
     assert len(own) == 3 and own == [r for r in key(lane.score_sums(rows, models, "fold")) if r[0].split("|")[1] == r[1]]
+
+
+def test_wide_names_differ_by_more_than_case(spark, tmp_path):
+    from spindrift.plans import explain
+
+    assert explain.distinct_names(["a_Ni(NO₃)₂", "a_ni(no₃)₂", "b", "B (2)", "B"]) == ["a_Ni(NO₃)₂", "a_ni(no₃)₂ (2)", "b", "B (2)", "B (3)"]
+    att = spark.createDataFrame([(1, [1.0, 2.0], [3.0, 4.0])], "row_id long, values array<double>, shap array<double>")
+    explain.wide_audit(att, ["cat__Ni", "cat__NI"]).write.parquet(str(tmp_path / "wide"))
+    assert spark.read.parquet(str(tmp_path / "wide")).first()[1:] == (1.0, 3.0, 2.0, 4.0)
