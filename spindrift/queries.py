@@ -507,8 +507,7 @@ def onehot_minfreq(spark: SparkSession, d: str) -> DataFrame:
     """Long form of the encoded categories: one row for each one."""
     n = load(spark, d, "ni_model_primary")
     enc = FeatureEncoder([], ["support_type", "Precursor_Family"], [], min_frequency=20).fit(n)
-    pairs = F.array(*(F.struct(F.lit(x).alias("feature"), F.col("features")[i].alias("one")) for i, x in enumerate(enc.names)))
-    return enc.transform(n).select("row_id", F.explode(pairs).alias("p")).filter("p.one = 1").select("row_id", "p.feature")
+    return enc.transform_long(n, "row_id")
 
 
 @query

@@ -218,3 +218,14 @@ def test_sparse_and_dense_encoding_agree(spark):
         for i, x in zip(r.features.indices, r.features["values"]):
             v[i] = x
         assert v == dense[r.id] and len(v) == len(enc.names)
+
+
+def test_long_categories_without_wide_rows(spark):
+    df = spark.createDataFrame([(i, f"v{i % 700}" if i < 2100 else None if i < 2110 else f"w{i}", "x" if i % 2 else "y") for i in range(2200)], "row_id long, a string, `b c` string")
+    enc = FeatureEncoder([], ["a", "b c"], [], min_frequency=3).fit(df)
+    long = enc.transform_long(df, "row_id")
+    assert len(long._jdf.queryExecution().analyzed().toString()) < 10_000  # the plan does not grow with the categories
+    got = {(r.row_id, r.feature) for r in long.collect()}
+    want = {(r.row_id, enc.names[k]) for r in enc.transform(df).collect() for k, v in enumerate(r.features) if v == 1}
+    assert got == want and long.count() == 4400 and (2150, "cat__a_infrequent") in got and (2105, "cat__a_Unknown") in got
+    assert enc.transform_long(spark.createDataFrame([(1, "new", "x")], df.schema), "row_id").collect() == [(1, "cat__b c_x")]
