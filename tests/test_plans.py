@@ -198,3 +198,30 @@ def test_wide_names_differ_by_more_than_case(spark, tmp_path):
     att = spark.createDataFrame([(1, [1.0, 2.0], [3.0, 4.0])], "row_id long, values array<double>, shap array<double>")
     explain.wide_audit(att, ["cat__Ni", "cat__NI"]).write.parquet(str(tmp_path / "wide"))
     assert spark.read.parquet(str(tmp_path / "wide")).first()[1:] == (1.0, 3.0, 2.0, 4.0)
+
+
+def test_neighbours_from_cells_are_those_of_all_rows():
+    import time
+
+    rng = np.random.default_rng(0)
+    rows = np.repeat(rng.normal(size=(400, 6)) * 20, 25, axis=0) + rng.normal(size=(10_000, 6)) * 0.1
+    rows[5000:5400] = rows[5000]  # repeated rows
+    away = rng.normal(size=(50, 6)) * 30
+    cells = search.Cells(rows)
+
+    def brute(x, ids):
+        d = ((x[:, None] - rows[None]) ** 2).sum(2)
+        if ids is not None:
+            d[np.arange(len(x)), ids] = np.inf
+        return np.sqrt(np.sort(d, axis=1)[:, :5]).mean(1)
+
+    ids = np.arange(4900, 5100)
+    assert np.allclose(cells.mean_nearest(rows[ids], 5, ids), brute(rows[ids], ids), atol=1e-12) and np.allclose(cells.mean_nearest(away, 5), brute(away, None))
+    assert np.allclose(search.mean_knn(rows, rows[ids], 5, own_at=4900), brute(rows[ids], ids))
+    assert np.isinf(search.Cells(rows[:1]).mean_nearest(rows[:1], 5, np.array([0]))).all() and np.isinf(search.Cells(rows[:0]).mean_nearest(away, 5)).all()
+    assert np.allclose(search.Cells(rows[:3]).mean_nearest(rows[:3], 5, np.arange(3)), [np.sqrt(((rows[:3] - r) ** 2).sum(1)).sum() / 2 for r in rows[:3]])
+    began = time.thread_time()
+    cells.mean_nearest(cells.rows[:1024], 5, cells.id[:1024])
+    took, began = time.thread_time() - began, time.thread_time()
+    brute(rows[:64], None)
+    assert took < 16 * 0.5 * (time.thread_time() - began)
