@@ -225,3 +225,18 @@ def test_neighbours_from_cells_are_those_of_all_rows():
     took, began = time.thread_time() - began, time.thread_time()
     brute(rows[:64], None)
     assert took < 16 * 0.5 * (time.thread_time() - began)
+
+
+def test_projection_of_sparse_rows(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(90, 6)) * (rng.random((90, 6)) < 0.6)
+    x[:, 0] = rng.normal(size=90)
+    x[60:, 1] = 3.0
+    dense = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    held = [(i, (6, np.nonzero(v)[0].tolist(), v[v != 0].tolist())) for i, v in enumerate(x)]
+    sparse = spark.createDataFrame(held, "id long, v struct<size: int, indices: array<int>, values: array<double>>")
+    ask = lambda df: np.array([r[1:] for r in sorted(project.project(df, "id", "v", 5, exact_rows=40).collect())])
+    assert ask(dense).shape == (90, 2) and np.allclose(ask(dense), ask(sparse), atol=1e-6)
+    # a place that no sample row holds counts by its length, and takes no room
+    wide = spark.createDataFrame([(i, (10**9, [*a, 10**9 - 1], [*b, 1.0])) for i, (_, a, b) in held], sparse.schema)
+    assert np.isfinite(ask(wide)).all() and project.project(sparse.limit(0), "id", "v", 5).count() == 0
