@@ -240,3 +240,16 @@ def test_projection_of_sparse_rows(spark):
     # a place that no sample row holds counts by its length, and takes no room
     wide = spark.createDataFrame([(i, (10**9, [*a, 10**9 - 1], [*b, 1.0])) for i, (_, a, b) in held], sparse.schema)
     assert np.isfinite(ask(wide)).all() and project.project(sparse.limit(0), "id", "v", 5).count() == 0
+
+
+def _repeated_rows(spark, small):
+    """The primary table with 300 more promoters of six rows each."""
+    df = load(spark, small, "ni_model_primary")
+    more = df.limit(6).crossJoin(spark.range(300).withColumnRenamed("id", "__n"))
+    return df.unionByName(more.withColumn("Promoter_Metal", F.concat(F.lit("M"), F.col("__n").cast("string"))).withColumn("row_id", F.col("row_id") + 10**6 * (1 + F.col("__n"))).drop("__n"))
+
+
+def test_linear_rows_do_not_widen_with_categories(spark, small):
+    ready, names = T.encoded(_repeated_rows(spark, small))
+    assert len(names) > 330 and max(len(r.features.indices) for r in ready.collect()) <= len(T.FEATURES)
+    assert ready.first().features.size == len(names)
