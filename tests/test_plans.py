@@ -253,3 +253,33 @@ def test_linear_rows_do_not_widen_with_categories(spark, small):
     ready, names = T.encoded(_repeated_rows(spark, small))
     assert len(names) > 330 and max(len(r.features.indices) for r in ready.collect()) <= len(T.FEATURES)
     assert ready.first().features.size == len(names)
+
+
+def test_boosting_on_sparse_rows_is_exact(spark, small):
+    from spindrift.models import boosting
+
+    df = _repeated_rows(spark, small)
+    model, ready, names = T.distributed_boosting(df, trees=3)
+    got = model.transform(ready).toPandas()
+    assert len(got) == df.count() and len(model.trees) == 3 and np.isfinite(got["prediction"]).all()
+    assert ((got.label - got.prediction) ** 2).sum() < 0.9 * ((got.label - got.label.mean()) ** 2).sum()
+    # a tree on all rows against the best splits of the same bins by brute force
+    one = boosting.fit(ready, len(D.NUMERIC_FEATURES), len(D.BINARY_FEATURES), len(names), trees=1, depth=2, share=1.0)
+    rows = ready.collect()
+    x = np.array([np.bincount(r.features["indices"], r.features["values"], len(names)) for r in rows])
+    y, cuts = np.array([r.label for r in rows]), dict(zip(one.lay.dense, one.lay.edges))
+    t, error = one.trees[0], lambda v: ((v - v.mean()) ** 2).sum() if len(v) else 0.0
+
+    def least(own):
+        sides = (x[own, f] <= c for f in range(len(names)) for c in cuts.get(f, [0.5]))
+        return min(error(y[own][s]) + error(y[own][~s]) for s in sides)
+
+    root = x[:, t.feature[1]] <= t.threshold[1]
+    assert abs(error(y[root]) + error(y[~root]) - least(np.ones(len(y), bool))) < 1e-6 * error(y)
+    for i, own in ((2, root), (3, ~root)):
+        s = x[:, t.feature[i]] <= t.threshold[i]
+        assert abs(error(y[own & s]) + error(y[own & ~s]) - least(own)) < 1e-6 * error(y)
+        assert np.isclose(t.value[2 * i], y[own & s].mean()) and np.isclose(t.value[2 * i + 1], y[own & ~s].mean())
+    flat = {r.row_id: r.prediction for r in one.transform(ready).collect()}
+    assert np.isclose(flat[rows[0].row_id], t.value[(4 if x[0, t.feature[2]] <= t.threshold[2] else 5) if root[0] else (6 if x[0, t.feature[3]] <= t.threshold[3] else 7)])
+    assert one.transform(ready.limit(0)).count() == 0
