@@ -283,3 +283,30 @@ def test_boosting_on_sparse_rows_is_exact(spark, small):
     flat = {r.row_id: r.prediction for r in one.transform(ready).collect()}
     assert np.isclose(flat[rows[0].row_id], t.value[(4 if x[0, t.feature[2]] <= t.threshold[2] else 5) if root[0] else (6 if x[0, t.feature[3]] <= t.threshold[3] else 7)])
     assert one.transform(ready.limit(0)).count() == 0
+
+
+def test_batches_of_the_cross_validation_hold_every_model_and_stay_small():
+    k = T.Knobs()
+    tasks = [{"task_id": f"{c['family']}|{c['variant']}", "family": c["family"], "params": c["params"]} for c in T.candidates(k)]
+    got = T._batches(tasks, 5000)
+    assert sorted(t["task_id"] for b in got for t in b) == sorted(t["task_id"] for t in tasks)
+    assert all(len(b) <= T.HELD and sum(T._mb(t, 5000) for t in b) < 2 * T.HELD_MB for b in got)
+
+
+def test_cross_validation_judges_every_model(spark, small):
+    p = T.prepare(load(spark, small, "ni_model_primary"), T.Knobs(trees=4, draws=3, folds=2, fit_rows=100))
+    got = T.cross_validate(p).toPandas()
+    assert len(got) == 2 * len(T.candidates(p.knobs)) and got["Validation_R2"].notna().all()
+    one = next(c for c in T.candidates(p.knobs) if c["family"] == "SVR")
+    task = {"task_id": "a", "family": "SVR", "params": one["params"], "seed": p.knobs.seed, "where": ["fold", ["1"]]}
+    m = lane.metrics_of(lane.score_sums(p.rows.filter("fold = 0"), lane.fit_tasks(spark, p.sample, [task]), "fold"), ["task_id"]).first()
+    row = got[(got.family == "SVR") & (got.variant == one["variant"]) & (got.fold == 0)].iloc[0]
+    assert abs(m.R2 - row.Validation_R2) < 1e-9 and abs(m.MAE - row.Validation_MAE) < 1e-9
+
+
+def test_lost_models_are_an_error(spark, small, monkeypatch):
+    p = T.prepare(load(spark, small, "ni_model_primary"), T.Knobs(fit_rows=60))
+    task = {"task_id": "a", "family": "SVR", "params": {"C": 1.0, "epsilon": 0.5, "gamma": 0.1}}
+    monkeypatch.setattr(type(p.rows), "collect", lambda self: [])
+    with pytest.raises(RuntimeError, match="0 of 1 models"):
+        lane.fit_tasks(spark, p.sample, [task])
