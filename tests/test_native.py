@@ -59,3 +59,32 @@ def test_without_the_jvm_numpy_goes_on(data):  # noqa: F811
     native.loops().jvm.kill()
     native.loops().jvm.wait()
     assert np.array_equal(want, E.predict(E.fit("AdaBoost", x, y, PARAMS["AdaBoost"]), x)) and native.loops() is not None
+
+
+def test_places_of_values_lead_to_the_same_leaves(data, numpy_only):  # noqa: F811
+    """Deep trees; rows at thresholds, beyond all values, minus zero, constant columns, more rows than one evaluation takes."""
+    x, y = data
+    numpy_only(False)
+    m = E.fit("Bagging", x[:300], y[:300], PARAMS["Bagging"] | {"n_estimators": 12, "max_depth": None, "min_samples_leaf": 1})
+    inner = m["feature"] >= 0
+    at = x[np.arange(inner.sum()) % len(x)].copy()
+    at[np.arange(inner.sum()), m["feature"][inner]] = m["threshold"][inner]
+    rows = np.concatenate([at, x, x * 1e9, -x, np.full((3, x.shape[1]), -0.0)])
+    many = np.tile(rows, (native.BLOCK // len(rows) + 2, 1))
+    got, all_rows, alone = E.predict(m, rows), E.predict(m, many), E.predict(m, rows[:1])
+    numpy_only(True)
+    want = E.predict(m, rows)
+    assert np.array_equal(got, want) and np.array_equal(alone, want[:1])
+    assert np.array_equal(all_rows, np.resize(want, len(many)))
+
+
+def test_scored_batches_are_joined_whole_and_in_order():
+    import pandas as pd
+
+    from spindrift.models import lane
+
+    parts = [pd.DataFrame({"a": np.arange(n) + i * 100}) for i, n in enumerate((4, 4, 4, 30, 1, 2))]
+    out = list(lane._joined(iter(parts), 10))
+    assert [len(p) for p in out] == [8, 4, 30, 3]
+    assert pd.concat(out)["a"].tolist() == pd.concat(parts)["a"].tolist()
+    assert list(lane._joined(iter(()), 10)) == []
