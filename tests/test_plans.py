@@ -310,3 +310,24 @@ def test_lost_models_are_an_error(spark, small, monkeypatch):
     monkeypatch.setattr(type(p.rows), "collect", lambda self: [])
     with pytest.raises(RuntimeError, match="0 of 1 models"):
         lane.fit_tasks(spark, p.sample, [task])
+
+def test_gate_scores_each_model_on_its_own_fold(spark, small, monkeypatch):
+    from spindrift import flows
+
+    k = T.Knobs(trees=4, draws=3, folds=2, fit_rows=100, seeds=(1, 2))
+    p = T.prepare(load(spark, small, "ni_model_primary"), k)
+    key, cols = ["family", "variant", "fold"], ["Validation_R2", "Validation_MAE", "Validation_RMSE"]
+    whole = T.cross_validate(p)
+    want = whole.toPandas().set_index(key).sort_index()
+    own = T.validate(p)
+    got = own.toPandas().set_index(key).sort_index()
+    assert list(got.index) == list(want.index) and np.allclose(got[cols], want[cols], rtol=1e-9, atol=1e-9)
+    a, b = (T.compare(p, cv)[0].drop("Best_Params").toPandas().set_index("Candidate").sort_index() for cv in (whole, own))
+    assert list(a.columns) == list(b.columns) and np.allclose(a.astype(float), b.astype(float), rtol=1e-9, atol=1e-9)
+    monkeypatch.setattr(lane, "SENT_ROWS", 0)  # the rows stay, the models go to them
+    got = T.validate(p).toPandas().set_index(key).sort_index()
+    assert list(got.index) == list(want.index) and np.allclose(got[cols], want[cols], rtol=1e-9, atol=1e-9)
+    monkeypatch.setattr(flows, "_MADE", {})
+    monkeypatch.setattr(flows, "_KNOBS", k)
+    monkeypatch.setattr(T, "cross_validate", lambda p: pytest.fail("every model scores all rows"))
+    assert flows.model_gate(spark, small).count() == 1
