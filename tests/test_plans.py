@@ -331,3 +331,12 @@ def test_gate_scores_each_model_on_its_own_fold(spark, small, monkeypatch):
     monkeypatch.setattr(flows, "_KNOBS", k)
     monkeypatch.setattr(T, "cross_validate", lambda p: pytest.fail("every model scores all rows"))
     assert flows.model_gate(spark, small).count() == 1
+
+
+def test_kernels_of_many_rows_are_taken_in_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    x, most, rbf = rng.random((2500, 4)), [], E._rbf
+    m = {"kind": "kernel", "base": 0.5, "gamma": 0.3, "vectors": rng.random((40, 4)), "coef": rng.random(40)}
+    want = rbf(x, m["vectors"], m["gamma"]) @ m["coef"] + m["base"]
+    monkeypatch.setattr(E, "_rbf", lambda a, b, g: most.append(len(a)) or rbf(a, b, g))
+    assert np.allclose(E.predict(m, x), want, rtol=1e-12) and max(most) <= 512 and len(E.predict(m, x[:0])) == 0
