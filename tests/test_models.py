@@ -127,3 +127,42 @@ def test_tree_predictions_are_the_leaves_values(data, depth):
     z = np.where(np.random.default_rng(1).random(x.shape) < 0.1, np.nan, x)
     for rows in (x, z, np.asfortranarray(z), x[:0]):
         assert np.array_equal(t.predict(rows), t.value[t.leaves(rows)])
+
+
+def _categories(n: int) -> tuple[M.Coded, np.ndarray]:
+    rng = np.random.default_rng(5)
+    num, flag = np.round(rng.normal(size=(n, 4)), 2), rng.random(n) < 0.3
+    codes = np.stack([rng.integers(0, 60, n) + 4, rng.integers(0, 9, n) + 64]).astype(np.int32)
+    slot = np.concatenate([np.arange(4), np.full(60, -1), np.full(9, -2), [4]]).astype(np.int32)
+    y = 5 * num[:, 0] + 4 * np.sin(3 * num[:, 1]) + codes[0] % 7 + rng.normal(size=n)
+    return M.Coded(np.asfortranarray(np.column_stack([num, flag])), slot, codes), y
+
+
+@pytest.mark.parametrize("family", list(PARAMS))
+def test_a_matrix_without_zeros_gives_the_same_models(family, monkeypatch):
+    """On the JVM and without it, with levels that are counted by values and sorted ones."""
+    from spindrift.models import trees
+
+    monkeypatch.setattr(trees, "MANY_ROWS", 400)
+    x, y = _categories(1500)
+    dense, p = x.columns(np.arange(x.shape[1])), PARAMS[family] | ({"n_estimators": 4} if family != "SVR" else {})
+    got, made = [], []
+    for on in ("1", "0"):
+        monkeypatch.setenv("SPINDRIFT_NATIVE", on)
+        made += [E.fit(family, x, y, p), E.fit(family, dense, y, p)]
+        got += [E.predict(made[-2], x), E.predict(made[-1], dense), E.fit_predict(family, x, y, p, 42, [x])[0]]
+    assert np.allclose(got, got[0], rtol=0, atol=1e-6)
+    if family != "SVR":
+        assert all(np.array_equal(m[k], made[0][k]) for m in made for k in made[0])
+
+
+def test_levels_counted_by_values_are_as_good_as_sorted_ones(monkeypatch):
+    from spindrift.models import trees
+
+    x, y = _categories(2000)
+    out = []
+    for rows in (100, 10**9):
+        monkeypatch.setattr(trees, "MANY_ROWS", rows)
+        monkeypatch.setenv("SPINDRIFT_NATIVE", "0")
+        out.append(E.predict(E.fit("XGBoost", x, y, PARAMS["XGBoost"] | {"n_estimators": 10}), x))
+    assert np.allclose(*out, rtol=0, atol=1e-9)
