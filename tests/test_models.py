@@ -166,3 +166,17 @@ def test_levels_counted_by_values_are_as_good_as_sorted_ones(monkeypatch):
         monkeypatch.setenv("SPINDRIFT_NATIVE", "0")
         out.append(E.predict(E.fit("XGBoost", x, y, PARAMS["XGBoost"] | {"n_estimators": 10}), x))
     assert np.allclose(*out, rtol=0, atol=1e-9)
+
+
+def test_svr_uses_all_rows(monkeypatch):
+    """More rows than an SVR once saw; the same model with few kernel rows held as with all."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3200, 3))
+    y = x[:, 0] + rng.normal(size=3200)
+    p = {"C": 0.01, "epsilon": 1e-6, "gamma": 0.1}
+    m = E.fit("SVR", x, y, p)
+    assert len(m["vectors"]) > 3100 and m["gap"] <= 1e-3
+    few, all_rows = [], [E.fit("SVR", x[:150], y[:150], {"C": 3.0, "epsilon": 0.1, "gamma": "scale"})]
+    monkeypatch.setattr(E, "KERNEL_BYTES", 8 * 150 * 7)
+    few = [E.fit("SVR", x[:150], y[:150], {"C": 3.0, "epsilon": 0.1, "gamma": "scale"})]
+    assert np.allclose(E.predict(few[0], x), E.predict(all_rows[0], x), atol=1e-2) and few[0]["gap"] <= 1e-3
